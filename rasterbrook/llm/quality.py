@@ -108,8 +108,8 @@ def js_distance(p: Column, q: Column) -> Column:
 
 def quality_rules(
     docs: DataFrame,
-    max_char_distance: float = 0.30,
-    max_word_distance: float = 0.55,
+    max_char_distance: float = 0.25,
+    max_word_distance: float = 0.40,
     min_chars: int = 200,
     min_words: int = 60,
 ) -> DataFrame:

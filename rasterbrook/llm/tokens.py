@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import os
 import re
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,78 +17,94 @@ from pyspark.sql import functions as F
 #: it: no pattern of it, and no special string, spans that border from the left. What follows then
 #: depends on the text to the right alone, so an encoding that starts anywhere is in step there.
 STABLE = re.compile(r"[!-~\w](?=[ \n])")
+SPECIAL = "<|endoftext|>"
 
 
 @lru_cache(maxsize=4)
-def _tokenizer(file: str):
+def encoder(name: str) -> tuple[Callable[[str], list[int]], np.ndarray]:
+    """The ids of a text as the .json vocabulary's library gives them, and each id's bytes.
+
+    The rank file of the same vocabulary gives the same ids several times faster. Texts that its
+    pattern engine refuses (white space in the millions) go to the library itself.
+    """
     import public_tokenizers
-    from tokenizers import Tokenizer, processors
+    import tiktoken
+    from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
-    t = Tokenizer.from_file(file if os.path.isabs(file) else public_tokenizers.path(file))
-    t.no_truncation()
-    t.no_padding()
-    t.post_processor = processors.ByteLevel(trim_offsets=False)  # offsets keep leading white space
-    return t
-
-
-def spliced_count(encode, text: str, chunk: int, overlap: int) -> int:
-    """Tokens of a text by chunks. encode(str) gives an encoding with offsets."""
+    at = lambda x: x if os.path.isabs(x) else public_tokenizers.path(x)
+    with open(at(f"{name}.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    fast = tiktoken.Encoding(
+        name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)}
+    )
+    slow = Tokenizer.from_file(at(f"{name}.json"))
+    slow.no_truncation()
+    slow.no_padding()
+    lengths = np.zeros(len(ranks) + 1, np.int64)
+    for token, rank in ranks.items():
+        lengths[rank] = len(token)
+    lengths[-1] = len(SPECIAL)
+
+    def ids(text: str) -> list[int]:
+        try:
+            return fast.encode(text, allowed_special="all")
+        except BaseException as e:  # the engine's panic isn't an Exception
+            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+                raise
+            return slow.encode(text, add_special_tokens=False).ids
+
+    return ids, lengths
+
+
+def spliced_count(ids: Callable[[str], list[int]], lengths: np.ndarray, text: str, chunk: int, overlap: int) -> int:
+    """Tokens of a text by chunks of that many characters, each with an overlap into the next."""
     n, start, first, total = len(text), 0, 0, 0  # first: where the counted part of the chunk begins
+    size = lambda a, b: len(text[a:b].encode())
     while True:
         core, wide = start + chunk, overlap
         while True:
             end = min(n, core + wide)
-            enc = encode(text[start:end])
-            begins = [o[0] + start for o in enc.offsets]
+            ends = np.cumsum(lengths[ids(text[start:end])])
+            before = np.searchsorted(ends, size(start, first), "right")
             if end == n:
-                return total + len(begins) - bisect_left(begins, first)
-            ends = [o[1] + start for o in enc.offsets]
-            cut = _agreed(encode, text, core, end, begins, ends)
+                return total + len(ends) - int(before)
+            cut = _agreed(ids, lengths, text, start, core, end, ends)
             if cut:
                 break
-            wide *= 2  # nothing stable in common: take more text into the overlap
-        total += bisect_right(ends, cut) - bisect_left(begins, first)
+            wide *= 2  # no stable border in common: take more text into the overlap
+        total += int(np.searchsorted(ends, size(start, cut), "right") - before)
         start, first = core, cut
 
 
-def _agreed(encode, text: str, core: int, end: int, begins: list[int], ends: list[int]) -> int:
+def _agreed(ids, lengths, text: str, start: int, core: int, end: int, ends: np.ndarray) -> int:
     """A stable border in the overlap at which this chunk and one that starts at core both split; 0: none."""
-    stable = [m.end() for m in STABLE.finditer(text, core, end - 1) if m.end() > core]
-    if not stable:
-        return 0
-    other = {o[0] + core for o in encode(text[core:end]).offsets}
-    own = set(begins) & set(ends)
-    return next((b for b in stable if b in own and b in other), 0)
+    other, shift = set(np.cumsum(lengths[ids(text[core:end])]).tolist()), len(text[start:core].encode())
+    own = set(ends.tolist())
+    for m in STABLE.finditer(text, core, end - 1):
+        at = len(text[core : m.end()].encode())
+        if at in other and shift + at in own:
+            return m.end()
+    return 0
 
 
 def token_counts(
-    docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512, chunk: int = 16384, overlap: int = 256
+    docs: DataFrame, tokenizer: str = "byte_bpe_50k", limit: int = 512, chunk: int = 16384, overlap: int = 256
 ) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit): one row per row of docs (doc_id, text).
 
-    tokenizer: a byte-level .json vocabulary, by name or path, that every executor has. Texts of
-    up to chunk characters are encoded whole; longer ones in chunks that overlap. Null text: empty,
-    0 tokens. Other columns are ignored; repeated rows stay repeated.
+    tokenizer: a byte-level vocabulary (name.json and name.tiktoken, by name or path) that every
+    executor has. Texts of up to chunk characters are encoded whole; longer ones in chunks that
+    overlap. Null text: empty, 0 tokens. Other columns are ignored; repeated rows stay repeated.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(tokenizer)
-        many = getattr(t, "encode_batch_fast", t.encode_batch)
-        one = lambda x: t.encode(x, add_special_tokens=False)
+        ids, lengths = encoder(tokenizer)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            counts = [0] * len(texts)
-            short = [i for i, x in enumerate(texts) if x and len(x) <= chunk]
-            for k in range(0, len(short), 256):
-                part = short[k : k + 256]
-                for i, e in zip(part, many([texts[i] for i in part], add_special_tokens=False), strict=True):
-                    counts[i] = len(e)
-            for i, x in enumerate(texts):
-                if x and len(x) > chunk:
-                    counts[i] = spliced_count(one, x, chunk, overlap)
+            texts = (x.as_py() for x in b.column("text"))
+            n = [len(ids(x)) if len(x) <= chunk else spliced_count(ids, lengths, x, chunk, overlap) for x in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
+                [b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
             )
 
     text = F.coalesce(F.col("text"), F.lit(""))
