@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .mixing import mix
 from .quality import quality_rules
+from .suffix_dedup import suffix_dedup
 from .tokens import token_counts
 from .toxicity import toxicity
 from .urls import url_filter
@@ -23,6 +24,10 @@ URL_RULES = [
 ]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = archive(table(spark, sf_dir, "pages"))
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -50,6 +55,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_url_filters": op4_url_filters,
