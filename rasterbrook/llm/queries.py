@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import MASKS, leaks
 from .mixing import mix
 from .quality import quality_rules
 from .suffix_dedup import suffix_dedup
@@ -46,6 +47,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,10 +65,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_url_filters": op4_url_filters,
     "op6_token_counts": op6_token_counts,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
 }
 
+
+def _seed_sql(rows: str, key: str) -> str:
+    part = "SELECT {key}, p, {k} AS k, concat_ws(' ', {words}) AS seed FROM {rows}"
+    words = [", ".join(f"t[p + {i + 1}]" for i, c in enumerate(mask) if c == "1") for mask in MASKS]
+    return " UNION ALL ".join(part.format(key=key, k=k, words=w, rows=rows) for k, w in enumerate(words))
+
+
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLE_SQL: dict[str, str] = {
@@ -80,4 +93,21 @@ ORACLE_SQL: dict[str, str] = {
               GROUP BY url)
         SELECT page_id, host, path, best.rule AS rule, coalesce(best.rv, 'allow') AS verdict
         FROM p LEFT JOIN m ON p.url = m.url""",
+    "op7_decontamination": rf"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM documents),
+        b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM benchmark),
+        dp AS (SELECT doc_id, t, unnest(range(len(t) - 9)) AS p FROM d WHERE len(t) >= 10),
+        bp AS (SELECT item_id, t, unnest(range(len(t) - 9)) AS p FROM b WHERE len(t) >= 10),
+        ds AS ({_seed_sql("dp", "doc_id")}), bs AS ({_seed_sql("bp", "item_id")}),
+        hits AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS shift FROM ds JOIN bs ON ds.k = bs.k AND ds.seed = bs.seed),
+        r AS (SELECT doc_id, item_id, shift, d.t AS dt, b.t AS bt, least(13, len(b.t)) AS w,
+                     greatest(shift, 0) - shift AS lo, least(len(b.t), len(d.t) - shift) AS hi
+              FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
+        s AS (SELECT doc_id, item_id, shift, w, unnest(range(lo, hi - w + 1)) AS i, dt, bt FROM r),
+        m AS (SELECT doc_id, item_id, shift, w,
+                     list_sum(list_transform(range(i, i + w), lambda j: CASE WHEN bt[j + 1] = dt[j + shift + 1] THEN 1 ELSE 0 END)) AS n
+              FROM s)
+        SELECT doc_id, item_id, max(n)::BIGINT AS matched, max(w)::BIGINT AS compared,
+               arg_max(shift, n * 100000000 - shift)::BIGINT AS position
+        FROM m WHERE n >= 0.8 * w GROUP BY doc_id, item_id""",
 }
