@@ -57,7 +57,7 @@ def mix(
     power: float = 0.5,
     block: int = 16,
     period: int = 1000,
-    bucket_rows: int = 20_000,
+    bucket_rows: int = 2_000,
 ) -> DataFrame:
     """Adds block_no, release, deadline, slot, position and in_mix to every row of docs (doc_id, source).
 
