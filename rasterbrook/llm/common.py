@@ -35,6 +35,15 @@ def keep_rows(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFr
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), how)
 
 
+#: Rows of a side that may be broadcast; a larger side is shuffled instead.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(side: DataFrame) -> DataFrame:
+    """The side with a broadcast hint where it has few enough rows; else as it is, for a shuffled join."""
+    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded, written
 
 #: Which of ten neighbouring tokens a seed looks at (1) and which it ignores (0).
 MASKS = ("1101101011", "1011011101")
 SPAN = 10
-#: Rows of a side that may be broadcast; a larger side is shuffled instead.
-BROADCAST_ROWS = 500_000
 
 
 def tokens(text: Column) -> Column:
@@ -34,11 +32,6 @@ def seeds(rows: DataFrame, keys: list[str]) -> DataFrame:
     return each.select(*keys, "pos", F.explode(F.array(*looked)).alias("seed"))
 
 
-def bounded(side: DataFrame) -> DataFrame:
-    """The side with a broadcast hint where it's small enough for one; else as it is, for a shuffled join."""
-    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
-
-
 def leaks(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.8) -> DataFrame:
     """(doc_id, item_id, matched, compared, position): which texts hold a passage of which item.
 
