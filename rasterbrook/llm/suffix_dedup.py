@@ -12,13 +12,14 @@ one very frequent k-gram are spread over several shards, whose window classes ar
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import written
 
@@ -274,21 +275,23 @@ def repeated_spans(docs: DataFrame, span: int = 400, k: int = 150, shard_rows: i
     return whole.unionByName(near).unionByName(across)
 
 
-def suffix_dedup(docs: DataFrame, span: int = 400, k: int = 150, with_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, span: int = 400, k: int = 150, with_text: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """Removes every byte covered by a span-byte string that also starts anywhere else.
 
     docs: (doc_id, text). One row per row of docs: doc_id, n_bytes, n_removed, n_spans (maximal
-    removed runs), kept_sha256 of the bytes left and, with_text, those bytes as kept. Strings are
-    compared on the input; other copies in the same text count, also overlapping ones; they never
+    removed runs), kept_sha256 of the bytes left, the columns named in carry and, with_text, those
+    bytes as kept and what is whole UTF-8 of them as kept_text. Strings are compared on the input; other copies in the same text count, also overlapping ones; they never
     cross texts. Null text: empty. Repeated rows are copies of each other. k-grams and contexts are
     told apart by 64-bit hashes (within one k-gram's group for the contexts).
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    carry = list(carry)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *carry)
     rows = rows.withColumn("text_key", F.xxhash64("text"))
-    spans = repeated_spans(rows, span, k).groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    spans = repeated_spans(rows.drop(*carry), span, k).groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     spans = spans.select(*[F.col(c).alias(f"s_{c}") for c in _KEY], "spans")
     both = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("s_doc_id")) & (F.col("text_key") == F.col("s_text_key")), "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * with_text
+    full = StructType([*StructType.fromDDL(schema).fields, *(rows.schema[c] for c in carry)])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -303,7 +306,9 @@ def suffix_dedup(docs: DataFrame, span: int = 400, k: int = 150, with_text: bool
                         runs.append([s, e])
                 edges = [0, *(x for r in runs for x in r), len(data)]
                 kept = b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
-                out.append((doc, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
-            yield _batch(out, schema)
+                out.append((doc, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *([kept, kept.decode('utf-8', 'ignore')] if with_text else [])))
+            made = _batch(out, schema)
+            names = [*made.schema.names, *carry]
+            yield pa.RecordBatch.from_arrays([*made.columns, *(b.column(c) for c in carry)], names)
 
-    return both.select("doc_id", "text", "spans").mapInArrow(remove, schema)
+    return both.select("doc_id", "text", "spans", *carry).mapInArrow(remove, full)
