@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import MASKS, leaks
 from .jaccard import jaccard_join
 from .mixing import mix
+from .passages import near_passages
 from .quality import quality_rules
 from .suffix_dedup import suffix_dedup
 from .tokens import token_counts
@@ -44,6 +45,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules)
 
 
+def op5_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_url_filters": op4_url_filters,
+    "op5_near_passages": op5_near_passages,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
