@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, written
+from .common import bounded, scratch_dir, written
 
 RECORDS = (
     "page_id long, url string, url_key string, captured string, payload_bytes long, payload_digest string, "
@@ -82,7 +83,7 @@ def write_warc(pages: DataFrame, path: str, min_payload: int = 0, file_bytes: in
     """Writes a record per row of pages (page_id, url, html) to archive files below path.
 
     Of the records with one payload of min_payload bytes or more, the smallest page_id's is the
-    response and the others are revisits of it; smaller payloads are all responses. Null html is an
+    response and the others are revisits of it (digests with one record need no look-up); smaller payloads are all responses. Null html is an
     empty payload. Rows that repeat the smallest page_id are responses too; a null page_id is a
     revisit where a row with an id has the payload, else a response. Files hold about file_bytes.
     """
@@ -90,17 +91,18 @@ def write_warc(pages: DataFrame, path: str, min_payload: int = 0, file_bytes: in
     made = rows.mapInArrow(_digests, "page_id long, url string, html string, digest string")
     size = F.octet_length(F.coalesce("html", F.lit("")))
     first = (
-        made.where((size >= min_payload) & F.col("page_id").isNotNull())
-        .groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1 or least is not null")
-        .select(F.col("digest").alias("d"), "least")
+        made.where(size >= min_payload)
+        .groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
     )
+    first = bounded(written(first.where("n > 1").select(F.col("digest").alias("d"), "least"), "warc-first"))
     both = made.join(first, (F.col("digest") == F.col("d")) & (size >= min_payload), "left")
     both = both.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least")))
-    total = rows.agg(F.sum(size + 600)).first()[0] or 0
-    both = both.repartition(max(1, -(-int(total) // file_bytes)), F.xxhash64("page_id", "url"))
+    mean = rows.agg(F.avg(size + 600)).first()[0] or 1
     lines = both.select("page_id", "url", "html", "digest", "first").mapInArrow(_records, "value binary")
     # The text writer puts bytes out as they are, on any file system that Spark knows.
-    lines.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n").text(path)
+    lines.select(F.col("value").cast("string").alias("value")).write.options(
+        lineSep="\r\n", compression="gzip", maxRecordsPerFile=max(1, int(file_bytes // mean))
+    ).text(path)
 
 
 def parse(data: bytes, file: str) -> Iterator[tuple]:
@@ -142,7 +144,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each archive file gives a run: its captures, sorted."""
     for b in batches:
         for path, content in zip(b.column("path"), b.column("content"), strict=True):
-            run = sorted(parse(content.as_py(), path.as_py().rsplit("/", 1)[-1]), key=_key)
+            run = sorted(parse(gzip.decompress(content.as_py()), path.as_py().rsplit("/", 1)[-1]), key=_key)
             for k in range(0, len(run), 5000):
                 yield _arrow(run[k : k + 5000], _NAMES, _KINDS)
 
