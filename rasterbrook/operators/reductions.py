@@ -176,7 +176,8 @@ def grid_estimates(df: DataFrame, cells: int = 3, fewest: int = 4) -> DataFrame:
 
 def weighted_score(parts: dict[str, Column], weights: dict[str, float]) -> Column:
     terms = [weights[k] * c for k, c in parts.items()]
-    return F.round(C.clamp(sum(terms[1:], terms[0])), 4)
+    # Half up with a little slack, so that sums in another order round alike.
+    return F.floor(C.clamp(sum(terms[1:], terms[0])) * 10_000 + (0.5 + 1e-6)) / 10_000.0
 
 
 def content_box(df: DataFrame, content: Column) -> DataFrame:

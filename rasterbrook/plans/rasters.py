@@ -160,7 +160,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return each(A.grid_estimates(patch(spark, d)), "image_id gy gx")
 
 
-@query("agg15_weighted_score", wrap(f"SELECT image_id, round(least(greatest(0.25::DOUBLE * round(avg(r), 6) + 0.30::DOUBLE * round(avg(g), 6) + 0.30::DOUBLE * round(avg(b), 6) + 0.15::DOUBLE * round(avg({LUMA}), 6), 0), 1), 4) AS score FROM rgb GROUP BY image_id", RGB, "score"))
+@query("agg15_weighted_score", wrap(f"SELECT image_id, floor(least(greatest(0.25::DOUBLE * round(avg(r), 6) + 0.30::DOUBLE * round(avg(g), 6) + 0.30::DOUBLE * round(avg(b), 6) + 0.15::DOUBLE * round(avg({LUMA}), 6), 0), 1) * 10000 + 0.500001::DOUBLE) / 10000 AS score FROM rgb GROUP BY image_id", RGB, "score"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     six = lambda c: F.round(F.avg(c), 6)
     parts = {"border": six(F.col("r")), "film": six(F.col("g")), "inversion": six(F.col("b")), "render": six(C.luma(F.col("r"), F.col("g"), F.col("b")))}
