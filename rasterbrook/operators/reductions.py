@@ -91,14 +91,13 @@ def relaxed(df: DataFrame, conditions: list[Column], least: list[int]) -> DataFr
     conditions[: k] hold for step k; least[0] is the fewest rows for all of them, least[1] for one less, and so on.
     """
     names = [f"_c{i}" for i in range(len(conditions))]
-    met: Column = F.lit(True)
     df = df.withColumns({n: c for n, c in zip(names, _running(conditions), strict=True)})
     counts = df.groupBy("image_id").agg(*[F.count_if(F.col(n)).alias(f"{n}_n") for n in names])
     df = join_back(df, counts)
     choice = F.lit(True)
     for n, k in zip(names, least[::-1], strict=True):  # the weakest first, so that the strictest wins
         choice = F.when(F.col(f"{n}_n") >= k, F.col(n)).otherwise(choice)
-    return df.where(choice & met).drop(*names, *[f"{n}_n" for n in names])
+    return df.where(choice).drop(*names, *[f"{n}_n" for n in names])
 
 
 def _running(conditions: list[Column]) -> list[Column]:
