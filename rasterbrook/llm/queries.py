@@ -11,7 +11,7 @@ from .decontaminate import MASKS, leaks
 from .jaccard import jaccard_join
 from .mixing import mix
 from .passages import near_passages
-from .quality import quality_rules
+from .quality import WORDS, quality_rules
 from .suffix_dedup import suffix_dedup
 from .tokens import token_counts
 from .toxicity import toxicity
@@ -89,6 +89,12 @@ def _seed_sql(rows: str, key: str) -> str:
     return " UNION ALL ".join(part.format(key=key, k=k, words=w, rows=rows) for k, w in enumerate(words))
 
 
+_CLASSES_SQL = ", ".join(
+    f"length(regexp_replace(t, '[^{c}]', '', 'g'))::DOUBLE" for c in (
+        "a-z", "A-Z", "0-9", r"\x20\x09-\x0D", r"""\x2E,;:!?''"()\x2D""", r"""\x00-\x08\x0E-\x1F#-&*+/<=>@\x5B-\x60\x7B-\x7F""", r"\x{80}-\x{10FFFF}",
+    )
+)
+_WORDS_SQL = ", ".join(f"({i}, '{w}')" for i, word in enumerate(WORDS) for w in {word, word.capitalize()})
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLE_SQL: dict[str, str] = {
@@ -135,4 +141,36 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT doc_id AS a, doc_id AS c FROM w UNION SELECT e.b, r.c FROM r JOIN e ON r.a = e.a)
         SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
         FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = w.doc_id""",
+    "op9_quality_rules": rf"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+                list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+        win AS (SELECT k, i, array_to_string(ws[i:i + 7], ' ') AS s FROM (SELECT k, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+        twice AS (SELECT k, unnest(range(i, i + 8)) AS p FROM win JOIN (SELECT k, s FROM win GROUP BY k, s HAVING count(*) > 1) USING (k, s)),
+        rep AS (SELECT k, count(DISTINCT p) AS n FROM twice GROUP BY k),
+        base AS (SELECT k, doc_id, lang, t, ws, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+                coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep USING (k)),
+        cls AS (SELECT k, lang, n_words, word_chars, 'c' AS kind, unnest(range(7)) AS i, unnest([{_CLASSES_SQL}]) / greatest(length(t), 1) AS p FROM base),
+        lists AS (SELECT * FROM (VALUES {_WORDS_SQL}) v(i, word)),
+        used AS (SELECT k, i, count(*) AS n FROM (SELECT k, unnest(ws) AS word FROM base) JOIN lists USING (word) GROUP BY k, i),
+        hist AS (SELECT k, lang, n_words, word_chars, 'w' AS kind, i, coalesce(n, 0) / greatest(n_words, 1) AS p
+                FROM base CROSS JOIN range({len(WORDS)}) r(i) LEFT JOIN used USING (k, i)),
+        parts AS (SELECT * FROM cls UNION ALL SELECT * FROM hist UNION ALL
+                SELECT k, lang, n_words, word_chars, 'w', {len(WORDS)}, (n_words - coalesce((SELECT sum(n) FROM used u WHERE u.k = b.k), 0)) / greatest(n_words, 1) FROM base b),
+        ref AS (SELECT lang, kind, i, avg(p) AS q FROM parts WHERE n_words > 0 GROUP BY ALL),
+        js AS (SELECT k, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS dist
+                FROM parts JOIN ref USING (lang, kind, i) GROUP BY k, kind),
+        far AS (SELECT k, max(CASE WHEN kind = 'c' AND word_chars >= 200 THEN dist ELSE 0 END) AS c, max(CASE WHEN kind = 'w' AND n_words >= 60 THEN dist ELSE 0 END) AS w
+                FROM base LEFT JOIN js USING (k) GROUP BY k)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+               NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(c, 0) <= 0.25 AND coalesce(w, 0) <= 0.40 AS kept
+        FROM base JOIN far USING (k)""",
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+        f AS (SELECT body, min(page_id) AS least FROM p GROUP BY body)
+        SELECT page_id, strlen(body)::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda i:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+        FROM p JOIN f USING (body)""",
 }
