@@ -22,7 +22,9 @@ from .common import bounded, components, written
 from .shingles import mixed, shingle_set
 
 _BITMAP = 8  # longs of a set's parity bitmap
-_PIVOT_KEYS = 3
+_PIVOT_KEYS = 3  # min-hashes a set
+_PIVOTS = 8  # pivots a min-hash
+_TRIED = 3  # of a set's pivots, those compared item by item
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -107,7 +109,8 @@ def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
 
     # Sets with enough shingles of their prefix elsewhere.
     posted = sets.select(key.alias("key"), F.explode("prefix").alias("h"))
-    shared = posted.groupBy("h").count().where("count > 1").select(F.col("h").alias("s_h"))
+    # Written first: Spark can then split a very frequent shingle's partition in the join.
+    shared = written(posted.groupBy("h").count().where("count > 1").select(F.col("h").alias("s_h")), "jaccard-shared")
     counted = posted.join(shared, F.col("h") == F.col("s_h")).groupBy("key").agg(F.count("*").alias("c"))
     likely = sets.select(key.alias("key"), "sig", "n").join(counted, "key").where(F.expr("n > 0 and c >= n div 20 + 1"))
     likely = written(likely.groupBy("sig").agg(F.min("key").alias("key")), "jaccard-likely")
@@ -120,18 +123,27 @@ def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     # Of those, sets of which enough shingles occur in others; their shared shingles, rarest first.
     item = full.select("sig", F.explode("items").alias("h"))
     often = item.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select(F.col("h").alias("o_h"), "df")
+    often = written(often, "jaccard-often")
     met = item.join(often, F.col("h") == F.col("o_h")).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("met"))
     index = full.join(met, "sig").where(100 * F.size("met") >= percent * F.col("n"))
     lead = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("met"))
     index = index.select("sig", "n", "items", "mins", "bits", (F.col("n") - F.size("met")).alias("own"), F.slice(F.col("met.h"), F.lit(1), lead.cast("int")).alias("lead"))
     index = written(index, "jaccard-index")
 
-    # Pivots: the smallest signature among sets with one min-hash. Verified links to them are answers taken over.
-    buckets = index.select("sig", F.posexplode("mins").alias("j", "m"))
-    pivots = buckets.groupBy("j", "m").agg(F.min("sig").alias("b"), F.count("*").alias("size")).where("size > 1")
-    pivots = pivots.select(F.col("j").alias("p_j"), F.col("m").alias("p_m"), "b")
-    stars = buckets.join(pivots, (F.col("j") == F.col("p_j")) & (F.col("m") == F.col("p_m"))).where("sig > b")
-    stars = written(_verified(stars.select(F.col("sig").alias("a"), "b").distinct(), index, percent), "jaccard-stars")
+    # Pivots: some sets of each min-hash's bucket, the same for all of it. A set is held against the
+    # few that its bitmap says are most like it; verified links to them are answers taken over.
+    buckets = index.select("sig", "n", "bits", F.posexplode("mins").alias("j", "m"))
+    some = F.array_distinct(F.array(*[F.min_by("sig", F.xxhash64(F.lit(r), "sig")) for r in range(_PIVOTS)]))
+    pivots = buckets.groupBy("j", "m").agg(some.alias("some"), F.count("*").alias("size")).where("size > 1")
+    pivots = pivots.select(F.col("j").alias("p_j"), F.col("m").alias("p_m"), F.explode("some").alias("b"))
+    near = buckets.join(pivots, (F.col("j") == F.col("p_j")) & (F.col("m") == F.col("p_m"))).where("sig <> b")
+    near = near.select("sig", "n", "bits", "b").dropDuplicates(["sig", "b"])
+    small = index.select(F.col("sig").alias("b_sig"), F.col("n").alias("b_n"), F.col("bits").alias("b_bits"))
+    near = near.join(small, F.col("b") == F.col("b_sig")).withColumn("unlike", _unlike("bits", "b_bits"))
+    near = near.where(F.col("unlike") <= F.col("n") + F.col("b_n") - 2 * _need("n", "b_n", percent))
+    best = near.groupBy("sig").agg(F.slice(F.array_sort(F.collect_list(F.struct("unlike", "b"))), 1, _TRIED).alias("best"))
+    stars = best.select(F.col("sig").alias("a"), F.explode("best.b").alias("b"))
+    stars = written(_verified(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), index, percent), "jaccard-stars")
     label = components(stars, "jaccard-stars")
 
     # What is left: lists with several components; postings outside a list's main one probe it.
