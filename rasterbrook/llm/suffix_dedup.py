@@ -239,7 +239,8 @@ def repeated_spans(docs: DataFrame, span: int = 400, k: int = 150, shard_rows: i
 
     long = docs.where(F.octet_length("text") >= span)
     samples = written(long.mapInArrow(sample, _SAMPLE), "suffix-samples")
-    names = samples.groupBy("name").count().where("count > 1").select(F.col("name").alias("r_name"))
+    # Written first: Spark can then split a very frequent name's partition in the join.
+    names = written(samples.groupBy("name").count().where("count > 1").select(F.col("name").alias("r_name")), "suffix-names")
     again = written(samples.join(names, F.col("name") == F.col("r_name")).drop("r_name"), "suffix-repeated")
     classes = written(
         again.groupBy("name", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "at")).alias("one")),
