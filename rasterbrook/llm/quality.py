@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded, written
 
 #: Frequent function words of four languages. Their shares, and the share of all
 #: other words, make up the common-word histogram; the references are measured, not fixed.
@@ -128,7 +128,8 @@ def quality_rules(
     ref = f.where("n_words > 0").groupBy("lang").agg(
         mean("char_hist", CLASSES).alias("char_ref"), mean("word_hist", len(WORDS) + 1).alias("word_ref")
     )
-    f = f.join(ref, "lang", "left")
+    # A row per language: counted, then broadcast, so that no task gets all texts of one language.
+    f = f.join(bounded(written(ref, "quality-references")), "lang", "left")
     f = f.withColumns({
         "char_distance": F.when(F.col("word_chars") >= min_chars, js_distance(F.col("char_hist"), F.col("char_ref"))),
         "word_distance": F.when(F.col("n_words") >= min_words, js_distance(F.col("word_hist"), F.col("word_ref"))),
