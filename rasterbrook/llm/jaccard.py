@@ -101,8 +101,8 @@ def _unlike(a: str, b: str) -> Column:
     return total
 
 
-def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Sets (doc_id, sig, n) of all rows, and the links (a, b) between signatures that join components."""
+def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets (doc_id, sig, n) of all rows; components (node, component) that pivots give; links (a, b) beyond those."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(rows.mapInArrow(_sets(k, percent), "doc_id long, sig long, n long, prefix array<long>"), "jaccard-prefixes")
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
@@ -147,8 +147,8 @@ def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     label = components(stars, "jaccard-stars")
 
     # What is left: lists with several components; postings outside a list's main one probe it.
-    label = label.select(F.col("node").alias("l_sig"), F.col("component"))
-    post = index.join(label, F.col("sig") == F.col("l_sig"), "left").select(
+    known = label.select(F.col("node").alias("l_sig"), F.col("component"))
+    post = index.join(known, F.col("sig") == F.col("l_sig"), "left").select(
         "sig", "n", "own", "bits", F.coalesce("component", "sig").alias("comp"), F.posexplode("lead").alias("at", "h")
     )
     post = post.withColumn("at", F.col("at") + F.col("own") + 1).drop("own")
@@ -170,7 +170,7 @@ def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
         & (_unlike("bits", "p_bits") <= F.col("n") + F.col("p_n") - 2 * _need("n", "p_n", percent))
     ))
     rest = _verified(pair.select(F.greatest("sig", "p_sig").alias("a"), F.least("sig", "p_sig").alias("b")).distinct(), index, percent)
-    return sets.select("doc_id", "sig", "n"), stars.unionByName(rest)
+    return sets.select("doc_id", "sig", "n"), label, written(rest, "jaccard-rest")
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -182,10 +182,15 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     is their own doc_id. Equal sets link; repeated rows too. A null doc_id never is a component_id
     where another is reachable. Shingles and sets are told apart by 64-bit hashes.
     """
-    sets, links = jaccard_sets(docs, k, percent)
-    found = components(links, "jaccard").select(F.col("node").alias("c_sig"), F.col("component"))
+    sets, label, rest = jaccard_sets(docs, k, percent)
     least = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    group = least.join(found, F.col("sig") == F.col("c_sig"), "left").withColumn("component", F.coalesce("component", "sig"))
+    group = least.join(label, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("component", "sig").alias("component"))
+    if not rest.isEmpty():  # links between components join those
+        of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+        between = rest.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        between = between.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+        joined = components(between, "jaccard").select("node", F.col("component").alias("final"))
+        group = group.join(joined, F.col("component") == F.col("node"), "left").withColumn("component", F.coalesce("final", "component"))
     group = written(group.select("sig", "component", "least"), "jaccard-groups")
     ids = group.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = group.join(ids, "component").select(F.col("sig").alias("g_sig"), "component_id")
