@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, written
 
-#: Which of ten neighbouring tokens a seed looks at (1) and which it ignores (0).
+#: Fixed values of the SQL: which of ten neighbouring tokens a seed looks at (1) and which it ignores (0).
 MASKS = ("1101101011", "1011011101")
-SPAN = 10
+#: One of these lies intact in 13 tokens of which any two were substituted.
+WIDE = ("1110100101", "1001110011")
 
 
 def tokens(text: Column) -> Column:
@@ -21,15 +24,26 @@ def hashed(text: Column) -> Column:
     return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, seed, pos: each mask's hash at each token position. rows has a column h of token hashes."""
-    n = F.size("h") - (SPAN - 1)
-    shifted = [F.slice("h", i + 1, n).alias(f"t{i}") for i in range(SPAN)]
-    each = rows.where(F.size("h") >= SPAN).select(*keys, F.posexplode(F.arrays_zip(*shifted)))
-    looked = [
-        F.xxhash64(F.lit(k), *[F.col(f"col.t{i}") for i, c in enumerate(mask) if c == "1"]) for k, mask in enumerate(MASKS)
-    ]
-    return each.select(*keys, "pos", F.explode(F.array(*looked)).alias("seed"))
+def masks(compared: int, share: float) -> tuple[str, ...]:
+    """Masks of which one lies intact in so many neighbouring tokens, wherever those stand that the share lets differ."""
+    changed = max(c for c in range(compared + 1) if c == 0 or compared - c >= share * compared)
+    if compared >= 13 and changed <= 2:
+        return WIDE
+    return ("1" * max(1, -(-(compared - changed) // (changed + 1))),)  # the longest run between changed tokens
+
+
+def seeds(rows: DataFrame, keys: list[str], used: list[str]) -> DataFrame:
+    """keys, pos, seed: each used mask's hash at each token position. rows has a column h of token hashes."""
+    parts = []
+    for span in sorted({len(m) for m in used}):
+        n = F.size("h") - (span - 1)
+        shifted = [F.slice("h", i + 1, n).alias(f"t{i}") for i in range(span)]
+        each = rows.where(F.size("h") >= span).select(*keys, F.posexplode(F.arrays_zip(*shifted)))
+        looked = [
+            F.xxhash64(F.lit(m), *[F.col(f"col.t{i}") for i, c in enumerate(m) if c == "1"]) for m in used if len(m) == span
+        ]
+        parts.append(each.select(*keys, "pos", F.explode(F.array(*looked)).alias("seed")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.8) -> DataFrame:
@@ -38,16 +52,23 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.
     docs: (doc_id, text), items: (item_id, text). Tokens are lower-cased runs of letters and digits.
     A seed that both sides have puts the item against the text without shifts; there, `compared`
     neighbouring tokens (window, or the whole of a shorter item) must agree in at least the given
-    share, so single words may be substituted. The best stretch of each pair is returned; position
-    is the text token that the item's first token would lie on. Items of fewer than ten tokens have
-    no seed and aren't searched. Null or empty texts hold nothing; null ids are ids of their own;
+    share, so single words may be substituted; every such stretch has a seed. The best stretch of each
+    pair is returned; position is the text token that the item's first token would lie on. Shorter
+    items have shorter seeds; those without tokens aren't searched. Null or empty texts hold nothing; null ids are ids of their own;
     repeated rows give one row.
     """
     own = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").where("text is not null")
-    bench = items.select("item_id", hashed(F.col("text")).alias("h")).where(F.size("h") >= SPAN).distinct()
-    wanted = written(seeds(bench.withColumn("item_key", F.xxhash64("item_id", "h")).withColumn("item_n", F.size("h")), ["item_key", "item_n"]), "leak-seeds")
+    bench = items.select("item_id", hashed(F.col("text")).alias("h")).where(F.size("h") > 0).distinct()
+    keyed = bench.withColumn("item_key", F.xxhash64("item_id", "h")).withColumn("item_n", F.size("h"))
+    lengths = [r[0] for r in keyed.select(F.least(F.lit(window), "item_n")).distinct().collect()]  # window at most
+    by_mask: dict[tuple[str, ...], list[int]] = {}
+    for n in sorted(lengths) or [window]:
+        by_mask.setdefault(masks(n, share), []).append(n)
+    each = [seeds(keyed.where(F.least(F.lit(window), "item_n").isin(ns)), ["item_key", "item_n"], list(m)) for m, ns in by_mask.items()]
+    wanted = written(reduce(DataFrame.unionByName, each), "leak-seeds")
     wanted = wanted.select("item_key", "item_n", F.col("pos").alias("item_pos"), F.col("seed").alias("item_seed"))
-    made = seeds(own.select("doc_id", "text_key", hashed(F.col("text")).alias("h")), ["doc_id", "text_key"])
+    used = sorted({m for ms in by_mask for m in ms})
+    made = seeds(own.select("doc_id", "text_key", hashed(F.col("text")).alias("h")), ["doc_id", "text_key"], used)
     hits = made.join(bounded(wanted), F.col("seed") == F.col("item_seed"))
     hits = hits.select("doc_id", "text_key", "item_key", "item_n", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     hits = written(hits, "leak-hits")
