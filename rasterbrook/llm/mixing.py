@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import bounded, written
+
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     """Blocks of each source in a period: at least one, largest remainders rounded up."""
@@ -67,24 +69,28 @@ def mix(
     it keep their slots (nothing is dropped), with gaps where dry sources would have been.
     weights: by source; None takes each source's row count to the given power. Sources without a
     given weight aren't in the mixture: no slot, in_mix false. A null source is a source of its
-    own, named "". The driver holds the weights and the schedule: at most `period` of either.
+    own, named "". The driver holds the weights and the schedule. Without given weights the period grows
+    to the number of sources where that is larger; more given weights than `period` are an error.
     """
     names = ["block_no", "release", "deadline", "slot", "position", "in_mix"]
     spark, cols = docs.sparkSession, [c for c in docs.columns if c not in names]
     rows = docs.select(*cols, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_s"), _order("doc_id").alias("_o"))
-    counts = {r[0]: r[1] for r in rows.groupBy("_s").count().limit(period + 1).collect()}
+    per = written(rows.groupBy("_s").count(), "mix-counts")
+    wanted = per if weights is None else per.join(F.broadcast(spark.createDataFrame([(s,) for s in weights], "_s string")), "_s", "left_semi")
+    counts = {r[0]: r[1] for r in wanted.collect()}
     if weights is None:
         weights = {s: n**power for s, n in counts.items()}
+        period = max(period, len(counts))
     quota = shares({s: w for s, w in weights.items() if s in counts}, period)
     plan = spark.createDataFrame(
         [(s, i, r, d, t, quota[s], counts[s]) for s, i, r, d, t in schedule(quota)],
         "p_s string, p_i long, p_release long, p_deadline long, p_slot long, p_quota long, p_rows long",
     )
     # Ranks without a window over a whole source: the md5 order is cut into buckets of bounded size.
-    cuts = {s: max(1, -(-n // bucket_rows)) for s, n in counts.items()}
-    n_cuts = F.coalesce(F.create_map(*[F.lit(x) for kv in sorted(cuts.items()) for x in kv])[F.col("_s")], F.lit(1)) if cuts else F.lit(1)
+    cuts = per.select(F.col("_s").alias("c_s"), F.ceil(F.col("count") / bucket_rows).alias("_cuts"))
+    rows = rows.join(bounded(cuts), F.col("_s") == F.col("c_s")).drop("c_s")
     head = F.conv(F.substring("_o", 1, 7), 16, 10).cast("long")
-    rows = rows.withColumn("_b", F.floor(head * n_cuts / F.lit(1 << 28)))
+    rows = rows.withColumn("_b", F.floor(head * F.col("_cuts") / F.lit(1 << 28)))
     sizes = rows.groupBy("_s", "_b").count()
     before = F.sum("count").over(W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
     sizes = sizes.select(F.col("_s").alias("z_s"), F.col("_b").alias("z_b"), F.coalesce(before, F.lit(0)).alias("_before"))
@@ -92,9 +98,14 @@ def mix(
     ranked = rows.withColumn("_n", place).join(sizes, (F.col("_s") == F.col("z_s")) & (F.col("_b") == F.col("z_b")))
     ranked = ranked.withColumn("_r", F.col("_before") + F.col("_n") - 1)
     ranked = ranked.withColumn("block_no", F.floor(F.col("_r") / block))
-    quotas = F.create_map(*[F.lit(x) for kv in sorted(quota.items()) for x in kv])[F.col("_s")] if quota else F.lit(None).cast("int")
-    ranked = ranked.withColumn("_q", quotas).withColumn("_i", F.expr("block_no % _q")).withColumn("_k", F.expr("block_no div _q"))
-    dry = min((_first_dry(s, n, quota[s], block, period, quota) for s, n in counts.items() if s in quota), default=0)
+    quotas = bounded(spark.createDataFrame(list(quota.items()), "q_s string, _q int"))
+    ranked = ranked.join(quotas, F.col("_s") == F.col("q_s"), "left")
+    ranked = ranked.withColumn("_i", F.expr("block_no % _q")).withColumn("_k", F.expr("block_no div _q"))
+    slots: dict[str, list[int]] = {}
+    for s, *_, t in schedule(quota):
+        slots.setdefault(s, []).append(t)
+    # The slot of the first block that a source can't fill.
+    dry = min((n // block // quota[s] * period + slots[s][n // block % quota[s]] for s, n in counts.items() if s in quota), default=0)
     out = ranked.join(F.broadcast(plan), (F.col("_s") == F.col("p_s")) & (F.col("_i") == F.col("p_i")), "left")
     base = F.col("_k") * period
     return out.select(
@@ -105,17 +116,3 @@ def mix(
         ((base + F.col("p_slot")) * block + F.col("_r") % block).alias("position"),
         F.coalesce(base + F.col("p_slot") < dry, F.lit(False)).alias("in_mix"),
     )
-
-
-def _first_dry(source: str, n: int, q: int, block: int, period: int, quota: dict[str, int]) -> int:
-    """The slot of the first block that this source can't fill."""
-    k, i = divmod(n // block, q)
-    slots = sorted(t for s, j, _, _, t in _period(tuple(sorted(quota.items()))) if s == source)
-    return k * period + slots[i]
-
-
-def _period(quota: tuple, _seen: dict = {}) -> list:  # noqa: B006
-    if quota not in _seen:
-        _seen.clear()
-        _seen[quota] = schedule(dict(quota))
-    return _seen[quota]
