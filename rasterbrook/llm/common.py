@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +23,14 @@ def _own_folder() -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of its own only where none is named (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The shared folder that the cluster names. A local master, as in tests, may go without: it gets one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.conf.get("spark.master", "")
+    if master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -33,11 +42,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def discard(table: DataFrame) -> None:
-    """Deletes a table of written() that nothing reads any more, in whatever store it lies."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more, in whatever store they lie."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of a side that may be broadcast; a larger side is shuffled instead.
@@ -45,15 +55,42 @@ BROADCAST_ROWS = 500_000
 
 
 def bounded(side: DataFrame) -> DataFrame:
-    """The side with a broadcast hint where it has few enough rows; else as it is, for a shuffled join."""
+    """The side with a broadcast hint where it has few enough rows; else as it is, for a shuffled join.
+
+    For sides of short rows: row by row they stay within a few hundred bytes.
+    """
     return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of docs whose doc_id is (left_semi) or isn't (left_anti) in ids; null equals null."""
-    ids = ids.select(F.col("doc_id").alias("_kept_id"))
-    ids = bounded(ids)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), how)
+def bounded_bytes(side: DataFrame, size: Column, most: int = 64 << 20) -> DataFrame:
+    """Like bounded(), for rows of any length: size is a row's bytes, and both rows and bytes are counted."""
+    n, total = side.agg(F.count("*"), F.sum(size.cast("long"))).first()
+    return F.broadcast(side) if n <= BROADCAST_ROWS and (total or 0) <= most else side
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a piece has few bytes of text or one row: bounds what Python holds at a time."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()
+        start = held = 0
+        for i, n in enumerate(sizes):
+            if i > start and held + n > most:
+                yield b.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        yield b.slice(start)
+
+
+def text_key(text: str = "text") -> Column:
+    """Tells texts of one doc_id apart; null and empty are told apart too."""
+    return F.when(F.col(text).isNull(), F.lit(-1)).otherwise(F.xxhash64(text))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of docs whose (doc_id, text_key) isn't in gone; null ids are ids. Other rows of one doc_id stay."""
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    gone = bounded(written(gone, "gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (text_key() == gone["_gone_key"]), "left_anti")
 
 
 def ascii_lower(c: Column) -> Column:
@@ -66,18 +103,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Large-star and small-star steps alternate until nothing changes; each step is a grouped
     minimum (combined before the shuffle) joined back to the edges, so a node with very many
-    neighbours isn't gathered anywhere. Every round is written to the shared folder.
+    neighbours isn't gathered anywhere. Every round is written to the shared folder, the one before it deleted.
     Nodes without an edge to another node aren't returned.
     """
-    spark = edges.sparkSession
     pairs = edges.select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     ).where("a > b").distinct()
     pairs = written(pairs, f"{name}-edges")
-    if pairs.isEmpty():
-        return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     seen = None
-    while True:
+    while not pairs.isEmpty():
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -85,7 +119,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).where("a > b").distinct()
-        pairs = written(small, f"{name}-round")
+        before, pairs = pairs, written(small, f"{name}-round")
+        discard(before)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

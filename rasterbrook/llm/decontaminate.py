@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, written
+from .common import bounded, bounded_bytes, discard, text_key, written
 
 #: Fixed values of the SQL: which of ten neighbouring tokens a seed looks at (1) and which it ignores (0).
 MASKS = ("1101101011", "1011011101")
@@ -46,6 +46,11 @@ def seeds(rows: DataFrame, keys: list[str], used: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def leaking_texts(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.8) -> DataFrame:
+    """Like leaks(), a row for each text (text_key) of an id."""
+    return _leaks(docs, items, window, share, ["doc_id", "text_key"])
+
+
 def leaks(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.8) -> DataFrame:
     """(doc_id, item_id, matched, compared, position): which texts hold a passage of which item.
 
@@ -57,7 +62,11 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.
     items have shorter seeds; those without tokens aren't searched. Null or empty texts hold nothing; null ids are ids of their own;
     repeated rows give one row.
     """
-    own = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").where("text is not null")
+    return _leaks(docs, items, window, share, ["doc_id"])
+
+
+def _leaks(docs: DataFrame, items: DataFrame, window: int, share: float, by: list[str]) -> DataFrame:
+    own = docs.select("doc_id", text_key().alias("text_key"), "text").where("text is not null")
     bench = items.select("item_id", hashed(F.col("text")).alias("h")).where(F.size("h") > 0).distinct()
     keyed = bench.withColumn("item_key", F.xxhash64("item_id", "h")).withColumn("item_n", F.size("h"))
     lengths = [r[0] for r in keyed.select(F.least(F.lit(window), "item_n")).distinct().collect()]  # window at most
@@ -65,23 +74,24 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.
     for n in sorted(lengths) or [window]:
         by_mask.setdefault(masks(n, share), []).append(n)
     each = [seeds(keyed.where(F.least(F.lit(window), "item_n").isin(ns)), ["item_key", "item_n"], list(m)) for m, ns in by_mask.items()]
-    wanted = written(reduce(DataFrame.unionByName, each), "leak-seeds")
-    wanted = wanted.select("item_key", "item_n", F.col("pos").alias("item_pos"), F.col("seed").alias("item_seed"))
+    item_seeds = written(reduce(DataFrame.unionByName, each), "leak-seeds")
+    wanted = item_seeds.select("item_key", "item_n", F.col("pos").alias("item_pos"), F.col("seed").alias("item_seed"))
     used = sorted({m for ms in by_mask for m in ms})
     made = seeds(own.select("doc_id", "text_key", hashed(F.col("text")).alias("h")), ["doc_id", "text_key"], used)
     hits = made.join(bounded(wanted), F.col("seed") == F.col("item_seed"))
     hits = hits.select("doc_id", "text_key", "item_key", "item_n", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     hits = written(hits, "leak-hits")
+    discard(item_seeds)
 
     bench = bench.withColumn("b_key", F.xxhash64("item_id", "h")).select("b_key", "item_id", F.col("h").alias("item_h"))
     per_text = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("item_key", "item_n", "shift")).alias("hits"))
     per_text = written(per_text.select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"), "hits"), "leak-texts")
-    found = own.join(bounded(per_text), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_key") == F.col("h_key")))
-    found = found.select("doc_id", hashed(F.col("text")).alias("h"), F.explode("hits").alias("hit"))
+    found = own.join(bounded_bytes(per_text, 24 * F.size("hits")), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_key") == F.col("h_key")))
+    found = found.select("doc_id", "text_key", hashed(F.col("text")).alias("h"), F.explode("hits").alias("hit"))
     # What the text has where the item's tokens would lie; null beyond its ends.
     from_ = F.greatest(F.col("hit.shift"), F.lit(0))
-    found = found.select("doc_id", "hit.*", from_.alias("start"), F.slice("h", from_ + 1, F.col("hit.item_n")).alias("there"))
-    both = found.join(bounded(bench), F.col("item_key") == F.col("b_key"))
+    found = found.select("doc_id", "text_key", "hit.*", from_.alias("start"), F.slice("h", from_ + 1, F.col("hit.item_n")).alias("there"))
+    both = found.join(bounded_bytes(bench, 8 * F.size("item_h")), F.col("item_key") == F.col("b_key"))
     both = both.withColumn("here", F.slice("item_h", F.col("start") - F.col("shift") + 1, F.size("item_h")))
     same = F.zip_with("here", "there", lambda a, b: F.when(a == b, 1).otherwise(0))
     both = both.withColumn("same", F.slice(same, 1, F.least(F.size("here"), F.size("there"))))
@@ -89,7 +99,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.
     sums = F.expr("transform(sequence(1, size(same) - compared + 1), i -> aggregate(slice(same, i, compared), 0, (a, x) -> a + x))")
     both = both.withColumn("matched", F.array_max(sums)).where(F.col("matched") >= F.lit(share) * F.col("compared"))
     best = F.max(F.struct("matched", "compared", (-F.col("shift")).alias("back"))).alias("best")
-    return both.groupBy("doc_id", "item_id").agg(best).select(
-        "doc_id", "item_id", F.col("best.matched").cast("long").alias("matched"),
+    return both.groupBy(*by, "item_id").agg(best).select(
+        *by, "item_id", F.col("best.matched").cast("long").alias("matched"),
         F.col("best.compared").cast("long").alias("compared"), (-F.col("best.back")).cast("long").alias("position"),
     )

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, written
+from .common import bounded, components, discard, pieces, text_key, written
 from .shingles import mixed, shingle_set
 
 _BITMAP = 8  # longs of a set's parity bitmap
@@ -38,7 +38,7 @@ def _signature(s: np.ndarray) -> int:
 
 def _sets(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text"):
             sigs, sizes, starts = [], [], []
             for x in b.column("text"):
                 s = shingle_set(x.as_py(), k)
@@ -46,8 +46,8 @@ def _sets(k: int, percent: int):
                 sizes.append(len(s))
                 starts.append(s[: prefix_size(len(s), percent)])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(starts, pa.list_(pa.int64()))],
-                ["doc_id", "sig", "n", "prefix"],
+                [b.column("doc_id"), b.column("text_key"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(starts, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "sig", "n", "prefix"],
             )
 
     return run
@@ -57,12 +57,12 @@ def _whole(k: int):
     schema = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64())), ("mins", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text"):
             rows = []
             for x, wanted in zip(b.column("text"), b.column("wanted").to_pylist(), strict=True):
                 s = shingle_set(x.as_py(), k)
                 if (sig := _signature(s)) != wanted:
-                    continue  # another text of the same id
+                    continue  # another text with the same hash
                 u = s.view(np.uint64)
                 mins = [int(mixed(u + np.uint64(j * 0x51ED270B + 1)).min()) - (1 << 63) for j in range(_PIVOT_KEYS)]
                 bits = np.zeros(_BITMAP, np.uint64)
@@ -102,23 +102,24 @@ def _unlike(a: str, b: str) -> Column:
 
 
 def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sets (doc_id, sig, n) of all rows; components (node, component) that pivots give; links (a, b) beyond those."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(rows.mapInArrow(_sets(k, percent), "doc_id long, sig long, n long, prefix array<long>"), "jaccard-prefixes")
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    """Sets (doc_id, text_key, sig, n) of all rows; components (node, component) that pivots give; links (a, b) beyond those."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", text_key())
+    sets = written(rows.mapInArrow(_sets(k, percent), "doc_id long, text_key long, sig long, n long, prefix array<long>"), "jaccard-prefixes")
+    key = F.xxhash64("doc_id", "text_key")  # rows without an id, or with one that others have, have keys of their own
 
     # Sets with enough shingles of their prefix elsewhere.
     posted = sets.select(key.alias("key"), F.explode("prefix").alias("h"))
     # Written first: Spark can then split a very frequent shingle's partition in the join.
     shared = written(posted.groupBy("h").count().where("count > 1").select(F.col("h").alias("s_h")), "jaccard-shared")
     counted = posted.join(shared, F.col("h") == F.col("s_h")).groupBy("key").agg(F.count("*").alias("c"))
-    likely = sets.select(key.alias("key"), "sig", "n").join(counted, "key").where(F.expr("n > 0 and c >= n div 20 + 1"))
+    likely = sets.select(key.alias("key"), "sig", "n").join(counted, "key").where(F.expr(f"n > 0 and c >= n * {percent} div 1600 + 1"))
     likely = written(likely.groupBy("sig").agg(F.min("key").alias("key")), "jaccard-likely")
     wanted = likely.select(F.col("key").alias("w_key"), F.col("sig").alias("wanted"))
     texts = rows.where("text is not null").withColumn("key", key)
     texts = texts.join(bounded(wanted), F.col("key") == F.col("w_key")).select("text", "wanted")
     full = texts.mapInArrow(_whole(k), "sig long, n long, items array<long>, mins array<long>, bits array<long>")
     full = written(full.dropDuplicates(["sig"]), "jaccard-sets")
+    discard(shared, likely)
 
     # Of those, sets of which enough shingles occur in others; their shared shingles, rarest first.
     item = full.select("sig", F.explode("items").alias("h"))
@@ -129,6 +130,7 @@ def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     lead = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("met"))
     index = index.select("sig", "n", "items", "mins", "bits", (F.col("n") - F.size("met")).alias("own"), F.slice(F.col("met.h"), F.lit(1), lead.cast("int")).alias("lead"))
     index = written(index, "jaccard-index")
+    discard(full, often)
 
     # Pivots: some sets of each min-hash's bucket, the same for all of it. A set is held against the
     # few that its bitmap says are most like it; verified links to them are answers taken over.
@@ -145,6 +147,7 @@ def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     stars = best.select(F.col("sig").alias("a"), F.explode("best.b").alias("b"))
     stars = written(_verified(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), index, percent), "jaccard-stars")
     label = components(stars, "jaccard-stars")
+    discard(stars)
 
     # What is left: lists with several components; postings outside a list's main one probe it.
     known = label.select(F.col("node").alias("l_sig"), F.col("component"))
@@ -158,6 +161,7 @@ def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     main = sizes.groupBy("h").agg(F.max(F.struct("size", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
     main = main.select(F.col("h").alias("m_h"), F.col("most.comp").alias("main"))
     several = written(post.join(main, F.col("h") == F.col("m_h")).drop("m_h"), "jaccard-several")
+    discard(post)
     probe = several.where("comp <> main").select(
         F.col("sig").alias("p_sig"), F.col("n").alias("p_n"), F.col("bits").alias("p_bits"), F.col("comp").alias("p_comp"), F.col("at").alias("p_at"),
         F.col("h").alias("p_h"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("p_block"),
@@ -170,17 +174,16 @@ def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
         & (_unlike("bits", "p_bits") <= F.col("n") + F.col("p_n") - 2 * _need("n", "p_n", percent))
     ))
     rest = _verified(pair.select(F.greatest("sig", "p_sig").alias("a"), F.least("sig", "p_sig").alias("b")).distinct(), index, percent)
-    return sets.select("doc_id", "sig", "n"), label, written(rest, "jaccard-rest")
+    rest = written(rest, "jaccard-rest")
+    discard(several, index)
+    return sets.select("doc_id", "text_key", "sig", "n"), label, rest
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row per row of docs (doc_id, text).
+def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, group): one row per row of docs (doc_id, text).
 
-    Two texts link when 100 * intersection >= percent * union of their sets of k-word shingles
-    (words lower-cased in A-Z; fewer than k words: one shingle of all). component_id is the smallest
-    doc_id reachable over links. Texts without words have no set and link with nothing: component_id
-    is their own doc_id. Equal sets link; repeated rows too. A null doc_id never is a component_id
-    where another is reachable. Shingles and sets are told apart by 64-bit hashes.
+    group names the component, also one without any id (null for texts without words); rows that
+    share doc_id and text_key are repeats of one row.
     """
     sets, label, rest = jaccard_sets(docs, k, percent)
     least = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
@@ -192,7 +195,34 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         joined = components(between, "jaccard").select("node", F.col("component").alias("final"))
         group = group.join(joined, F.col("component") == F.col("node"), "left").withColumn("component", F.coalesce("final", "component"))
     group = written(group.select("sig", "component", "least"), "jaccard-groups")
+    discard(rest)
     ids = group.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = group.join(ids, "component").select(F.col("sig").alias("g_sig"), "component_id")
+    ids = group.join(ids, "component").select(F.col("sig").alias("g_sig"), "component_id", F.col("component").alias("group"))
     out = sets.join(ids, (F.col("sig") == F.col("g_sig")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), own.alias("component_id"), "group")
+
+
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id): one row per row of docs (doc_id, text).
+
+    Two texts link when 100 * intersection >= percent * union of their sets of k-word shingles
+    (words lower-cased in A-Z; fewer than k words: one shingle of all). component_id is the smallest
+    doc_id reachable over links. Texts without words have no set and link with nothing: component_id
+    is their own doc_id. Equal sets link; repeated rows too. A null doc_id never is a component_id
+    where another is reachable. Shingles and sets are told apart by 64-bit hashes.
+    """
+    return jaccard_groups(docs, k, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def superfluous(groups: DataFrame) -> DataFrame:
+    """(doc_id, text_key) of the rows of jaccard_groups() that aren't their group's representative.
+
+    That is the row with the smallest doc_id (an id before none), of several texts of it the one with the
+    smallest text_key. Rows that repeat a representative aren't told apart from it.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    firsts = groups.where("group is not null").groupBy("group").agg(least.alias("one"))
+    firsts = firsts.select(F.col("group").alias("f_group"), F.col("one.doc_id").alias("f_id"), F.col("one.text_key").alias("f_key"))
+    met = groups.join(firsts, F.col("group") == F.col("f_group"))
+    return met.where(~(F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_key") == F.col("f_key")))).select("doc_id", "text_key")

@@ -3,116 +3,115 @@
 from __future__ import annotations
 
 import heapq
-from math import isfinite
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import count
+from math import isfinite, lcm
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import bounded, written
 
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Blocks of each source in a period: at least one, largest remainders rounded up."""
-    if not weights:
-        return {}
-    if any(not isfinite(w) or w <= 0 for w in weights.values()) or len(weights) > period:
-        raise ValueError("weights must be positive, and no more sources than blocks in a period")
-    total, spare = sum(weights.values()), period - len(weights)
-    exact = {s: w / total * spare for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+def schedule(weights: Mapping[str, float], blocks: Mapping[str, int]) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(source, block, release, deadline, slot, phase): each source's blocks in the slots of a Pfair schedule.
 
-
-def schedule(quota: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block of the period, release, deadline, slot) of one period.
-
-    Block i (from 0) of a source with q of the period's Q blocks may run in slots
-    floor(i Q / q) to ceil((i + 1) Q / q) - 1. Of the released blocks, the earliest deadline runs.
-    The shares add up to one, so no deadline is missed and each source's count stays within one
-    block of its exact share after every slot. The next period is the same again.
+    With w a source's share of all weights, as an exact fraction, its block i (from 0) may run in slots
+    floor(i / w) to ceil((i + 1) / w) - 1. Of the released blocks, the earliest deadline runs. The shares
+    add up to one, so a slot is never empty, no deadline is missed, and each source's count stays
+    within one block of w times the slots, however many there are. When the next block would be that
+    of a source that has none left, a phase ends: sources without blocks leave, and the others go
+    on by their shares of what weight is left, from that slot on.
     """
-    period = sum(quota.values())
-    coming = sorted(
-        (i * period // q, -(-(i + 1) * period // q), s, i) for s, q in quota.items() for i in range(q)
-    )[::-1]
-    ready: list[tuple[int, str, int, int]] = []
-    out = []
-    for slot in range(period):
-        while coming and coming[-1][0] <= slot:
-            release, deadline, s, i = coming.pop()
-            heapq.heappush(ready, (deadline, s, i, release))
-        deadline, s, i, release = heapq.heappop(ready)
-        out.append((s, i, release, deadline, slot))
-    return out
+    if any(not isfinite(w) or w <= 0 for w in weights.values()):
+        raise ValueError("weights must be positive numbers")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    left = {s: n for s, n in blocks.items() if n > 0}
+    done = dict.fromkeys(left, 0)
+    start = phase = 0
+    while left:
+        scale = lcm(*(exact[s].denominator for s in left))
+        part = {s: int(exact[s] * scale) for s in left}
+        total = sum(part.values())
+        coming = [(0, s, 0) for s in sorted(left)]
+        ready: list[tuple[int, str, int, int]] = []
+        for slot in count():
+            while coming and coming[0][0] <= slot:
+                release, s, i = heapq.heappop(coming)
+                heapq.heappush(ready, (-(-(i + 1) * total // part[s]), s, i, release))
+            deadline, s, i, release = heapq.heappop(ready)
+            if not left[s]:
+                break
+            yield s, done[s], start + release, start + deadline, start + slot, phase
+            done[s] += 1
+            left[s] -= 1
+            heapq.heappush(coming, ((i + 1) * total // part[s], s, i + 1))
+        left = {s: n for s, n in left.items() if n}
+        start, phase = start + slot, phase + 1
 
 
-def _order(c: str) -> Column:
-    return F.md5(F.coalesce(F.col(c).cast("string"), F.lit("")))
+def _key(source: str | None) -> str:
+    """A source as a key: a null one and an empty one are two."""
+    return "" if source is None else f"={source}"
 
 
 def mix(
     docs: DataFrame,
-    weights: dict[str, float] | None = None,
+    weights: Mapping[str | None, float] | None = None,
     power: float = 0.5,
     block: int = 16,
-    period: int = 1000,
+    most_blocks: int = 100_000,
     bucket_rows: int = 2_000,
 ) -> DataFrame:
     """Adds block_no, release, deadline, slot, position and in_mix to every row of docs (doc_id, source).
 
-    A source's rows are put in the order of md5(doc_id) and cut into blocks; blocks get the slots of
-    the Pfair schedule, whose period repeats. position = slot * block + place in the block: sorted by
-    it, the rows are the mixture. in_mix marks slots before the first source runs dry; the rows after
-    it keep their slots (nothing is dropped), with gaps where dry sources would have been.
-    weights: by source; None takes each source's row count to the given power. Sources without a
-    given weight aren't in the mixture: no slot, in_mix false. A null source is a source of its
-    own, named "". The driver holds the weights and the schedule. Without given weights the period grows
-    to the number of sources where that is larger; more given weights than `period` are an error.
+    A source's rows are put in the order of a hash of the row and cut into blocks; blocks get the slots
+    of the Pfair schedule. position = slot * rows of a block + place in the block: sorted by it, the
+    rows are the mixture. in_mix marks the slots before the first source runs dry, in which each
+    source's count of blocks is less than one from its target; the rows behind them stay, mixed by
+    the weights of the sources that are left.
+    weights: by source (None: the null source); without any, each source's row count to the given
+    power. Sources without a given weight aren't in the mixture: no slot, in_mix false. Null and empty
+    sources are two sources, null and repeated ids and repeated rows are rows like others. Columns of docs named like
+    the added ones are replaced. A block has `block` rows, or more where there would be over most_blocks (and a
+    block for each source): the driver holds the sources' counts and the schedule, a few MB at any size of docs.
     """
     names = ["block_no", "release", "deadline", "slot", "position", "in_mix"]
     spark, cols = docs.sparkSession, [c for c in docs.columns if c not in names]
-    rows = docs.select(*cols, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_s"), _order("doc_id").alias("_o"))
-    per = written(rows.groupBy("_s").count(), "mix-counts")
-    wanted = per if weights is None else per.join(F.broadcast(spark.createDataFrame([(s,) for s in weights], "_s string")), "_s", "left_semi")
-    counts = {r[0]: r[1] for r in wanted.collect()}
-    if weights is None:
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    order = F.md5(F.concat_ws(" ", F.col("doc_id").cast("string"), F.xxhash64(*cols).cast("string")))
+    rows = docs.select(*cols, key.alias("_mix_s"), order.alias("_mix_o"))
+    per = written(rows.groupBy(F.col("_mix_s").alias("c_s")).count(), "mix-counts")
+    if weights is not None:
+        weights = {_key(s): w for s, w in weights.items()}
+        wanted = per.join(bounded(spark.createDataFrame([(s,) for s in weights], "c_s string")), "c_s", "left_semi")
+        counts = {r[0]: r[1] for r in wanted.collect()}
+    else:
+        counts = {r[0]: r[1] for r in per.collect()}
         weights = {s: n**power for s, n in counts.items()}
-        period = max(period, len(counts))
-    quota = shares({s: w for s, w in weights.items() if s in counts}, period)
-    plan = spark.createDataFrame(
-        [(s, i, r, d, t, quota[s], counts[s]) for s, i, r, d, t in schedule(quota)],
-        "p_s string, p_i long, p_release long, p_deadline long, p_slot long, p_quota long, p_rows long",
-    )
-    # Ranks without a window over a whole source: the md5 order is cut into buckets of bounded size.
-    cuts = per.select(F.col("_s").alias("c_s"), F.ceil(F.col("count") / bucket_rows).alias("_cuts"))
-    rows = rows.join(bounded(cuts), F.col("_s") == F.col("c_s")).drop("c_s")
-    head = F.conv(F.substring("_o", 1, 7), 16, 10).cast("long")
-    rows = rows.withColumn("_b", F.floor(head * F.col("_cuts") / F.lit(1 << 28)))
-    sizes = rows.groupBy("_s", "_b").count()
-    before = F.sum("count").over(W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
-    sizes = sizes.select(F.col("_s").alias("z_s"), F.col("_b").alias("z_b"), F.coalesce(before, F.lit(0)).alias("_before"))
-    place = F.row_number().over(W.partitionBy("_s", "_b").orderBy("_o", "doc_id", *[F.xxhash64(c) for c in cols if c == "text"]))
-    ranked = rows.withColumn("_n", place).join(sizes, (F.col("_s") == F.col("z_s")) & (F.col("_b") == F.col("z_b")))
-    ranked = ranked.withColumn("_r", F.col("_before") + F.col("_n") - 1)
-    ranked = ranked.withColumn("block_no", F.floor(F.col("_r") / block))
-    quotas = bounded(spark.createDataFrame(list(quota.items()), "q_s string, _q int"))
-    ranked = ranked.join(quotas, F.col("_s") == F.col("q_s"), "left")
-    ranked = ranked.withColumn("_i", F.expr("block_no % _q")).withColumn("_k", F.expr("block_no div _q"))
-    slots: dict[str, list[int]] = {}
-    for s, *_, t in schedule(quota):
-        slots.setdefault(s, []).append(t)
-    # The slot of the first block that a source can't fill.
-    dry = min((n // block // quota[s] * period + slots[s][n // block % quota[s]] for s, n in counts.items() if s in quota), default=0)
-    out = ranked.join(F.broadcast(plan), (F.col("_s") == F.col("p_s")) & (F.col("_i") == F.col("p_i")), "left")
-    base = F.col("_k") * period
+    block = max(block, -(-sum(counts.values()) // most_blocks))
+    plan = list(schedule(weights, {s: -(-n // block) for s, n in counts.items()}))
+    # The mixture ends at a source's first block that isn't full, or with the first phase.
+    dry = min([t for s, i, _, _, t, phase in plan if phase or (i + 1) * block > counts[s]], default=len(plan))
+    plan = spark.createDataFrame([x[:5] for x in plan], "p_s string, p_no long, release long, deadline long, slot long")
+
+    # Ranks without a window over a whole source: the hash order is cut into buckets of bounded size.
+    cuts = per.select("c_s", F.ceil(F.col("count") / bucket_rows).alias("_mix_cuts"))
+    rows = rows.join(bounded(cuts), F.col("_mix_s") == F.col("c_s")).drop("c_s")
+    head = F.conv(F.substring("_mix_o", 1, 7), 16, 10).cast("long")
+    rows = rows.withColumn("_mix_b", F.floor(head * F.col("_mix_cuts") / F.lit(1 << 28)))
+    sizes = rows.groupBy("_mix_s", "_mix_b").count()
+    before = F.sum("count").over(W.partitionBy("_mix_s").orderBy("_mix_b").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("_mix_s").alias("z_s"), F.col("_mix_b").alias("z_b"), F.coalesce(before, F.lit(0)).alias("z_before"))
+    place = F.row_number().over(W.partitionBy("_mix_s", "_mix_b").orderBy("_mix_o"))
+    ranked = rows.withColumn("_mix_n", place).join(sizes, (F.col("_mix_s") == F.col("z_s")) & (F.col("_mix_b") == F.col("z_b")))
+    ranked = ranked.withColumn("_mix_r", F.col("z_before") + F.col("_mix_n") - 1)
+    ranked = ranked.withColumn("block_no", F.floor(F.col("_mix_r") / block))
+    out = ranked.join(bounded(plan), (F.col("_mix_s") == F.col("p_s")) & (F.col("block_no") == F.col("p_no")), "left")
     return out.select(
-        *cols, "block_no",
-        (base + F.col("p_release")).alias("release"),
-        (base + F.col("p_deadline")).alias("deadline"),
-        (base + F.col("p_slot")).alias("slot"),
-        ((base + F.col("p_slot")) * block + F.col("_r") % block).alias("position"),
-        F.coalesce(base + F.col("p_slot") < dry, F.lit(False)).alias("in_mix"),
+        *cols, "block_no", "release", "deadline", "slot",
+        (F.col("slot") * block + F.col("_mix_r") % block).alias("position"),
+        F.coalesce(F.col("slot") < dry, F.lit(False)).alias("in_mix"),
     )

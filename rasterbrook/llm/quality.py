@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import bounded, written
+from .common import bounded_bytes, pieces, written
 
 #: Frequent function words of four languages. Their shares, and the share of all
 #: other words, make up the common-word histogram; the references are measured, not fixed.
@@ -86,13 +87,18 @@ def measure(text: str) -> tuple:
 _FORMS = [(w.encode(), c if (c := w.capitalize().encode()) != w.encode() else b"") for w in WORDS]
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(text: str, carry: Sequence[str]):
     kinds = [pa.int64()] * 5 + [pa.list_(pa.float64())] * 2
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist"]
-    for b in batches:
-        got = [measure(t.as_py() or "") for t in b.column("text")]
-        cols = [pa.array([r[i] for r in got], kind) for i, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *cols], ["doc_id", "lang", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, text):
+            got = [measure(t.as_py() or "") for t in b.column(text)]
+            cols = [pa.array([r[i] for r in got], kind) for i, kind in enumerate(kinds)]
+            kept = ["doc_id", "lang", *carry]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *cols], [*kept, *names])
+
+    return run
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -112,27 +118,39 @@ def quality_rules(
     max_word_distance: float = 0.40,
     min_chars: int = 200,
     min_words: int = 60,
+    min_reference: int = 30,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per row of docs (doc_id, text, lang): counts, both distances, base_failed and kept.
 
-    A language's reference is the mean histogram of all its documents. A text is rejected by the
-    base rules, or when its character classes (texts of min_chars word characters or more) or its
-    common words (texts of min_words or more) lie further from the reference than allowed;
-    shorter texts aren't judged by that histogram. Null or empty text: no words, so base_failed.
-    Null lang is a language of its own. Other columns are ignored; repeated rows stay repeated.
+    A language's reference is the mean histogram of all its documents with words. A text is rejected
+    by the base rules, or when its character classes (texts of min_chars word characters or more) or
+    its common words (texts of min_words or more) lie further from the reference than allowed;
+    shorter texts aren't judged by that histogram. A language of fewer than min_reference such
+    documents has no reference of its own: its character classes are held against the mean of all
+    documents, its words against none. Null or empty text: no words, so base_failed. A null lang is a
+    language of its own, and so is an empty one. Repeated rows stay repeated. The columns named in
+    carry are returned as they came, as carried_<name>; others are ignored.
     """
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
-    f = written(rows.mapInArrow(_features, FEATURES), "quality-features")
+    carried = [f"carried_{c}" for c in carry]
+    text = "carried_text" if "text" in carry else "text"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), *[F.col(c).alias(f"carried_{c}") for c in carry], *([] if "text" in carry else ["text"]))
+    schema = StructType([*StructType.fromDDL(FEATURES).fields[:2], *(rows.schema[c] for c in carried), *StructType.fromDDL(FEATURES).fields[2:]])
+    f = written(rows.mapInArrow(_features(text, carried), schema), "quality-features")
     mean = lambda c, n: F.array(*[F.avg(F.col(c)[i]) for i in range(n)])
-    ref = f.where("n_words > 0").groupBy("lang").agg(
-        mean("char_hist", CLASSES).alias("char_ref"), mean("word_hist", len(WORDS) + 1).alias("word_ref")
+    ref = f.where("n_words > 0").groupBy(F.col("lang").alias("ref_lang")).agg(
+        F.count("*").alias("ref_n"), mean("char_hist", CLASSES).alias("char_ref"), mean("word_hist", len(WORDS) + 1).alias("word_ref")
     )
+    ref = written(ref, "quality-references")
+    n = F.sum("ref_n")
+    of_all = ref.agg(F.array(*[F.sum(F.col("char_ref")[i] * F.col("ref_n")) / n for i in range(CLASSES)])).first()[0]
+    of_all = F.array(*[F.lit(x).cast("double") for x in of_all])
     # A row per language: counted, then broadcast, so that no task gets all texts of one language.
-    f = f.join(bounded(written(ref, "quality-references")), "lang", "left")
+    f = f.join(bounded_bytes(ref, F.lit(8 * (CLASSES + len(WORDS)))), f["lang"].eqNullSafe(ref["ref_lang"]), "left")
+    own = F.col("ref_n") >= min_reference
     f = f.withColumns({
-        "char_distance": F.when(F.col("word_chars") >= min_chars, js_distance(F.col("char_hist"), F.col("char_ref"))),
-        "word_distance": F.when(F.col("n_words") >= min_words, js_distance(F.col("word_hist"), F.col("word_ref"))),
+        "char_distance": F.when(F.col("word_chars") >= min_chars, js_distance(F.col("char_hist"), F.when(own, F.col("char_ref")).otherwise(of_all))),
+        "word_distance": F.when((F.col("n_words") >= min_words) & own, js_distance(F.col("word_hist"), F.col("word_ref"))),
         "base_failed": F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"),
     })
     far = (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance) | (
@@ -140,5 +158,5 @@ def quality_rules(
     )
     return f.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance",
+        (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance", *carried,
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import MASKS, leaks
@@ -28,7 +29,9 @@ URL_RULES = [
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents"), with_text=False)
+    got = suffix_dedup(table(spark, sf_dir, "documents"))
+    digest = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    return got.select(*digest, (F.col("n_removed") > 0).alias("shortened"), F.col("kept_text").alias("text"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +145,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
         FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = w.doc_id""",
     "op9_quality_rules": rf"""
-        WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t FROM documents),
         w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
                 list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
         win AS (SELECT k, i, array_to_string(ws[i:i + 7], ' ') AS s FROM (SELECT k, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
@@ -158,9 +161,11 @@ ORACLE_SQL: dict[str, str] = {
                 FROM base CROSS JOIN range({len(WORDS)}) r(i) LEFT JOIN used USING (k, i)),
         parts AS (SELECT * FROM cls UNION ALL SELECT * FROM hist UNION ALL
                 SELECT k, lang, n_words, word_chars, 'w', {len(WORDS)}, (n_words - coalesce((SELECT sum(n) FROM used u WHERE u.k = b.k), 0)) / greatest(n_words, 1) FROM base b),
-        ref AS (SELECT lang, kind, i, avg(p) AS q FROM parts WHERE n_words > 0 GROUP BY ALL),
-        js AS (SELECT k, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS dist
-                FROM parts JOIN ref USING (lang, kind, i) GROUP BY k, kind),
+        langs AS (SELECT lang, count(*) AS n FROM base WHERE n_words > 0 GROUP BY lang),
+        ref AS (SELECT p.lang, kind, i, avg(p) AS q FROM parts p JOIN langs l ON p.lang IS NOT DISTINCT FROM l.lang WHERE n_words > 0 AND n >= 30 GROUP BY ALL UNION ALL
+                SELECT l.lang, 'c', i, q FROM langs l, (SELECT i, avg(p) AS q FROM parts WHERE n_words > 0 AND kind = 'c' GROUP BY i) WHERE n < 30),
+        js AS (SELECT k, parts.kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS dist
+                FROM parts JOIN ref ON parts.lang IS NOT DISTINCT FROM ref.lang AND parts.kind = ref.kind AND parts.i = ref.i GROUP BY k, parts.kind),
         far AS (SELECT k, max(CASE WHEN kind = 'c' AND word_chars >= 200 THEN dist ELSE 0 END) AS c, max(CASE WHEN kind = 'w' AND n_words >= 60 THEN dist ELSE 0 END) AS w
                 FROM base LEFT JOIN js USING (k) GROUP BY k)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,

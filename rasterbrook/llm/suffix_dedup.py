@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import written
+from .common import bounded, discard, pieces, text_key, written
 
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18  # places within one lie in the low 20 bits of what is compared
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: list[np.ndarray] = []
@@ -208,24 +208,22 @@ def _induced(span: int, batch_rows: int):
 
 
 def repeated_spans(docs: DataFrame, span: int = 400, k: int = 150, shard_rows: int = 4096) -> DataFrame:
-    """(doc_id, text_key, first, last): bytes first to last - 1 are covered; ranges may overlap and touch.
+    """(doc_id, text_key, spans): byte ranges first to last - 1 that repeat; ranges may overlap and touch.
 
-    docs has doc_id, text_key (a hash of the text; rows that share both are copies) and text.
+    docs has doc_id, text_key (a hash of the text; rows that share both are copies) and text. The
+    result is a table in the shared folder; what led to it is deleted.
     """
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text", 2 << 20):
             rows: list[tuple] = []
             for doc, key, text in zip(b.column("doc_id").to_pylist(), b.column("text_key").to_pylist(), b.column("text"), strict=True):
                 got = anchors(text.as_py().encode(), span, k)
                 rows += [(doc, key, name, ctx, p << 32 | (p - a) << 16 | (p - z)) for name, ctx, p, a, z in got]
-                if len(rows) > 50_000:
-                    yield _batch(rows, _SAMPLE)
-                    rows = []
             yield _batch(rows, _SAMPLE)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text", 2 << 20):
             out: list[tuple] = []
             for r in b.to_pylist():
                 data = r["text"].encode()
@@ -242,6 +240,7 @@ def repeated_spans(docs: DataFrame, span: int = 400, k: int = 150, shard_rows: i
     # Written first: Spark can then split a very frequent name's partition in the join.
     names = written(samples.groupBy("name").count().where("count > 1").select(F.col("name").alias("r_name")), "suffix-names")
     again = written(samples.join(names, F.col("name") == F.col("r_name")).drop("r_name"), "suffix-repeated")
+    discard(samples, names)
     classes = written(
         again.groupBy("name", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "at")).alias("one")),
         "suffix-classes",
@@ -249,14 +248,14 @@ def repeated_spans(docs: DataFrame, span: int = 400, k: int = 150, shard_rows: i
     # Equal contexts: everything in them repeats.
     equal = classes.where("n > 1").select(F.col("name").alias("c_name"), F.col("context").alias("c_context"))
     whole = again.join(equal, (F.col("name") == F.col("c_name")) & (F.col("context") == F.col("c_context"))).select(
-        "doc_id", "text_key",
+        *_KEY,
         F.expr("shiftright(at, 32) - (shiftright(at, 16) & 65535)").alias("first"),
         F.expr(f"shiftright(at, 32) - (at & 65535) + {span}").alias("last"),
     )
     # Different contexts around one k-gram: one of each goes to the sorter.
     many = classes.groupBy("name").agg(F.count("*").alias("m")).where("m > 1")
-    many = many.select(F.col("name").alias("m_name"), F.ceil(F.col("m") / shard_rows).cast("int").alias("shards"))
-    seeds = classes.join(many, F.col("name") == F.col("m_name")).select(
+    many = written(many.select(F.col("name").alias("m_name"), F.ceil(F.col("m") / shard_rows).cast("int").alias("shards")), "suffix-many")
+    seeds = classes.join(bounded(many), F.col("name") == F.col("m_name")).select(
         "one.*", "name", "context", "shards", (F.col("n") == 1).alias("single"),
         F.pmod(F.hash("context"), "shards").alias("shard"),
     )
@@ -273,30 +272,38 @@ def repeated_spans(docs: DataFrame, span: int = 400, k: int = 150, shard_rows: i
     across = window.where("single").join(
         shared, (F.col("name") == F.col("w_name")) & (F.col("level") == F.col("w_level")) & (F.col("window") == F.col("w_window"))
     ).select(*_KEY, "first", "last")
-    return whole.unionByName(near).unionByName(across)
+    spans = whole.unionByName(near).unionByName(across)
+    spans = written(spans.groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("spans")), "suffix-spans")
+    discard(again, classes, many, found)
+    return spans
 
 
 def suffix_dedup(docs: DataFrame, span: int = 400, k: int = 150, with_text: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """Removes every byte covered by a span-byte string that also starts anywhere else.
 
     docs: (doc_id, text). One row per row of docs: doc_id, n_bytes, n_removed, n_spans (maximal
-    removed runs), kept_sha256 of the bytes left, the columns named in carry and, with_text, those
-    bytes as kept and what is whole UTF-8 of them as kept_text. Strings are compared on the input; other copies in the same text count, also overlapping ones; they never
-    cross texts. Null text: empty. Repeated rows are copies of each other. k-grams and contexts are
+    removed runs), kept_sha256 of the bytes left, spans (those runs: first byte, byte behind the last),
+    the columns named in carry and, with_text, kept_text: what is whole UTF-8 of the bytes left.
+    Strings are compared on the input; other copies in the same text count, also overlapping ones; they
+    never cross texts. Null text: empty. Repeated rows are copies of each other. k-grams and contexts are
     told apart by 64-bit hashes (within one k-gram's group for the contexts).
     """
     carry = list(carry)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *carry)
-    rows = rows.withColumn("text_key", F.xxhash64("text"))
-    spans = repeated_spans(rows.drop(*carry), span, k).groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    rows = rows.withColumn("text_key", text_key())
+    spans = repeated_spans(rows.drop(*carry), span, k)
     spans = spans.select(*[F.col(c).alias(f"s_{c}") for c in _KEY], "spans")
     both = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("s_doc_id")) & (F.col("text_key") == F.col("s_text_key")), "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * with_text
-    full = StructType([*StructType.fromDDL(schema).fields, *(rows.schema[c] for c in carry)])
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    texts = ", kept_text string" * with_text
+    runs_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+    full = StructType([
+        *StructType.fromDDL(f"{schema}, spans array<struct<first: long, last: long>>{texts}").fields, *(rows.schema[c] for c in carry),
+    ])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
+        for b in pieces(batches, "text", 2 << 20):
+            out, gone, left = [], [], []
             for doc, text, found in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("spans").to_pylist(), strict=True):
                 data = text.as_py().encode()
                 runs: list[list[int]] = []
@@ -307,9 +314,12 @@ def suffix_dedup(docs: DataFrame, span: int = 400, k: int = 150, with_text: bool
                         runs.append([s, e])
                 edges = [0, *(x for r in runs for x in r), len(data)]
                 kept = b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
-                out.append((doc, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *([kept, kept.decode('utf-8', 'ignore')] if with_text else [])))
+                out.append((doc, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
+                gone.append([{"first": a, "last": z} for a, z in runs])
+                if with_text:
+                    left.append(kept.decode("utf-8", "ignore"))
             made = _batch(out, schema)
-            names = [*made.schema.names, *carry]
-            yield pa.RecordBatch.from_arrays([*made.columns, *(b.column(c) for c in carry)], names)
+            cols = [*made.columns, pa.array(gone, runs_type), *([pa.array(left, pa.string())] if with_text else []), *(b.column(c) for c in carry)]
+            yield pa.RecordBatch.from_arrays(cols, full.names)
 
     return both.select("doc_id", "text", "spans", *carry).mapInArrow(remove, full)

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,31 +117,41 @@ def test_leaks_without_broadcasts(spark, monkeypatch):
     assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()] == [(1, 5)]
 
 
-def test_pfair_schedule():
-    for weights in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"x": 9, "y": 1}, {str(i): i + 1 for i in range(7)}, {"a": 1.0}):
-        quota = mixing.shares(weights, 100)
-        plan = mixing.schedule(quota)
-        assert sum(quota.values()) == 100 and [p[4] for p in plan] == list(range(100))
-        done = Counter()
-        for s, i, release, deadline, slot in plan:
-            assert i == done[s] and release <= slot < deadline
-            done[s] += 1
-            assert all(abs(done[k] - quota[k] * (slot + 1) / 100) < 1 for k in quota)
-    assert mixing.shares({}, 10) == {} and mixing.schedule({}) == []
+@pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"x": 9, "y": 1}, {str(i): (i + 1) ** 0.5 for i in range(40)}, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3, "d": 0.0004}, {"a": 1.0}])
+def test_pfair_schedule(weights):
+    """Less than one block from the target weights themselves, at every slot."""
+    total = sum(map(Fraction, weights.values()))
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    plan = list(mixing.schedule(weights, {s: int(w / total * 5000) + 3 for s, w in weights.items()}))
+    assert [p[4] for p in plan] == list(range(len(plan))) and sum(p[5] == 0 for p in plan) > 4000
+    done = Counter()
+    for s, i, release, deadline, slot, phase in plan:
+        assert i == done[s] and release <= slot < deadline
+        done[s] += 1
+        if not phase:
+            assert all(abs(done[k] - share[k] * (slot + 1)) < 1 for k in weights)
+    assert list(mixing.schedule({}, {})) == []
     with pytest.raises(ValueError):
-        mixing.shares({"a": 0.0}, 10)
+        list(mixing.schedule({"a": 0.0}, {"a": 3}))
+
+
+def test_phases_after_a_dry_source():
+    plan = list(mixing.schedule({"a": 2.0, "b": 1.0, "c": 1.0}, {"a": 3, "b": 9, "c": 7}))
+    assert Counter(p[0] for p in plan) == {"a": 3, "b": 9, "c": 7} and [p[4] for p in plan] == list(range(19))
+    later = [p for p in plan if p[5] == 1]
+    assert {p[0] for p in later} == {"b", "c"} and abs(sum(p[0] == "b" for p in later[:4]) - 2) < 1
 
 
 def test_mixture(spark):
     rng = random.Random(6)
-    rows = [(i, "t", "x", "hot" if i % 3 == 0 else rng.choice(["a", "b", None]), 0) for i in range(900)] + [(5, "t", "x", "a", 0), (None, "t", "x", "b", 0), (1001, "t", "x", "unwanted", 0)]
+    rows = [(i, "t", "x", "hot" if i % 3 == 0 else rng.choice(["a", "b", None]), 0) for i in range(900)] + [(5, "t", "x", "a", 0), (None, "t", "x", "b", 0), (1001, "t", "x", "unwanted", 0), (1002, "t", "x", "", 0)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], DOCS + ", slot string")
-    out = mixing.mix(df, {"hot": 2.0, "a": 1.0, "b": 1.0, "": 1.0, "absent": 3.0}, block=4, period=50, bucket_rows=20)
+    out = mixing.mix(df, {"hot": 2.0, "a": 1.0, "b": 1.0, None: 1.0, "absent": 3.0}, block=4, bucket_rows=20)
     got = out.collect()
     assert Counter((r.doc_id, r.source) for r in got) == Counter((r[0], r[3]) for r in rows)
     placed = sorted((r for r in got if r.position is not None), key=lambda r: r.position)
-    assert len({r.position for r in placed}) == len(placed) == len(rows) - 1
-    assert all(r.release <= r.slot < r.deadline for r in placed) and [r.in_mix for r in got if r.source == "unwanted"] == [False]
+    assert len({r.position for r in placed}) == len(placed) == len(rows) - 2
+    assert all(r.release <= r.slot < r.deadline for r in placed) and [r.in_mix for r in got if r.source in ("unwanted", "")] == [False] * 2
     used, n = Counter(), 0
     for r in placed:
         if r.in_mix:
@@ -154,6 +165,12 @@ def test_mixture(spark):
     assert mixing.mix(spark.createDataFrame(rows, DOCS), block=4).count() == len(rows)
 
 
+def test_repeated_and_null_ids_in_a_mixture(spark):
+    rows = [(None if i % 2 else 7, "same" if i % 5 else None, "x", "s", 0) for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), block=4, bucket_rows=10).collect()
+    assert sorted(r.position for r in got) == list(range(300))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -179,6 +196,37 @@ def test_pipeline(spark, tmp_path):
     assert all(r.n_chars == len(r.text) for r in got) and len({r.position for r in got}) == len(got)
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Null and repeated ids: a bad or superfluous row takes no other row of its id with it."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    common = "the of and to in is that it for was".split()
+    words = lambda n: [rng.choice(common) if rng.random() < 0.3 else "".join(rng.choice("aeinorst") for _ in range(7)) for _ in range(n)]
+    item = words(30)
+    good = [" ".join(words(100)) for _ in range(60)]
+    leak = lambda: " ".join(words(40) + item + words(40))
+    rows = [(None, t) for t in good[:10]] + [(None, "#### " * 90), (None, leak())]
+    rows += [(1, t) for t in good[10:14]] + [(1, "$$$$ " * 90), (1, leak()), (1, None)]
+    rows += [(i, t) for i, t in enumerate(good[14:], 100)]
+    rows += [(None, good[20]), (None, good[0]), (None, good[0]), (1, good[10]), (1, good[11] + " end"), (300, good[12])]
+    docs = spark.createDataFrame([(i, t, "en" if k % 2 else None, f"s{k % 3}", 0, "x") for k, (i, t) in enumerate(rows)], DOCS + ", kept string")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    bad = {"#### " * 90, "$$$$ " * 90, None}
+    one = docs.withColumn("lang", F.lit("en"))
+    kept = corpus_pipeline.quality(spark, one, str(tmp_path))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((i, t) for i, t in rows if t not in bad)
+    got = corpus_pipeline.near_copies(spark, one, str(tmp_path)).collect()
+    texts = Counter(r.text for r in got)
+    pair = {good[11], good[11] + " end"}
+    assert {t for t in texts if t not in pair} == {t for _, t in rows if t not in pair} and max(texts.values()) == 1 and sum(texts[t] for t in pair) == 1
+    ids = {r.text: r.doc_id for r in got}
+    assert ids[good[0]] is None and ids[good[20]] == 106 and ids[good[12]] == 1 and ids[good[13]] == 1
+    clean = corpus_pipeline.benchmark_passages(spark, one, str(tmp_path)).collect()
+    want = Counter((i, t) for i, t in rows if t is None or " ".join(item) not in t)
+    assert Counter((r.doc_id, r.text) for r in clean) == want
+
+
 def test_pipeline_stages_take_an_empty_table(spark, tmp_path):
     import corpus_pipeline
 
