@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterbrook.llm.common import keep_rows, table, written
-from rasterbrook.llm.decontaminate import leaks
-from rasterbrook.llm.jaccard import jaccard_join
+from rasterbrook.llm.common import bounded, table, text_key, without, written
+from rasterbrook.llm.decontaminate import leaking_texts
+from rasterbrook.llm.jaccard import jaccard_groups, superfluous
 from rasterbrook.llm.mixing import mix
 from rasterbrook.llm.quality import quality_rules
 from rasterbrook.llm.suffix_dedup import suffix_dedup
@@ -23,30 +23,42 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return keep_rows(docs.select(COLUMNS), quality_rules(docs).where("not kept"), "left_anti")
+    """Rows that the quality rules keep, whatever other rows of their doc_id get. The verdict travels with the row."""
+    judged = quality_rules(docs, carry=COLUMNS).where("kept")
+    return judged.select([F.col(f"carried_{c}").alias(c) for c in COLUMNS])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each linked group; of rows that repeat a doc_id, one. Rows without an id stay."""
+    """One row of each linked group: that with the smallest doc_id, rows without an id only where none has one.
+
+    Different texts of one id are rows of their own. Rows without words are linked with nothing and stay.
+    """
     docs = docs.select(COLUMNS)
-    groups = jaccard_join(docs)
-    out = keep_rows(docs, groups.where("doc_id is not null and doc_id <> component_id"), "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    groups = written(jaccard_groups(docs), "pipeline-groups")
+    out = without(docs, superfluous(groups))
+    # Rows that repeat a representative, text and all: one of them stays. Only these are shuffled.
+    again = groups.where("group is not null").groupBy("doc_id", "text_key").count().where("count > 1")
+    again = written(again.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "pipeline-again")
     if again.isEmpty():
         return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    is_again = out["doc_id"].eqNullSafe(again["_id"]) & (text_key() == again["_key"])
+    once = out.join(bounded(again), is_again, "left_semi").withColumn("_key", text_key()).dropDuplicates(["doc_id", "_key"])
+    return out.join(bounded(again), is_again, "left_anti").unionByName(once.drop("_key"))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of long strings that occur elsewhere; a character cut apart goes whole."""
+    """Texts without the bytes of long strings that occur elsewhere; a character cut apart goes whole. Every row stays.
+
+    A null text comes back empty.
+    """
     out = suffix_dedup(docs.select(COLUMNS), carry=["lang", "source"])
     return out.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(COLUMNS)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    return keep_rows(docs.select(COLUMNS), leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "left_anti")
+    """Rows without a passage of the benchmark, whatever other rows of their doc_id hold."""
+    docs = docs.select(COLUMNS)
+    return without(docs, leaking_texts(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
