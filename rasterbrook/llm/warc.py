@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, scratch_dir, written
+from .common import bounded, discard, pieces, scratch_dir, written
 
 RECORDS = (
     "page_id long, url string, url_key string, captured string, payload_bytes long, payload_digest string, "
@@ -36,14 +36,6 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        got = [sha1_base32((x.as_py() or "").encode()) for x in b.column("html")]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("page_id"), b.column("url"), b.column("html"), pa.array(got)], ["page_id", "url", "html", "digest"]
-        )
-
-
 def _header(*lines: tuple[str, object]) -> bytes:
     said = (str(v).replace("\r", "%0D").replace("\n", "%0A") for _, v in lines)
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for (k, _), v in zip(lines, said, strict=True)) + b"\r\n"
@@ -69,14 +61,24 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return _header(*lines) + body + b"\r\n"
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for r in b.to_pylist():
-            payload = (r["html"] or "").encode()
-            revisit = r["first"] is not None
-            out.append(record(r["page_id"], r["url"], payload, r["digest"], r["first"], revisit))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+def _archives(file_bytes: int):
+    """Records joined to archive files: a row ends with the record that makes it file_bytes or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for b in pieces(batches, "html"):
+            for r in b.to_pylist():
+                payload = (r["html"] or "").encode()
+                digest = base64.b32encode(bytes.fromhex(r["digest"])).decode()
+                out.append(record(r["page_id"], r["url"], payload, digest, r["first"], r["first"] is not None))
+                size += len(out[-1]) + 2
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"\r\n".join(out)], pa.binary())], ["value"])
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([b"\r\n".join(out)], pa.binary())], ["value"])
+
+    return run
 
 
 def write_warc(pages: DataFrame, path: str, min_payload: int = 0, file_bytes: int = 16 << 20) -> None:
@@ -85,24 +87,20 @@ def write_warc(pages: DataFrame, path: str, min_payload: int = 0, file_bytes: in
     Of the records with one payload of min_payload bytes or more, the smallest page_id's is the
     response and the others are revisits of it (digests with one record need no look-up); smaller payloads are all responses. Null html is an
     empty payload. Rows that repeat the smallest page_id are responses too; a null page_id is a
-    revisit where a row with an id has the payload, else a response. Files hold about file_bytes.
+    revisit where a row with an id has the payload, else a response. Before compression a file holds
+    file_bytes and at most one record more, however long the pages are.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    made = rows.mapInArrow(_digests, "page_id long, url string, html string, digest string")
-    size = F.octet_length(F.coalesce("html", F.lit("")))
-    first = (
-        made.where(size >= min_payload)
-        .groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
-    )
-    first = bounded(written(first.where("n > 1").select(F.col("digest").alias("d"), "least"), "warc-first"))
-    both = made.join(first, (F.col("digest") == F.col("d")) & (size >= min_payload), "left")
+    payload = F.coalesce("html", F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload.cast("binary")).alias("digest"))
+    size = F.octet_length(payload)
+    first = rows.where(size >= min_payload).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
+    first = written(first.where("n > 1").select(F.col("digest").alias("d"), "least"), "warc-first")
+    both = rows.join(bounded(first), (F.col("digest") == F.col("d")) & (size >= min_payload), "left")
     both = both.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least")))
-    mean = rows.agg(F.avg(size + 600)).first()[0] or 1
-    lines = both.select("page_id", "url", "html", "digest", "first").mapInArrow(_records, "value binary")
-    # The text writer puts bytes out as they are, on any file system that Spark knows.
-    lines.select(F.col("value").cast("string").alias("value")).write.options(
-        lineSep="\r\n", compression="gzip", maxRecordsPerFile=max(1, int(file_bytes // mean))
-    ).text(path)
+    made = both.select("page_id", "url", "html", "digest", "first").mapInArrow(_archives(file_bytes), "value binary")
+    # The text writer puts bytes out as they are, on any file system that Spark knows; a row is a file.
+    made.select(F.col("value").cast("string").alias("value")).write.options(lineSep="\r\n", compression="gzip", maxRecordsPerFile=1).text(path)
+    discard(first)
 
 
 def parse(data: bytes, file: str) -> Iterator[tuple]:
@@ -187,18 +185,29 @@ class LoserTree:
             self.best = best
 
 
+def _captures(stretches: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """A run's captures, a few hundred at a time out of their compact columns."""
+    for b in stretches:
+        for i in range(0, b.num_rows, 256):
+            yield from zip(*(c.to_pylist() for c in b.slice(i, 256).columns), strict=True)
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs' parts within one key range, one after the other, become one sorted sequence.
 
-    The shuffle delivers each run's rows of the range as a contiguous sorted stretch (ordered by file);
-    the range is as large as Spark's range partitioning makes it, and only its index entries are held.
+    The shuffle delivers each run's captures of the range as a contiguous sorted stretch (ordered by
+    file). Their columns are held as they came; the tree takes captures out of each a few at a time.
+    The number of ranges follows the number of captures, so a range is bounded at any size.
     """
-    runs: dict[str, list[tuple]] = {}
+    runs: dict[str, list[pa.RecordBatch]] = {}
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            runs.setdefault(row[8], []).append(row)
+        files = b.column("file").to_pylist()
+        cuts = [0, *(i for i in range(1, len(files)) if files[i] != files[i - 1]), len(files)]
+        for a, z in zip(cuts, cuts[1:]):
+            if z > a:
+                runs.setdefault(files[a], []).append(b.slice(a, z - a))
     out = []
-    for row in LoserTree([iter(x) for x in runs.values()]):
+    for row in LoserTree([_captures(x) for x in runs.values()]):
         out.append(row)
         if len(out) == 5000:
             yield _arrow(out, _NAMES, _KINDS)
@@ -206,16 +215,17 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _arrow(out, _NAMES, _KINDS)
 
 
-def capture_index(path: str, spark, name: str = "warc-runs") -> DataFrame:
+def capture_index(path: str, spark, name: str = "warc-runs", range_rows: int = 100_000) -> DataFrame:
     """One row per record of the archives below path, in global order of url_key and time.
 
-    Each file becomes a locally sorted run in the shared folder; key ranges of all runs are then
-    merged side by side. Ranges are cut on (url_key, captured, page_id), so many captures of one
-    url don't land in one range.
+    Each file becomes a locally sorted run in the shared folder; key ranges of all runs, of about
+    range_rows captures each, are then merged side by side. Ranges are cut on (url_key, captured,
+    page_id, file, offset), so many captures of one url don't land in one range.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("path", "content")
     runs = written(files.mapInArrow(_runs, RECORDS), name)
-    ranged = runs.repartitionByRange("url_key", "captured", "page_id", "file", "offset")
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // range_rows))
+    ranged = runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "file", "offset")
     ranged = ranged.sortWithinPartitions("file", "url_key", "captured", "page_id", "offset")
     return ranged.mapInArrow(_merge, RECORDS)
 
