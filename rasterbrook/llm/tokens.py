@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 #: A byte-level pre-tokenizer always splits between a visible character and the white space after
 #: it: no pattern of it, and no special string, spans that border from the left. What follows then
 #: depends on the text to the right alone, so an encoding that starts anywhere is in step there.
@@ -100,7 +102,7 @@ def token_counts(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lengths = encoder(tokenizer)
-        for b in batches:
+        for b in pieces(batches, "text"):
             texts = (x.as_py() for x in b.column("text"))
             n = [len(ids(x)) if len(x) <= chunk else spliced_count(ids, lengths, x, chunk, overlap) for x in texts]
             yield pa.RecordBatch.from_arrays(

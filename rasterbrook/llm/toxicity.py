@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 #: Letters keep their case-folded byte, other ASCII becomes a word border, bytes of other letters stay.
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[0x80:] = np.arange(0x80, 256)
@@ -39,7 +41,7 @@ def subwords(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids).astype(np.int64), np.concatenate(at)
 
 
-def train(rows: list[tuple[str, int]], bits: int = 17, dims: int = 8, epochs: int = 10, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[str, int]], bits: int = 17, dims: int = 8, epochs: int = 10, rate: float = 1.0, seed: int = 7) -> tuple[np.ndarray, float]:
     """Fits embeddings and softmax together (adaptive gradient steps, one text at a time).
 
     Returns the logit of label 1 against 0 that each bucket gives, and the bias: both layers are
@@ -80,22 +82,24 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, bits: int = 17) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, bits: int = 17, most_chars: int = 20_000) -> DataFrame:
     """(doc_id, held_out, score, predicted): one row per row of docs (doc_id, text).
 
     labels: (doc_id, toxic). The model is fitted on at most per_class labelled texts of each class,
     the first by a hash of doc_id (the bias is then set to the classes' shares among all labels), none of them held out (crc32 of the id's text divisible by 5;
-    a null id is held out); that bounded sample goes to the driver and its ids are broadcast. Every
-    whole text is then scored from the text alone. Null or empty text: the bias alone. Without
+    a null id is held out), one text of an id, none of more than most_chars characters: that sample, so
+    bounded in rows and bytes, goes to the driver, its ids are broadcast. Every whole text, of any
+    length, is then scored from the text alone. Null or empty text: the bias alone. Without
     labelled texts of both classes every score is 0. Other columns are ignored.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     pick = lambda k: known.where(F.col("toxic") == k).groupBy("doc_id").agg(F.max("toxic").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     chosen = pick(0).unionByName(pick(1)).select(F.col("doc_id").alias("label_id"), "label")
-    texts = docs.select("doc_id", "text").where("text is not null")
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label")
-    got = sorted(rows.collect())
+    texts = docs.select("doc_id", "text").where(F.length("text") <= most_chars)
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of texts that share an id, one
+    got = sorted(rows.select("doc_id", "text", "label").collect())
     model = None
     if len({r.label for r in got}) == 2:
         weight, bias = train([(r.text, int(r.label)) for r in got], bits)
@@ -107,7 +111,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, bits: in
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = model.value if model else (None, 0.0)
-        for b in batches:
+        for b in pieces(batches, "text"):
             z = np.full(b.num_rows, bias)
             for i, x in enumerate(b.column("text")):
                 if weight is not None and len(ids := subwords(x.as_py(), bits)[0]):
