@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +94,31 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (text_key() == gone["_gone_key"]), "left_anti")
 
 
+#: Rows of one value beyond which they are spread over more tasks than one; found in one of so many rows, which only deals out the work.
+HOT_ROWS, SAMPLE = 2048, 64
+
+
+def hot_values(sample: DataFrame, value: str, name: str) -> DataFrame:
+    """The values (hot_<value>) that a sample of one in SAMPLE rows shows to be very frequent; few, and counted before a broadcast."""
+    hot = sample.groupBy(value).count().where(F.col("count") >= HOT_ROWS // SAMPLE).select(F.col(value).alias(f"hot_{value}"))
+    return bounded(written(hot, f"{name}-hot"))
+
+
+def repeated(rows: DataFrame, value: str, one_of: Column, name: str) -> DataFrame:
+    """Rows whose value two rows or more have, with their number as df.
+
+    One shuffle by the value instead of a count that is joined back. one_of marks the sample that tells
+    very frequent values: their rows aren't shuffled by the value at all, and their counts are combined
+    before the shuffle. Other values have few rows each.
+    """
+    split = rows.join(hot_values(rows.where(one_of), value, name), F.col(value) == F.col(f"hot_{value}"), "left")
+    few = split.where(F.col(f"hot_{value}").isNull()).drop(f"hot_{value}")
+    few = few.withColumn("df", F.count("*").over(W.partitionBy(value))).where("df > 1")
+    many = split.where(F.col(f"hot_{value}").isNotNull()).drop(f"hot_{value}")
+    counts = many.groupBy(F.col(value).alias("c_value")).agg(F.count("*").alias("df")).where("df > 1")
+    return few.unionByName(many.join(bounded(counts), F.col(value) == F.col("c_value")).drop("c_value"))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, discard, pieces, text_key, written
+from .common import SAMPLE, bounded, components, discard, pieces, repeated, text_key, written
 from .shingles import mixed, shingle_set
 
 _BITMAP = 8  # longs of a set's parity bitmap
@@ -109,9 +109,7 @@ def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
 
     # Sets with enough shingles of their prefix elsewhere.
     posted = sets.select(key.alias("key"), F.explode("prefix").alias("h"))
-    # Written first: Spark can then split a very frequent shingle's partition in the join.
-    shared = written(posted.groupBy("h").count().where("count > 1").select(F.col("h").alias("s_h")), "jaccard-shared")
-    counted = posted.join(shared, F.col("h") == F.col("s_h")).groupBy("key").agg(F.count("*").alias("c"))
+    counted = repeated(posted, "h", F.pmod("key", F.lit(SAMPLE)) == 0, "jaccard-prefix").groupBy("key").agg(F.count("*").alias("c"))
     likely = sets.select(key.alias("key"), "sig", "n").join(counted, "key").where(F.expr(f"n > 0 and c >= n * {percent} div 1600 + 1"))
     likely = written(likely.groupBy("sig").agg(F.min("key").alias("key")), "jaccard-likely")
     wanted = likely.select(F.col("key").alias("w_key"), F.col("sig").alias("wanted"))
@@ -119,18 +117,17 @@ def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     texts = texts.join(bounded(wanted), F.col("key") == F.col("w_key")).select("text", "wanted")
     full = texts.mapInArrow(_whole(k), "sig long, n long, items array<long>, mins array<long>, bits array<long>")
     full = written(full.dropDuplicates(["sig"]), "jaccard-sets")
-    discard(shared, likely)
+    discard(likely)
 
     # Of those, sets of which enough shingles occur in others; their shared shingles, rarest first.
     item = full.select("sig", F.explode("items").alias("h"))
-    often = item.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select(F.col("h").alias("o_h"), "df")
-    often = written(often, "jaccard-often")
-    met = item.join(often, F.col("h") == F.col("o_h")).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("met"))
+    often = repeated(item, "h", F.pmod("sig", F.lit(SAMPLE)) == 0, "jaccard-items")
+    met = often.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("met"))
     index = full.join(met, "sig").where(100 * F.size("met") >= percent * F.col("n"))
     lead = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("met"))
     index = index.select("sig", "n", "items", "mins", "bits", (F.col("n") - F.size("met")).alias("own"), F.slice(F.col("met.h"), F.lit(1), lead.cast("int")).alias("lead"))
     index = written(index, "jaccard-index")
-    discard(full, often)
+    discard(full)
 
     # Pivots: some sets of each min-hash's bucket, the same for all of it. A set is held against the
     # few that its bitmap says are most like it; verified links to them are answers taken over.

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded, discard, pieces, text_key, written
+from .common import SAMPLE, bounded, discard, pieces, repeated, text_key, written
 
 _SEGMENT = 1 << 18  # places within one lie in the low 20 bits of what is compared
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -237,10 +237,9 @@ def repeated_spans(docs: DataFrame, span: int = 400, k: int = 150, shard_rows: i
 
     long = docs.where(F.octet_length("text") >= span)
     samples = written(long.mapInArrow(sample, _SAMPLE), "suffix-samples")
-    # Written first: Spark can then split a very frequent name's partition in the join.
-    names = written(samples.groupBy("name").count().where("count > 1").select(F.col("name").alias("r_name")), "suffix-names")
-    again = written(samples.join(names, F.col("name") == F.col("r_name")).drop("r_name"), "suffix-repeated")
-    discard(samples, names)
+    again = repeated(samples, "name", F.pmod(F.hash("doc_id", "text_key", "at"), F.lit(SAMPLE)) == 0, "suffix-names")
+    again = written(again.drop("df"), "suffix-repeated")
+    discard(samples)
     classes = written(
         again.groupBy("name", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "at")).alias("one")),
         "suffix-classes",
