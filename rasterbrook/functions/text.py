@@ -10,8 +10,10 @@ PARAMS = {
     "wb_clip_percent": (0.5, 0.2, 1.5), "black_point": (0.8, 0.5, 2.0), "white_point": (99.2, 97.0, 99.5), "clahe_clip": (1.4, 0.5, 4.0),
     "unsharp_amount": (0.35, 0.0, 1.0), "unsharp_sigma": (1.2, 0.5, 3.0), "desat_strength": (0.2, 0.0, 0.6), "desat_sigma": (7.0, 2.0, 20.0),
     "shadow_lift": (0.0, 0.0, 40.0), "gamma": (1.0, 0.4, 2.2), "lab_strength": (0.85, 0.0, 1.5), "highlight_compression": (0.0, 0.0, 0.5),
-    "vibrance": (0.0, -0.3, 0.6),
+    "vibrance": (0.0, -0.3, 0.6), "clahe_grid": (8.0, 4.0, 16.0),
 }
+#: Parameters that take the nearest of a few values.
+CHOICES = {"clahe_grid": (4.0, 8.0, 16.0)}
 #: Image types by file suffix.
 MIME = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".webp": "image/webp", ".tif": "image/tiff", ".tiff": "image/tiff", ".bmp": "image/bmp"}
 
@@ -27,8 +29,11 @@ def params(json: Column, names=tuple(PARAMS)) -> dict[str, Column]:
     out = {}
     for n in names:
         default, lo, hi = PARAMS[n]
-        value = got[n].try_cast("double")  # greatest and least would skip a null
-        out[n] = F.when(value.isNull(), float(default)).otherwise(F.least(F.greatest(value, F.lit(float(lo))), F.lit(float(hi))))
+        value = got[n].try_cast("double")
+        value = F.least(F.greatest(F.coalesce(value, F.lit(float(default))), F.lit(float(lo))), F.lit(float(hi)))
+        if n in CHOICES:
+            value = F.array_min(F.array(*[F.struct(F.abs(value - c).alias("d"), F.lit(c).alias("c")) for c in CHOICES[n]]))["c"]
+        out[n] = value
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,19 +20,35 @@ def reflect(i: Column, n: Column) -> Column:
     return F.when(n <= 1, F.lit(0)).when(m < n, m).otherwise(p - m).cast("int")
 
 
-def line_filter(df: DataFrame, value: str, weights: list[float], along: str) -> DataFrame:
-    """Weighted sum over 2k + 1 neighbours along y or x. A line of one image is gathered, never an image."""
+KEYS = ("image_id", "y", "x")
+
+
+def _lines(df: DataFrame, along: str, values: Sequence[str]) -> DataFrame:
+    """A row per line of an image: its pixels in order, as _l."""
+    across = "x" if along == "y" else "y"
+    return df.groupBy("image_id", across).agg(F.array_sort(F.collect_list(F.struct(along, *values))).alias("_l"))
+
+
+def line_filter(df: DataFrame, value: str | Sequence[str], weights: list[float], along: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Weighted sums of one or several columns over 2k + 1 neighbours along y or x, next to the columns in keep as they are.
+
+    A line of one image is gathered, never an image, and all columns travel in one shuffle.
+    """
+    values = [value] if isinstance(value, str) else list(value)
     across = "x" if along == "y" else "y"
-    k = len(weights) // 2
-    line = df.groupBy("image_id", across).agg(F.array_sort(F.collect_list(F.struct(along, value))).alias("_l"))
-    n = F.size("_l")
+    k, n = len(weights) // 2, F.size("_l")
 
     def at(i: Column) -> Column:
-        terms = [w * F.col(f"_l.{value}")[reflect(i + d - k, n)] for d, w in enumerate(weights)]
-        return sum(terms[1:], terms[0])
+        near = [F.col("_l")[reflect(i + d - k, n)] for d in range(len(weights))]
+        sums = []
+        for v in values:
+            terms = [w * p[v] for w, p in zip(weights, near, strict=True)]
+            sums.append(sum(terms[1:], terms[0]).alias(v))
+        own = F.col("_l")[i]
+        return F.struct(own[along].alias(along), *sums, *[own[c].alias(c) for c in keep])
 
-    made = line.select("image_id", across, F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.col("_l")[i][along].alias(along), at(i).alias(value)))).alias("_p"))
-    return made.select("image_id", across, f"_p.{along}", f"_p.{value}")
+    made = _lines(df, along, [*values, *keep]).select("image_id", across, F.explode(F.transform(F.sequence(F.lit(0), n - 1), at)).alias("_p"))
+    return made.select("image_id", across, *[f"_p.{c}" for c in (along, *values, *keep)])
 
 
 def gaussian(sigma: float) -> list[float]:
@@ -40,30 +57,34 @@ def gaussian(sigma: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def blur(df: DataFrame, value: str, sigma: float) -> DataFrame:
-    """(image_id, y, x, value) blurred along rows, then columns."""
-    return line_filter(line_filter(df, value, gaussian(sigma), "x"), value, gaussian(sigma), "y")
+def blur(df: DataFrame, value: str | Sequence[str], sigma: float, keep: Sequence[str] = ()) -> DataFrame:
+    """(image_id, y, x, values, kept columns): values blurred along rows, then columns."""
+    return line_filter(line_filter(df, value, gaussian(sigma), "x", keep), value, gaussian(sigma), "y", keep)
 
 
 def with_blur(df: DataFrame, value: str, sigma: float, name: str) -> DataFrame:
-    b = blur(df.select("image_id", "y", "x", F.col(value).alias(name)), name, sigma)
-    return df.join(b, ["image_id", "y", "x"])
+    """df with the blurred column: the others travel along, so df is read once."""
+    kept = [c for c in df.columns if c not in (*KEYS, name)]
+    return blur(df.withColumn(name, F.col(value)), name, sigma, kept).select(*KEYS, *kept, name)
 
 
-def unsharp(df: DataFrame, value: str, amount: float, sigma: float) -> DataFrame:
-    return with_blur(df, value, sigma, "_b").withColumn(value, F.col(value) + amount * (F.col(value) - F.col("_b"))).drop("_b")
+def unsharp(df: DataFrame, value: str | Sequence[str], amount: float, sigma: float) -> DataFrame:
+    """Values plus a part of their difference from the blurred ones; several columns in the same two shuffles."""
+    values = [value] if isinstance(value, str) else list(value)
+    soft = {f"_b_{v}": F.col(v) for v in values}
+    kept = [c for c in df.columns if c not in KEYS]
+    df = blur(df.withColumns(soft), list(soft), sigma, kept).select(*KEYS, *kept, *soft)
+    return df.withColumns({v: F.col(v) + amount * (F.col(v) - F.col(f"_b_{v}")) for v in values}).drop(*soft)
 
 
 def local_variance(df: DataFrame, value: str, size: int, name: str = "variance") -> DataFrame:
     """E[x^2] - E[x]^2 over size x size neighbours, not below 0."""
     box = [1 / size] * size
-    mean = df.select("image_id", "y", "x", F.col(value).alias("_m"))
-    square = df.select("image_id", "y", "x", (F.col(value) * F.col(value)).alias("_s"))
+    kept = [c for c in df.columns if c not in KEYS]
+    df = df.withColumns({"_m": F.col(value), "_s": F.col(value) * F.col(value)})
     for axis in ("x", "y"):
-        mean, square = line_filter(mean, "_m", box, axis), line_filter(square, "_s", box, axis)
-    both = mean.join(square, ["image_id", "y", "x"])
-    made = both.select("image_id", "y", "x", F.greatest(F.col("_s") - F.col("_m") * F.col("_m"), F.lit(0.0)).alias(name))
-    return df.join(made, ["image_id", "y", "x"])
+        df = line_filter(df, ["_m", "_s"], box, axis, kept)
+    return df.select(*KEYS, *kept, F.greatest(F.col("_s") - F.col("_m") * F.col("_m"), F.lit(0.0)).alias(name))
 
 
 def _sides(value: Column, by: str, order: str) -> tuple[Column, Column]:
@@ -108,81 +129,150 @@ def edge_distance(df: DataFrame) -> DataFrame:
     return df.withColumn("distance", F.least("y", F.col("h") - 1 - F.col("y"), "x", F.col("w") - 1 - F.col("x")))
 
 
-def low_frequency(df: DataFrame, value: str, factor: int, sigma: float) -> DataFrame:
-    """Block means, blurred, then bilinear back to full size (half-pixel centres, clamped)."""
-    small = df.groupBy("image_id", F.floor(F.col("y") / factor).alias("y"), F.floor(F.col("x") / factor).alias("x")).agg(F.avg(value).alias("s"))
-    small = blur(small, "s", sigma)
-    full = join_back(df, sizes(small).withColumnRenamed("h", "_h").withColumnRenamed("w", "_w"))
+def _stretched(df: DataFrame, value: str, along: str, factor: int, full: str) -> DataFrame:
+    """Lines of block values, bilinear to `full` pixels (half-pixel centres, clamped)."""
+    across, other = ("x", "w") if along == "y" else ("y", "h")
+    lines = df.groupBy("image_id", across).agg(
+        F.array_sort(F.collect_list(F.struct(along, value))).alias("_l"), F.first(full).alias(full), F.first(other).alias(other)
+    )
+    top = F.size("_l") - 1
 
-    def taps(axis: str, n: str) -> Column:
-        f = (F.col(axis) + 0.5) / factor - 0.5
-        i, top = F.floor(f), F.col(n) - 1
-        near = lambda k: F.least(F.greatest(k, F.lit(0)), top).cast("long")
-        return F.array(F.struct(near(i).alias("i"), (1.0 - (f - i)).alias("k")), F.struct(near(i + 1).alias("i"), (f - i).alias("k")))
+    def at(i: Column) -> Column:
+        f = (i + 0.5) / factor - 0.5
+        low = F.floor(f)
+        near = lambda k: F.col("_l")[F.least(F.greatest(k, F.lit(0)), top).cast("int")][value]
+        return F.struct(i.cast("long").alias(along), (near(low) * (1.0 - (f - low)) + near(low + 1) * (f - low)).alias(value))
 
-    full = full.withColumn("_ty", F.explode(taps("y", "_h"))).withColumn("_tx", F.explode(taps("x", "_w")))
-    s = small.select(F.col("image_id").alias("s_id"), F.col("y").alias("s_y"), F.col("x").alias("s_x"), "s")
-    full = full.join(s, (F.col("image_id") == F.col("s_id")) & (F.col("_ty.i") == F.col("s_y")) & (F.col("_tx.i") == F.col("s_x")))
-    return full.groupBy("image_id", "y", "x").agg(F.sum(F.col("_ty.k") * F.col("_tx.k") * F.col("s")).alias("low"))
+    made = lines.select("image_id", across, full, other, F.explode(F.transform(F.sequence(F.lit(0), F.col(full).cast("int") - 1), at)).alias("_p"))
+    return made.select("image_id", across, full, other, f"_p.{along}", f"_p.{value}")
 
 
-def clahe(df: DataFrame, value: str, grid: int, clip: float) -> DataFrame:
-    """Contrast-limited equalisation of 8-bit values: tile histograms, clipped, their sums as look-up tables, bilinear."""
-    df = join_back(df, sizes(df))
-    th, tw = F.ceil(F.col("h") / grid), F.ceil(F.col("w") / grid)
-    df = df.withColumns({"th": th, "tw": tw, "bin": F.floor(value).cast("long")})
-    hist = df.groupBy("image_id", F.floor(F.col("y") / F.col("th")).alias("ty"), F.floor(F.col("x") / F.col("tw")).alias("tx"), "bin").agg(F.count("*").alias("n"))
-    tile = W.partitionBy("image_id", "ty", "tx")
-    hist = hist.withColumn("area", F.sum("n").over(tile)).withColumn("limit", F.greatest(F.lit(1), F.floor(clip * F.col("area") / 256)))
-    hist = hist.withColumn("excess", F.sum(F.greatest(F.col("n") - F.col("limit"), F.lit(0))).over(tile) / 256.0)
-    hist = hist.withColumn("cum", F.sum(F.least("n", "limit")).over(tile.orderBy("bin")))
-    # The spread excess adds the same to every bin; empty bins need no row of their own.
-    tiles = hist.groupBy("image_id", "ty", "tx").agg(F.array_sort(F.collect_list(F.struct("bin", "cum"))).alias("steps"), F.first("area").alias("area"), F.first("excess").alias("excess"))
-    last = lambda a, lim: F.aggregate(a, F.lit(0).cast("long"), lambda acc, s: F.when(s["bin"] <= lim, s["cum"]).otherwise(acc))
-
-    def taps(axis: str, size: str) -> Column:
-        f = (F.col(axis) + 0.5) / F.col(size) - 0.5
-        i = F.floor(f)
-        near = lambda k: F.least(F.greatest(k, F.lit(0)), F.lit(grid - 1)).cast("long")
-        return F.array(F.struct(near(i).alias("i"), (1.0 - (f - i)).alias("k")), F.struct(near(i + 1).alias("i"), (f - i).alias("k")))
+def low_frequency(df: DataFrame, value: str, factor: int, sigma: float) -> DataFrame:
+    """Block means, blurred, then bilinear back to full size, first along x, then along y."""
+    of = lambda c: F.floor(F.col(c) / factor).alias(c)
+    small = df.groupBy("image_id", of("y"), of("x")).agg(F.avg(value).alias("low"))
+    small = join_back(blur(small, "low", sigma), sizes(df))
+    return _stretched(_stretched(small, "low", "x", factor, "w"), "low", "y", factor, "h").select(*KEYS, "low")
 
-    px = df.withColumn("_a", F.explode(taps("y", "th"))).withColumn("_b", F.explode(taps("x", "tw")))
-    t = tiles.select(F.col("image_id").alias("t_id"), "ty", "tx", "steps", "area", "excess")
-    px = px.join(t, (F.col("image_id") == F.col("t_id")) & (F.col("_a.i") == F.col("ty")) & (F.col("_b.i") == F.col("tx")))
-    level = (last(F.col("steps"), F.col("bin")) + F.col("excess") * (F.col("bin") + 1)) * 255.0 / F.col("area")
-    return px.groupBy("image_id", "y", "x").agg(F.sum(F.col("_a.k") * F.col("_b.k") * level).alias(value))
 
+def clahe(df: DataFrame, value: str, grid: int, clip: float) -> DataFrame:
+    """Contrast-limited equalisation of 8-bit values: tile histograms, clipped, their sums as look-up tables, bilinear.
 
-def demosaic(df: DataFrame, value: str = "v") -> DataFrame:
-    """Bilinear: a pixel's missing colours are the mean of those within 3 x 3. RGGB phases by y % 2, x % 2."""
+    An image's tables are one row (grid x grid x 256 numbers at most) joined to its pixels; other columns stay.
+    """
     df = join_back(df, sizes(df))
-    colour = F.when((F.col("y") % 2 == 0) & (F.col("x") % 2 == 0), "r").when((F.col("y") % 2 == 1) & (F.col("x") % 2 == 1), "b").otherwise("g")
-    steps = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    to = df.withColumn("c", colour).withColumn("_o", F.explode(steps))
-    to = to.withColumns({"ty": F.col("y") + F.col("_o.dy"), "tx": F.col("x") + F.col("_o.dx"), "own": (F.col("_o.dy") == 0) & (F.col("_o.dx") == 0)})
-    to = to.where("ty >= 0 and ty < h and tx >= 0 and tx < w")
-    pick = lambda c: F.coalesce(F.max(F.when(F.col("own") & (F.col("c") == c), F.col(value))), F.avg(F.when(F.col("c") == c, F.col(value)))).alias(c)
-    return to.groupBy("image_id", "ty", "tx").agg(pick("r"), pick("g"), pick("b")).withColumnsRenamed({"ty": "y", "tx": "x"})
+    df = df.withColumns({"_th": F.ceil(F.col("h") / grid), "_tw": F.ceil(F.col("w") / grid), "_bin": F.floor(value).cast("int")})
+    hist = df.groupBy("image_id", F.floor(F.col("y") / F.col("_th")).alias("ty"), F.floor(F.col("x") / F.col("_tw")).alias("tx"), "_bin").agg(F.count("*").alias("n"))
+    tiles = hist.groupBy("image_id", "ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct("_bin", "n"))).alias("n"), F.sum("n").alias("area"))
+    limit = F.greatest(F.lit(1), F.floor(clip * F.col("area") / 256))
+    excess = F.aggregate(F.map_values("n"), F.lit(0).cast("long"), lambda a, n: a + F.greatest(n - F.col("_limit"), F.lit(0))) / 256.0
+    tiles = tiles.withColumn("_limit", limit).withColumn("_excess", excess)
+    # Every level's clipped sum; the spread excess adds the same to every level.
+    step = lambda a, b: F.array_append(a, F.element_at(a, -1) + F.least(F.coalesce(F.try_element_at(F.col("n"), b), F.lit(0)), F.col("_limit")))
+    sums = F.slice(F.aggregate(F.sequence(F.lit(0), F.lit(255)), F.array(F.lit(0).cast("long")), step), 2, 256)
+    level = F.transform(sums, lambda c, b: (c + F.col("_excess") * (b + 1)) * 255.0 / F.col("area"))
+    tables = tiles.select("image_id", "ty", "tx", level.alias("table"))
+    tables = tables.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("ty") * grid + F.col("tx")).cast("int"), "table"))).alias("_tables"))
+    df = join_back(df, tables)
+
+    def taps(axis: str, size: str, full: str) -> list[tuple[Column, Column]]:
+        f = (F.col(axis) + 0.5) / F.col(size) - 0.5
+        i, last = F.floor(f), F.ceil(F.col(full) / F.col(size)) - 1
+        near = lambda k: F.least(F.greatest(k, F.lit(0)), last)
+        return [(near(i), 1.0 - (f - i)), (near(i + 1), f - i)]
+
+    parts = [
+        a * b * F.element_at(F.col("_tables"), (ty * grid + tx).cast("int"))[F.col("_bin")]
+        for ty, a in taps("y", "_th", "h") for tx, b in taps("x", "_tw", "w")
+    ]
+    return df.withColumn(value, sum(parts[1:], parts[0])).drop("h", "w", "_th", "_tw", "_bin", "_tables")
+
+
+#: Colours of a mosaic's four phases (y % 2, x % 2) by the pattern's name.
+PATTERNS = ("RGGB", "BGGR", "GRBG", "GBRG")
+
+
+def demosaic(df: DataFrame, value: str = "v", pattern: str = "RGGB", edge_aware: bool = False) -> DataFrame:
+    """(image_id, y, x, r, g, b): a pixel's missing colours are the mean of those within 3 x 3.
+
+    edge_aware: green at a red or blue place is the mean along the direction in which its two green
+    neighbours differ less, of all four where both differ alike.
+    """
+    if pattern.upper() not in PATTERNS:
+        raise ValueError(f"unknown mosaic pattern: {pattern}")
+    names = [c.lower() for c in pattern.upper()]
+    phase = (F.col("y") % 2 * 2 + F.col("x") % 2).cast("int")
+    colour = F.array(*map(F.lit, names))[phase]
+    own = F.struct(colour.alias("c"), F.col(value).alias("v"))
+    left, right = _sides(F.col("_own"), "y", "x")
+    df = df.select(*KEYS, own.alias("_own")).withColumn("_row", F.array(left, F.col("_own"), right))
+    up, down = _sides(F.col("_row"), "x", "y")
+    df, none = df.withColumns({"_up": up, "_down": down}), F.slice("_row", 1, 0)
+    nine = F.filter(F.concat(F.coalesce("_up", none), F.col("_row"), F.coalesce("_down", none)), lambda p: p.isNotNull())
+
+    def mean(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, p: a + p["v"]) / F.size(values)
+
+    def pick(c: str) -> Column:
+        around = mean(F.filter(nine, lambda p: p["c"] == c))
+        if c == "g" and edge_aware:
+            sides = (F.col("_row")[0]["v"], F.col("_row")[2]["v"], F.col("_up")[1]["v"], F.col("_down")[1]["v"])
+            across, along = F.round(F.abs(sides[0] - sides[1]), 9), F.round(F.abs(sides[2] - sides[3]), 9)
+            around = F.when(across < along, (sides[0] + sides[1]) / 2).when(along < across, (sides[2] + sides[3]) / 2).otherwise(around)
+        return F.when(F.col("_own.c") == c, F.col("_own.v")).otherwise(around).alias(c)
+
+    return df.select(*KEYS, pick("r"), pick("g"), pick("b"))
+
+
+def regions(df: DataFrame, mask: str) -> DataFrame:
+    """(image_id, y, x, region): the mask's pixels with a number that is the same for all that touch (8 neighbours).
+
+    Each line's runs are found with window frames; only runs, not pixels, are linked per image.
+    """
+    line = W.partitionBy("image_id", "y").orderBy("x")
+    on = df.where(F.col(mask)).select(*KEYS)
+    on = on.withColumn("_new", (F.col("x") - F.lag("x", 1, -2).over(line) > 1).cast("int"))
+    on = on.withColumn("run", F.sum("_new").over(line))
+    runs = on.groupBy("image_id", "y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    kinds = {f.name: f.dataType for f in on.schema.fields}
+    schema = T.StructType([T.StructField(n, kinds[n]) for n in ("image_id", "y", "run")] + [T.StructField("region", T.LongType())])
+    found = runs.groupBy("image_id").applyInPandas(_linked, schema)
+    found = found.select(*[F.col(c).alias(f"f_{c}") for c in ("image_id", "y", "run")], "region")
+    both = on.join(found, (F.col("image_id") == F.col("f_image_id")) & (F.col("y") == F.col("f_y")) & (F.col("run") == F.col("f_run")))
+    return both.select(*KEYS, "region")
+
+
+def _linked(runs):
+    """Numbers of an image's runs, equal for runs that touch over any number of others."""
+    runs = runs.sort_values(["y", "x0"], ignore_index=True)
+    above = list(range(len(runs)))
+
+    def root(i: int) -> int:
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
+
+    ys, x0, x1 = (runs[c].tolist() for c in ("y", "x0", "x1"))
+    start: dict[int, int] = {}
+    for i, y in enumerate(ys):
+        start.setdefault(y, i)
+    for i, y in enumerate(ys):
+        j = start.get(y - 1)
+        if j is None:
+            continue
+        while j < len(ys) and ys[j] == y - 1 and x1[j] < x0[i] - 1:
+            j += 1
+        start[y - 1] = j  # runs before it end left of all later runs of this line too
+        while j < len(ys) and ys[j] == y - 1 and x0[j] <= x1[i] + 1:
+            a, b = sorted((root(i), root(j)))
+            above[b] = a
+            j += 1
+    return runs[["image_id", "y", "run"]].assign(region=[root(i) for i in range(len(ys))])
 
 
 def edge_connected(df: DataFrame, mask: str) -> DataFrame:
-    """Pixels of the mask that reach the image's edge over the 8 neighbours, per image (applyInPandas)."""
-    import numpy as np
-    import pandas as pd
-
-    schema = T.StructType([f for f in df.schema.fields if f.name in ("image_id", "y", "x")] + [T.StructField("connected", T.BooleanType())])
-
-    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1), bool)
-        m[pdf.y, pdf.x] = pdf[mask]
-        seen = np.zeros_like(m)
-        seen[0], seen[-1], seen[:, 0], seen[:, -1] = m[0], m[-1], m[:, 0], m[:, -1]
-        while True:
-            pad = np.pad(seen, 1)
-            grown = m & np.logical_or.reduce([pad[1 + a : 1 + a + m.shape[0], 1 + b : 1 + b + m.shape[1]] for a in (-1, 0, 1) for b in (-1, 0, 1)])
-            if (grown == seen).all():
-                break
-            seen = grown
-        return pdf[["image_id", "y", "x"]].assign(connected=seen[pdf.y, pdf.x])
-
-    return df.groupBy("image_id").applyInPandas(flood, schema)
+    """Pixels of the mask that reach the image's edge over the 8 neighbours."""
+    df = join_back(regions(df, mask), sizes(df))
+    edge = F.col("y").isin(0) | F.col("x").isin(0) | (F.col("y") == F.col("h") - 1) | (F.col("x") == F.col("w") - 1)
+    return df.withColumn("connected", F.max(edge).over(W.partitionBy("image_id", "region"))).drop("h", "w", "region")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -60,26 +62,90 @@ def next_strength(tried: Column, best: Column, suggested: Column, lo: float, hi:
 
 
 def debounce(df: DataFrame, key: str, ts: str, gap_ms: int) -> DataFrame:
-    """Events that come more than gap_ms after the last accepted one of their key (a greedy fold, not a difference of rows)."""
-    events = df.groupBy(key).agg(F.array_sort(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp")))).alias("t"))
-    step = lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) > gap_ms * 1000), F.concat(acc, F.array(t))).otherwise(acc)
-    start = F.array().cast("array<bigint>")
-    # element_at of an empty array must not run: the fold starts with the first event.
-    kept = F.aggregate(F.slice("t", 2, 1 << 30), F.concat(start, F.slice("t", 1, 1)), step)
-    return events.select(key, F.explode(kept).alias("t")).select(key, F.timestamp_micros("t").cast("timestamp_ntz").alias(ts))
+    """Events that come more than gap_ms after the last accepted one of their key (a greedy fold, not a difference of rows).
+
+    An event more than the gap after its predecessor is accepted whatever came before, so keys are cut
+    there and the stretches folded side by side, each in order with the last accepted time as its only
+    state. Predecessors are found within spans of time, so that one key's events are spread. Null times are dropped.
+    """
+    gap = gap_ms * 1000
+    span = 4096 * max(gap, 1)
+    rows = df.select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).where("t is not null")
+    rows = rows.withColumn("b", F.floor(F.col("t") / span))
+
+    def before(values: DataFrame, what: Column) -> DataFrame:
+        """Per key and span, the last value of the spans before it."""
+        ends = values.groupBy("k", "b").agg(F.max(what).alias("m"))
+        earlier = F.last("m", ignorenulls=True).over(W.partitionBy("k").orderBy("b").rowsBetween(W.unboundedPreceding, -1))
+        return ends.select(F.col("k").alias("e_k"), F.col("b").alias("e_b"), earlier.alias("earlier"))
+
+    def joined(values: DataFrame, ends: DataFrame) -> DataFrame:
+        return values.join(ends, F.col("k").eqNullSafe(F.col("e_k")) & (F.col("b") == F.col("e_b"))).drop("e_k", "e_b")
+
+    order = W.partitionBy("k", "b").orderBy("t")
+    rows = joined(rows, before(rows, F.col("t")))
+    last = F.coalesce(F.lag("t").over(order), F.col("earlier"))
+    rows = rows.withColumn("first", F.when(last.isNull() | (F.col("t") - last > gap), F.col("t"))).drop("earlier")
+    rows = joined(rows, before(rows, F.col("first")))
+    rows = rows.select("k", F.coalesce(F.max("first").over(order), F.col("earlier")).alias("stretch"), "t")
+    ordered = rows.repartition("k", "stretch").sortWithinPartitions("k", "stretch", "t")
+
+    def accept(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        at, accepted = None, 0
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for i, (k, stretch, t) in enumerate(zip(*(b.column(c).to_pylist() for c in ("k", "stretch", "t")), strict=True)):
+                if (k, stretch) != at or t - accepted > gap:
+                    at, accepted, keep[i] = (k, stretch), t, True
+            yield b.filter(pa.array(keep))
+
+    kept = ordered.mapInArrow(accept, ordered.schema)
+    return kept.select(F.col("k").alias(key), F.timestamp_micros("t").cast("timestamp_ntz").alias(ts))
+
+
+#: What each event makes of the states ready, working and error (0, 1, 2); other events change nothing.
+MOVES = {"start": (1, 1, 2), "done": (0, 0, 2), "fail": (0, 2, 2), "reset": (0, 0, 0)}
+STATES = ("ready", "working", "error")
 
 
 def fold_state(df: DataFrame, key: str, ordinal: str, event: str) -> DataFrame:
-    """Job states after all events: start works only when ready, done and fail only while working, reset always."""
-    events = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(ordinal, event))).alias("e"))
-
-    def step(state: Column, e: Column) -> Column:
-        return (
-            F.when((e[event] == "start") & (state == "ready"), "working")
-            .when((e[event] == "done") & (state == "working"), "ready")
-            .when((e[event] == "fail") & (state == "working"), "error")
-            .when(e[event] == "reset", "ready")
-            .otherwise(state)
-        )
-
-    return events.select(key, F.aggregate("e", F.lit("ready"), step).alias("state"), F.size("e").alias("n"))
+    """Job states after all events: start works only when ready, done and fail only while working, reset always.
+
+    An event maps states to states, and such maps compose: ranges of (key, ordinal) are folded side by
+    side in order, then a key's few ranges. A key with very many events is spread over ranges.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(ordinal).alias("o"), F.col(event).alias("e"))
+    ordered = rows.repartitionByRange("k", "o").sortWithinPartitions("k", "o")
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def fold(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        at, made, n, part, out = None, (0, 1, 2), 0, 0, []
+        schema = None
+        for b in batches:
+            schema = schema or pa.schema([b.schema.field("k"), ("part", pa.int64()), ("n", pa.int64()), ("made", pa.list_(pa.int64()))])
+            for k, e in zip(b.column("k").to_pylist(), b.column("e").to_pylist(), strict=True):
+                if n and k != at:
+                    out.append({"k": at, "part": part, "n": n, "made": list(made)})
+                    made, n, part = (0, 1, 2), 0, part + 1
+                at, n = k, n + 1
+                move = MOVES.get(e, (0, 1, 2))
+                made = tuple(move[s] for s in made)
+            if len(out) > 5000:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        if n:
+            out.append({"k": at, "part": part, "n": n, "made": list(made)})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    folded = ordered.mapInArrow(fold, f"k {kind}, part long, n long, made array<long>")
+    # Ranges are numbered in order, so a key's maps come in order of their partition.
+    folded = folded.withColumn("p", F.spark_partition_id())
+    maps = folded.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p", "part", "made"))).alias("maps"), F.sum("n").alias("n"))
+    state = F.aggregate("maps", F.lit(0).cast("long"), lambda s, m: m["made"][s.cast("int")])
+    names = F.array(*map(F.lit, STATES))
+    return maps.select(F.col("k").alias(key), names[state.cast("int")].alias("state"), F.col("n").cast("int").alias("n"))

@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 
 from ..functions import color as C
 from .neighbourhood import laplacian, local_variance, sizes
-from .stats import RGB, join_back, with_percentile
+from .scratch import settled
+from .stats import RGB, join_back, percentiles, with_percentile
 
 
 def pct(c: Column, p: float) -> Column:
@@ -37,10 +38,13 @@ def image_metrics(df: DataFrame) -> DataFrame:
     )
 
 
-def border_strips(df: DataFrame, part: float) -> DataFrame:
-    """UNION ALL of the four strips along the edges: a corner pixel comes once for each of its sides."""
-    df = join_back(df, sizes(df))
-    dy, dx = F.greatest(F.lit(1), F.floor(F.col("h") * part)), F.greatest(F.lit(1), F.floor(F.col("w") * part))
+def border_strips(df: DataFrame, part: float | Column, settle: bool = False) -> DataFrame:
+    """UNION ALL of the four strips along the edges: a corner pixel comes once for each of its sides.
+
+    part: a strip's share of the side, or its pixels as a column of h and w.
+    """
+    df = join_back(df, sizes(df), settle=settle)
+    dy, dx = (part, part) if isinstance(part, Column) else (F.greatest(F.lit(1), F.floor(F.col(n) * part)) for n in ("h", "w"))
     sides = F.array(
         F.when(F.col("y") < dy, "top"), F.when(F.col("y") >= F.col("h") - dy, "bottom"),
         F.when(F.col("x") < dx, "left"), F.when(F.col("x") >= F.col("w") - dx, "right"),
@@ -48,16 +52,20 @@ def border_strips(df: DataFrame, part: float) -> DataFrame:
     return df.withColumn("side", F.explode(F.filter(sides, lambda s: s.isNotNull()))).drop("h", "w")
 
 
-def film_base(df: DataFrame, enough: int = 1024) -> DataFrame:
-    """Film base of an 8-bit negative: the brightest pixels and the brightest fifth of the border, 95th percentile, 32..255."""
-    df = df.withColumn("gray", C.gray(*[F.col(c) for c in RGB]))
-    tops = df.groupBy("image_id").agg(pct(F.col("gray"), 99.5).alias("_p995"), pct(F.col("gray"), 99).alias("_p99"))
-    whole = join_back(df, tops)
-    n = whole.groupBy("image_id").agg(F.count_if(F.col("gray") >= F.col("_p995")).alias("_n"))
-    whole = join_back(whole, n)
-    bright = whole.where(F.col("gray") >= F.when(F.col("_n") >= enough, F.col("_p995")).otherwise(F.col("_p99")))
-    ring = border_strips(df, 0.1)
-    ring = with_percentile(ring, F.col("gray"), 80, "_p80").where("gray >= _p80")
+def film_base(df: DataFrame, enough: int = 1024, least: int = 8) -> DataFrame:
+    """Film base of an 8-bit negative: 95th percentile, 32..255, of the brightest pixels and the brightest fifth of the border.
+
+    Brightness is the mean of the channels; the border is a twentieth of the shorter side wide, `least` at least.
+    """
+    df = df.withColumn("gray", F.round((F.col("r") + F.col("g") + F.col("b")) / 3.0, 9))
+    tops = percentiles(F.col("gray"), 99.5, 99)
+    whole = join_back(df, df.groupBy("image_id").agg(tops[0].alias("_p995"), tops[1].alias("_p99")), settle=True)
+    n = whole.groupBy("image_id").agg(F.count_if(F.col("gray") >= F.round("_p995", 9)).alias("_n"))
+    whole = join_back(whole, n, settle=True)
+    bright = whole.where(F.col("gray") >= F.round(F.when(F.col("_n") >= enough, F.col("_p995")).otherwise(F.col("_p99")), 9))
+    wide = F.greatest(F.lit(least), F.floor(F.least("h", "w") / 20))
+    ring = border_strips(df, wide, settle=True)
+    ring = join_back(ring, ring.groupBy("image_id").agg(pct(F.col("gray"), 80).alias("_p80")), settle=True).where(F.col("gray") >= F.round("_p80", 9))
     both = bright.select("image_id", *RGB).unionByName(ring.select("image_id", *RGB))
     return both.groupBy("image_id").agg(*[C.clamp(pct(F.col(c), 95), 32, 255).alias(c) for c in RGB])
 
@@ -77,7 +85,8 @@ def side_fusion(df: DataFrame, part: float = 0.2) -> DataFrame:
 def leader_range(df: DataFrame) -> DataFrame:
     """Dmin and Dmax of a density image from its clearest and densest pixels; implausible: confidence 0."""
     df = df.withColumn("luma", C.luma(*[F.col(c) for c in RGB]))
-    df = join_back(df, df.groupBy("image_id").agg(pct(F.col("luma"), 1).alias("_lo"), pct(F.col("luma"), 99).alias("_hi")))
+    limits = percentiles(F.col("luma"), 1, 99)
+    df = join_back(df, df.groupBy("image_id").agg(limits[0].alias("_lo"), limits[1].alias("_hi")))
     clear, dense = F.col("luma") <= F.col("_lo"), F.col("luma") >= F.col("_hi")
     got = df.groupBy("image_id").agg(
         *[pct(F.when(clear, F.col(c)), 10).alias(f"dmin_{c}") for c in RGB], *[pct(F.when(dense, F.col(c)), 90).alias(f"dmax_{c}") for c in RGB]
@@ -93,7 +102,7 @@ def relaxed(df: DataFrame, conditions: list[Column], least: list[int]) -> DataFr
     names = [f"_c{i}" for i in range(len(conditions))]
     df = df.withColumns({n: c for n, c in zip(names, _running(conditions), strict=True)})
     counts = df.groupBy("image_id").agg(*[F.count_if(F.col(n)).alias(f"{n}_n") for n in names])
-    df = join_back(df, counts)
+    df = join_back(df, counts, settle=True)
     choice = F.lit(True)
     for n, k in zip(names, least[::-1], strict=True):  # the weakest first, so that the strictest wins
         choice = F.when(F.col(f"{n}_n") >= k, F.col(n)).otherwise(choice)
@@ -109,19 +118,22 @@ def _running(conditions: list[Column]) -> list[Column]:
 
 def base_ratio(df: DataFrame, enough: int = 200, some: int = 50) -> DataFrame:
     """90th percentile of base over flat on calm, normally exposed pixels. df: (image_id, y, x, base, flat)."""
-    df = local_variance(df, "base", 3, "_var")
-    df = join_back(df, df.groupBy("image_id").agg(pct(F.col("_var"), 40).alias("_v40"), pct(F.col("base"), 5).alias("_l5"), pct(F.col("base"), 92).alias("_l92")))
+    df = settled(local_variance(df, "base", 3, "_var"))
+    low, high = percentiles(F.col("base"), 5, 92)
+    df = join_back(df, df.groupBy("image_id").agg(pct(F.col("_var"), 40).alias("_v40"), low.alias("_l5"), high.alias("_l92")), settle=True)
     exposed, calm = F.col("base").between(F.col("_l5"), F.col("_l92")), F.round("_var", 9) <= F.round("_v40", 9)
     kept = relaxed(df, [exposed, calm], [enough, some])
     ratio = F.col("base") / F.greatest("flat", F.lit(1e-6))
-    spread = (pct(ratio, 90) - pct(ratio, 10)) / F.greatest(F.median(ratio), F.lit(1e-6))
-    return kept.groupBy("image_id").agg(pct(ratio, 90).alias("ratio"), F.count("*").alias("n"), C.clamp(1.0 - 2.0 * spread).alias("confidence"))
+    p10, p50, p90 = percentiles(ratio, 10, 50, 90)
+    spread = (p90 - p10) / F.greatest(p50, F.lit(1e-6))
+    return kept.groupBy("image_id").agg(p90.alias("ratio"), F.count("*").alias("n"), C.clamp(1.0 - 2.0 * spread).alias("confidence"))
 
 
 def mid_neutral_gains(df: DataFrame, enough: int = 1024, some: int = 256) -> DataFrame:
     r, g, b = (F.col(c) for c in RGB)
     df = df.withColumns({"_l": C.luma(r, g, b), "_s": C.chroma_spread(r, g, b)})
-    df = join_back(df, df.groupBy("image_id").agg(pct(F.col("_l"), 20).alias("_l20"), pct(F.col("_l"), 80).alias("_l80"), pct(F.col("_s"), 70).alias("_s70")))
+    low, high = percentiles(F.col("_l"), 20, 80)
+    df = join_back(df, df.groupBy("image_id").agg(low.alias("_l20"), high.alias("_l80"), pct(F.col("_s"), 70).alias("_s70")), settle=True)
     kept = relaxed(df, [F.col("_l").between(F.col("_l20"), F.col("_l80")), F.col("_s") <= F.col("_s70")], [enough, some])
     mid = kept.groupBy("image_id").agg(*[F.median(c).alias(f"m{c}") for c in RGB])
     grey = (F.col("mr") + F.col("mg") + F.col("mb")) / 3.0
@@ -130,7 +142,8 @@ def mid_neutral_gains(df: DataFrame, enough: int = 1024, some: int = 256) -> Dat
 
 def middle_gray(df: DataFrame, target: float = 0.18, enough: int = 1024) -> DataFrame:
     df = df.withColumn("_l", C.luma(*[F.col(c) for c in RGB]))
-    df = join_back(df, df.groupBy("image_id").agg(pct(F.col("_l"), 20).alias("_l20"), pct(F.col("_l"), 80).alias("_l80")))
+    low, high = percentiles(F.col("_l"), 20, 80)
+    df = join_back(df, df.groupBy("image_id").agg(low.alias("_l20"), high.alias("_l80")), settle=True)
     kept = relaxed(df, [F.col("_l").between(F.col("_l20"), F.col("_l80"))], [enough])
     gain = C.clamp(F.lit(target) / F.greatest(F.median("_l"), F.lit(1e-6)), 0.25, 4)
     return kept.groupBy("image_id").agg(gain.alias("gain")).withColumn("ev", F.log2("gain"))
@@ -149,9 +162,10 @@ def uniformity(df: DataFrame) -> DataFrame:
     df = join_back(df, sizes(df))
     inside = lambda i, n: (F.col(i) >= 0.3 * F.col(n)) & (F.col(i) < 0.7 * F.col(n))
     centre, v = inside("y", "h") & inside("x", "w"), F.col("v")
-    mid = F.greatest(F.median(v), F.lit(1e-6))
+    p5, p50, p95 = percentiles(v, 5, 50, 95)
+    mid = F.greatest(p50, F.lit(1e-6))
     return df.groupBy("image_id").agg(
-        cv(v).alias("cv"), ((pct(v, 95) - pct(v, 5)) / mid).alias("span"), (F.max(v) / mid - 1.0).alias("hotspot"),
+        cv(v).alias("cv"), ((p95 - p5) / mid).alias("span"), (F.max(v) / mid - 1.0).alias("hotspot"),
         (F.avg(F.when(centre, v)) / F.greatest(F.avg(F.when(~centre, v)), F.lit(1e-6))).alias("centre_edge"),
         share(v >= 0.995).alias("clipped_high"), share(v <= 0.001).alias("clipped_low"),
     )

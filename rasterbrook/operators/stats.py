@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions import color as C
 from ..functions import tone as T
+from .scratch import settled
 
 RGB = ("r", "g", "b")
 
 
 def percentiles(c: Column, *points: float) -> list[Column]:
-    """Exact percentiles with linear interpolation (points in 0..100)."""
-    return [F.percentile(c, F.lit(p / 100)) for p in points]
+    """Exact percentiles with linear interpolation (points in 0..100), of one map of the values."""
+    got = F.percentile(c, F.array(*[F.lit(p / 100) for p in points]))
+    return [got[i] for i in range(len(points))]
 
 
-def join_back(df: DataFrame, stats: DataFrame, key: str = "image_id") -> DataFrame:
-    """Statistics joined to the rows of their image. There is a row per image, so Spark broadcasts it if small."""
+def join_back(df: DataFrame, stats: DataFrame, key: str = "image_id", settle: bool = False) -> DataFrame:
+    """Statistics joined to the rows of their image. There is a row per image, so Spark broadcasts it if small.
+
+    settle: the statistics are written first. For chains, where df itself has others joined to it.
+    """
+    if settle:
+        stats = settled(stats)
     return df.join(stats.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k")).drop("_k")
 
 
@@ -41,10 +48,10 @@ def cast_mask(r: Column, g: Column, b: Column) -> Column:
 def density_demask(df: DataFrame, base_percentile: float = 95, scale_percentile: float = 99) -> DataFrame:
     """8-bit negative to positive: density over the film base, scaled so that its upper percentile is white."""
     base = [F.greatest(F.percentile(F.col(c), F.lit(base_percentile / 100)), F.lit(32.0)).alias(f"{c}_base") for c in RGB]
-    df = join_back(df, df.groupBy("image_id").agg(*base))
+    df = join_back(df, df.groupBy("image_id").agg(*base), settle=True)
     df = df.withColumns({c: T.density(C.clamp((F.col(c) + 1.0) / (F.col(f"{c}_base") + 1.0), 1e-4, 1.0)) for c in RGB})
     scale = [F.greatest(F.percentile(F.col(c), F.lit(scale_percentile / 100)), F.lit(1e-4)).alias(f"{c}_scale") for c in RGB]
-    df = join_back(df, df.groupBy("image_id").agg(*scale))
+    df = join_back(df, df.groupBy("image_id").agg(*scale), settle=True)
     return df.withColumns({c: T.u8(F.round(F.lit(255.0) * F.col(c) / F.col(f"{c}_scale"), 6)) for c in RGB})
 
 

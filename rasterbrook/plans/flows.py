@@ -61,7 +61,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("flt08_edge_border")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return M.edge_border(patch(spark, d)).where("candidate").select("image_id", "y", "x", "confidence")
+    return M.edge_border(patch(spark, d)).where("candidate").select("image_id", "y", "x", rounded(F.col("confidence")).alias("confidence"))
 
 
 ROIS = [("Centre field", 2, 2, 6, 6, 0), ("corner", 0, 0, 4, 4, 1), ("beyond", 5, 5, 99, 99, 2), ("tiny", 1, 1, 2, 2, 3)]
@@ -242,27 +242,46 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ranking.debounce(table(spark, d, "events").select("user_id", "ts"), "user_id", "ts", 5 * 86_400_000)
 
 
-@query("str03_job_states")
+#: Which job event an event of the bench stands for; other events change nothing.
+JOB_EVENTS = {"click": "start", "error": "done", "purchase": "fail", "signup": "reset"}
+
+
+@query("str03_job_states", """WITH RECURSIVE e AS (SELECT user_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT user_id, 0::BIGINT AS n, 'ready' AS state FROM e WHERE n = 1 UNION ALL
+        SELECT e.user_id, e.n, CASE WHEN t = 'signup' THEN 'ready' WHEN t = 'click' AND state = 'ready' THEN 'working' WHEN t = 'error' AND state = 'working' THEN 'ready'
+            WHEN t = 'purchase' AND state = 'working' THEN 'error' ELSE state END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+    SELECT user_id, state, n FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(16).collect()]
-    names = F.create_map(*[F.lit(x) for k, v in zip(kinds, ("start", "done", "fail", "reset", "note"), strict=False) for x in (k, v)])
-    e = e.select("user_id", F.struct("ts", "event_id").alias("at"), F.element_at(names, F.col("event_type")).alias("event"))
+    names = F.create_map(*[F.lit(x) for kv in JOB_EVENTS.items() for x in kv])
+    e = table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("at"), F.try_element_at(names, F.col("event_type")).alias("event"))
     return ranking.fold_state(e, "user_id", "at", "event")
 
 
-@query("str02_progress_table", """WITH p AS (SELECT user_id AS job_id, event_id, (props->>'k')::BIGINT AS k FROM events)
-    SELECT job_id, arg_max(k, event_id) AS last_k, count(*) AS updates, array_to_string(list(k ORDER BY event_id), ',') AS log FROM p GROUP BY job_id""")
+@query("str02_progress_table", """WITH p AS (SELECT user_id AS job_id, event_id, (props->>'k')::BIGINT AS k FROM events WHERE event_id % 7 <> 0)
+    SELECT job_id, arg_max(k, event_id) AS last_k, count(*) AS updates FROM p GROUP BY job_id""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.progress_table(_progress(spark, d), "user_id", "event_id", "line")
+
+
+def _progress(spark: SparkSession, d: str) -> DataFrame:
+    """Progress lines of the bench; every seventh line is other output."""
+    e = table(spark, d, "events")
+    return e.select("user_id", "event_id", F.concat(F.when(F.col("event_id") % 7 == 0, "note ").otherwise("PROGRESS:"), "props").alias("line"))
+
+
+@query("str02_progress_log", "SELECT user_id AS job_id, event_id AS ordinal, (props->>'k')::BIGINT AS k FROM events WHERE event_id % 7 <> 0")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "events").select("user_id", "event_id", F.concat(F.lit("PROGRESS:"), "props").alias("line"))
-    return jobs.progress_table(lines, "user_id", "event_id", "line")
+    return jobs.progress_log(_progress(spark, d), "user_id", "event_id", "line")
 
 
-@query("str06_job_status", "WITH q(job_id) AS (VALUES (1), (2), (999999999)) SELECT q.job_id::BIGINT AS job_id, coalesce(any_value(s.state), 'not_found') AS state FROM q LEFT JOIN (SELECT user_id, 'done' AS state FROM events) s ON s.user_id = q.job_id GROUP BY q.job_id")
+@query("str06_job_status", """SELECT c_custkey AS job_id, CASE e.event_type WHEN 'click' THEN 'working' WHEN 'purchase' THEN 'error' WHEN 'view' THEN 'pending' ELSE 'done' END AS state
+    FROM customer JOIN (SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id) e ON e.user_id = c_custkey
+    UNION ALL SELECT c_custkey, 'not_found' FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.createDataFrame([(1,), (2,), (999999999,)], "job_id long")
-    states = table(spark, d, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.lit("done").alias("state"))
-    return jobs.status(states, asked)
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("job_id"))
+    last = table(spark, d, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("e"))
+    kind = F.create_map(*[F.lit(x) for kv in {"click": "working", "purchase": "error", "view": "pending"}.items() for x in kv])
+    return jobs.status(last.select("job_id", F.coalesce(F.try_element_at(kind, F.col("e")), F.lit("done")).alias("state")), asked)
 
 
 @query("str07_roi_setup", "SELECT vec_id::BIGINT AS id, least(vec_id % 11, vec_id % 7)::BIGINT AS x0, greatest(vec_id % 11, vec_id % 7)::BIGINT AS x1 FROM embeddings")
@@ -339,31 +358,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return r.select("id", F.array_join(F.transform(X.rationals(F.col("flat")), lambda x: x.cast("string")), ",").alias("folded"))
 
 
-_U = "floor(least(greatest({}, 0), 255))"
-
-
-@query("pipe03_positive", sql_out("s4 JOIN (SELECT image_id, y, x, r AS br, g AS bg, b AS bb FROM z) USING (image_id, y, x)", RGB8 + ", p AS (SELECT image_id, " + ", ".join(f"quantile_cont({c}, 0.005) AS {c}l, quantile_cont({c}, 0.995) AS {c}h" for c in "rgb") + " FROM rgb8 GROUP BY image_id), s1 AS (SELECT image_id, y, x, " + ", ".join(f"{_U.format(f'CASE WHEN {c}h - {c}l < 1 THEN {c} ELSE ({c} - {c}l) * 255.0::DOUBLE / greatest({c}h - {c}l, 1.0) END')} AS {c}" for c in "rgb") + " FROM rgb8 JOIN p USING (image_id)), s2 AS (SELECT image_id, y, x, " + ", ".join(f"{_U.format(f'{c} + 6')} AS {c}" for c in "rgb") + " FROM s1), s3 AS (SELECT image_id, y, x, " + ", ".join(f"{_U.format(f'pow({c} / 255.0::DOUBLE, 0.9::DOUBLE) * 255.0::DOUBLE')} AS {c}" for c in "rgb") + " FROM s2), s4 AS (SELECT image_id, y, x, " + ", ".join(f"{_U.format(f'{c} / 255.0::DOUBLE * (1 - 0.1::DOUBLE * ({c} / 255.0::DOUBLE)) * 255.0::DOUBLE')} AS {c}" for c in "rgb") + " FROM s3), " + _blur("s4", "r", 1.2, "zr") + ", " + _blur("s4", "g", 1.2, "zg").replace("kern(", "kern2(").replace("kern,", "kern2,").replace("bx ", "bx2 ") + ", " + _blur("s4", "b", 1.2, "zb").replace("kern(", "kern3(").replace("kern,", "kern3,").replace("bx ", "bx3 ") + ", z AS (SELECT * FROM zr JOIN zg USING (image_id, y, x) JOIN zb USING (image_id, y, x))", **{c: f"{c} + 0.35::DOUBLE * ({c} - b{c})" for c in "rgb"}))
-def _(spark: SparkSession, d: str) -> DataFrame:
-    df = S.percentile_stretch(rgb8(spark, d), 0.5, 99.5)
-    for step in (lambda c: T.lift_shadows(c, 6), lambda c: T.gamma_u8(c, 0.9), lambda c: T.compress_highlights(c, 0.1)):
-        df = df.withColumns({c: step(F.col(c)) for c in RGB_COLS})
-    for c in RGB_COLS:
-        df = N.unsharp(df, c, 0.35, 1.2)
-    return out(df, **{c: F.col(c) for c in RGB_COLS})
-
-
-@query("pipe02_negative", f"""WITH {RGB8}, base AS (SELECT image_id, {", ".join(f"greatest(quantile_cont({c}, 0.95), 32) AS {c}b" for c in "rgb")} FROM rgb8 GROUP BY image_id),
-    t AS (SELECT image_id, y, x, {", ".join(f"-ln(least(greatest(({c} + 1) / ({c}b + 1), 0.0001::DOUBLE), 1)) AS {c}" for c in "rgb")} FROM rgb8 JOIN base USING (image_id)),
-    s AS (SELECT image_id, {", ".join(f"greatest(quantile_cont({c}, 0.99), 0.0001::DOUBLE) AS {c}s" for c in "rgb")} FROM t GROUP BY image_id),
-    k AS (SELECT image_id, y, x, {", ".join(f"{_U.format(f'round(255 * {c} / {c}s, 6)')} AS {c}" for c in "rgb")} FROM t JOIN s USING (image_id)),
-    w AS (SELECT image_id, {", ".join(f"quantile_cont({c}, 0.008) AS {c}l, quantile_cont({c}, 0.992) AS {c}h" for c in "rgb")} FROM k GROUP BY image_id),
-    j AS (SELECT image_id, y, x, {", ".join(f"{_U.format(f'CASE WHEN {c}h - {c}l < 1 THEN {c} ELSE ({c} - {c}l) * 255.0::DOUBLE / greatest({c}h - {c}l, 1.0) END')} AS {c}" for c in "rgb")} FROM k JOIN w USING (image_id))
-    SELECT image_id, y, x, {", ".join(f"{_U.format(f'{c} + 4')} + 0.0 AS {c}" for c in "rgb")} FROM j""")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    df = S.percentile_stretch(S.density_demask(rgb8(spark, d)), 0.8, 99.2)
-    return out(df.withColumns({c: T.lift_shadows(F.col(c), 4) for c in RGB_COLS}), **{c: F.col(c) for c in RGB_COLS})
-
-
 @query("udf05_film_dispatch", f"""WITH {_FILM}, k AS (SELECT image_id, mr > mg + 12 AND mg > mb + 10 AS neg FROM m) SELECT image_id, y, x, {", ".join(f"CASE WHEN neg THEN 255 - {c} ELSE {c} END + 0.0 AS {c}" for c in "rgb")} FROM rgb8 JOIN k USING (image_id)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     px = rgb8(spark, d)

@@ -51,12 +51,15 @@ def _strips(frm: str, n: int) -> str:
         UNION ALL SELECT *, 'left' FROM {frm} WHERE x < {n} UNION ALL SELECT *, 'right' FROM {frm} WHERE x >= 8 - {n})"""
 
 
+FILM_BASE = f"""q AS (SELECT *, round((r + g + b) / 3, 9) AS gray FROM rgb8), p AS (SELECT image_id, round(quantile_cont(gray, 0.99), 9) AS p99 FROM q GROUP BY image_id), {_strips("q", 1)},
+    s AS (SELECT image_id, round(quantile_cont(gray, 0.8), 9) AS p80 FROM strips GROUP BY image_id)"""
+
+
 @query("agg04_film_base", wrap("SELECT image_id, " + ", ".join(f"least(greatest(quantile_cont({c}, 0.95), 32), 255) AS {c}" for c in "rgb") + " FROM u GROUP BY image_id", RGB8 + f""",
-    q AS (SELECT *, {GRAY} AS gray FROM rgb8), p AS (SELECT image_id, quantile_cont(gray, 0.99) AS p99 FROM q GROUP BY image_id), {_strips("q", 1)},
-    s AS (SELECT image_id, quantile_cont(gray, 0.8) AS p80 FROM strips GROUP BY image_id),
+    {FILM_BASE},
     u AS (SELECT image_id, r, g, b FROM q JOIN p USING (image_id) WHERE gray >= p99 UNION ALL SELECT image_id, r, g, b FROM strips JOIN s USING (image_id) WHERE gray >= p80)""", "r g b"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return each(A.film_base(rgb8(spark, d)))
+    return each(A.film_base(rgb8(spark, d), least=1))
 
 
 @query("agg05_side_fusion", wrap("SELECT image_id, " + ", ".join(f"median({c}) AS {c}" for c in "rgb") + ", count(*) AS sides, CASE WHEN count(*) = 1 THEN 0.35 ELSE least(greatest(1 - 4 * avg(e), 0), 1) END AS consistency FROM k GROUP BY image_id", RGB + f""",

@@ -44,8 +44,11 @@ def read_metadata_overlap(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels (image_id, path, y, x, r, g, b), 0..1, of JPEG and PNG files; Spark's image source decodes them."""
-    rows = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    """Pixels (image_id, path, y, x, r, g, b), 0..1, of JPEG and PNG files; Spark's image source decodes them.
+
+    A file that it can't decode is an error. Line by line, so no image is held as rows.
+    """
+    rows = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
     rows = rows.withColumn("image_id", F.xxhash64("origin"))
 
     def pixels(batches):
@@ -54,6 +57,8 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
         for b in batches:
             for i, o, h, w, n, data in zip(*(b.column(c).to_pylist() for c in ("image_id", "origin", "height", "width", "nChannels", "data")), strict=True):
+                if h <= 0 or w <= 0:
+                    raise ValueError(f"{o}: not an image")
                 a = np.frombuffer(data, np.uint8).reshape(h, w, n)
                 a = np.repeat(a, 3, axis=2) if n == 1 else a[:, :, :3]
                 for y in range(h):  # a line at a time
@@ -77,21 +82,24 @@ def list_captures(spark: SparkSession, path: str) -> DataFrame:
 def decode_with(files: DataFrame, decoder: Callable[[bytes], "object"], schema: str) -> DataFrame:
     """Camera files through a decoder of the caller's: binaryFile rows (path, content) to rows of schema and an error column.
 
-    decoder(bytes) yields dicts of the schema's columns; a file that it can't read gives one row with the error.
+    decoder(bytes) yields dicts of arrays (or single values) by column of the schema, a line of the
+    image each, say; a file that it can't read to its end gives one more row, with the error.
     """
     out = T.StructType([T.StructField("path", T.StringType()), *T.StructType.fromDDL(schema).fields, T.StructField("error", T.StringType())])
 
     def run(frames: Iterator) -> Iterator:
+        import numpy as np
         import pandas as pd
 
         names = [f.name for f in out.fields]
         for pdf in frames:
             for path, content in zip(pdf.path, pdf.content, strict=True):
                 try:
-                    rows = [{"path": path, **r, "error": None} for r in decoder(content)]
+                    for columns in decoder(content):
+                        got = {c: np.atleast_1d(v) for c, v in columns.items()}
+                        yield pd.DataFrame({"path": path, **got, "error": None}, columns=names)
                 except Exception as e:  # the file's own row tells
-                    rows = [{"path": path, "error": f"{type(e).__name__}: {e}"}]
-                yield pd.DataFrame(rows, columns=names)
+                    yield pd.DataFrame([{"path": path, "error": f"{type(e).__name__}: {e}"}], columns=names)
 
     return files.select("path", "content").mapInPandas(run, out)
 
@@ -99,9 +107,8 @@ def decode_with(files: DataFrame, decoder: Callable[[bytes], "object"], schema:
 def layout(spark: SparkSession, text: DataFrame) -> DataFrame:
     """Regions (name, x0, y0, x1, y1, raw) of layout JSON in column json: lists of {name, bbox}, {name: {bbox}}, or
     {name: [x0, x1], "y": [y0, y1]}; other entries keep their JSON with null corners."""
-    v = text.select(F.try_parse_json("json").alias("v"))
-    v.createOrReplaceTempView("_layout")
-    rows = spark.sql("SELECT key, pos, value, v AS whole FROM _layout, LATERAL variant_explode(v)")
+    v = text.select(F.try_parse_json("json").alias("whole"))
+    rows = v.lateralJoin(spark.tvf.variant_explode(F.col("whole").outer()))
     get = lambda p, t: F.try_variant_get("value", p, t)
     box = F.coalesce(get("$.bbox", "array<int>"), F.when(F.size(get("$", "array<int>")) == 4, get("$", "array<int>")))
     span, ys = get("$", "array<int>"), F.try_variant_get("whole", "$.y", "array<int>")
@@ -161,6 +168,23 @@ def encode_png(df: DataFrame, channels: tuple[str, ...] = ("r", "g", "b"), depth
     return df.select("image_id", "y", "x", *channels).groupBy("image_id").applyInPandas(encode, "image_id long, png binary")
 
 
+def tile_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
+    """A scan as it arrives: image files of a folder as a stream (path, modificationTime, content), so many a trigger."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", per_trigger).load(path)
+
+
+def write_stage_arrays(df: DataFrame, path: str, stage: str, channels: tuple[str, ...] = ("r", "g", "b")) -> None:
+    """A stage's intermediate rasters as arrays: below path/stage=<name>, a row per image line with the
+    line's values channel by channel (image_id, y, width, channels, values); lines are gathered, never images."""
+    line = F.array_sort(F.collect_list(F.struct("x", *channels)))
+    rows = df.groupBy("image_id", "y").agg(line.alias("l")).select(
+        "image_id", "y", F.size("l").alias("width"), F.array(*map(F.lit, channels)).alias("channels"),
+        F.flatten(F.array(*[F.col(f"l.{c}") for c in channels])).alias("values"),
+    )
+    rows.write.mode("errorifexists").parquet(f"{path}/stage={stage}")
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """Nested reports as JSON lines."""
     df.write.mode("errorifexists").json(path)

@@ -12,15 +12,18 @@ PREFIX = "PROGRESS:"
 
 def progress(line: Column) -> Column:
     """The JSON of a progress line, null for other lines."""
-    return F.when(line.startswith(PREFIX), F.substring(line, len(PREFIX) + 1, 1 << 20))
+    return F.when(line.startswith(PREFIX), F.substring(line, len(PREFIX) + 1, (1 << 31) - 1))
 
 
-def progress_table(lines: DataFrame, key: str, ordinal: str, line: str) -> DataFrame:
-    """Per job the last value, the number of updates and the log; lines that aren't progress are skipped."""
+def progress_log(lines: DataFrame, key: str, ordinal: str, line: str) -> DataFrame:
+    """(job_id, ordinal, k): a row per progress line, the value null where it isn't a number; other lines are skipped."""
     k = F.get_json_object(progress(F.col(line)), "$.k").try_cast("long")
-    got = lines.where(progress(F.col(line)).isNotNull()).select(F.col(key).alias("job_id"), F.col(ordinal).alias("o"), k.alias("k"))
-    log = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "k"))), lambda e: e["k"].cast("string")), ",")
-    return got.groupBy("job_id").agg(F.max_by("k", "o").alias("last_k"), F.count("*").alias("updates"), log.alias("log"))
+    return lines.where(progress(F.col(line)).isNotNull()).select(F.col(key).alias("job_id"), F.col(ordinal).alias("ordinal"), k.alias("k"))
+
+
+def progress_table(lines: DataFrame, key: str, ordinal: str, line: str) -> DataFrame:
+    """Per job the last value and the number of updates, combined before the shuffle; the log stays rows."""
+    return progress_log(lines, key, ordinal, line).groupBy("job_id").agg(F.max_by("k", "ordinal").alias("last_k"), F.count("*").alias("updates"))
 
 
 def status(states: DataFrame, asked: DataFrame) -> DataFrame:

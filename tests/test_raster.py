@@ -136,13 +136,166 @@ def test_decoder_errors_are_rows(spark, tmp_path):
     (tmp_path / "b.dng").write_bytes(b"x")
 
     def decode(data):
-        yield {"v": float(data[1])}
+        yield {"v": [float(data[1]), 7.0]}
 
     raw = spark.read.format("binaryFile").load(str(tmp_path))
-    got = {os.path.basename(r.path): (r.v, r.error) for r in files.decode_with(raw, decode, "v double").collect()}
-    assert got["a.dng"] == (50.0, None) and got["b.dng"][1].startswith("IndexError")
+    got = [(os.path.basename(r.path), r.v, r.error) for r in files.decode_with(raw, decode, "v double").orderBy("path", "v").collect()]
+    assert got[:2] == [("a.dng", 7.0, None), ("a.dng", 50.0, None)] and got[2][0] == "b.dng" and got[2][2].startswith("IndexError") and len(got) == 3
 
 
+def test_a_broken_image_is_an_error(spark, tmp_path):
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    with pytest.raises(Exception, match="not an image"):
+        files.read_images(spark, str(tmp_path)).collect()
+
+
+def test_tiles_arrive_one_by_one(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.png").write_bytes(bytes([i] * 4))
+    sizes = []
+    q = files.tile_stream(spark, str(tmp_path / "in")).writeStream.foreachBatch(lambda b, _: sizes.append(b.count())).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination()
+    assert sizes == [1, 1, 1]
+
+
+def test_stage_arrays(spark, tmp_path):
+    df = spark.createDataFrame(image(lambda y, x: (y, x, 5), 3, 4), RGB)
+    files.write_stage_arrays(df, str(tmp_path / "out"), "inverted")
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("y").collect()
+    assert [(r.stage, r.y, r.width, r["values"]) for r in rows] == [("inverted", y, 4, [float(y)] * 4 + [0.0, 1.0, 2.0, 3.0] + [5.0] * 4) for y in range(3)]
+
+
+def test_whole_negative_takes_the_mask_off(spark):
+    from rasterbrook.operators import develop
+
+    def scan(y, x):  # a positive of two colours, as a masked negative
+        pos = (90, 60, 40) if x < 8 else (140, 170, 200)
+        return [min(255, 255 - v + m) for v, m in zip(pos, (90, 35, 0), strict=True)]
+
+    df = spark.createDataFrame(image(scan, 16, 16), RGB)
+    cast = lambda d: abs(d.agg(F.avg("b") - F.avg("r")).first()[0])
+    got = develop.negative(df)
+    assert got.count() == 256 and cast(got) < cast(df.withColumns({c: 255 - F.col(c) for c in "rgb"}))
+    with pytest.raises(ValueError):
+        develop.negative(df, {"gama": 1.0})
+    lifted = develop.positive(df, {"shadow_lift": 20.0}).agg(F.avg("r")).first()[0]
+    assert lifted >= develop.positive(df).agg(F.avg("r")).first()[0]
+
+
+def test_regions_of_a_mask(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    on = rng.random((20, 30)) < 0.4
+    df = spark.createDataFrame([(1, y, x, bool(on[y, x])) for y in range(20) for x in range(30)], "image_id long, y long, x long, m boolean")
+    got = {(r.y, r.x): r.region for r in neighbourhood.regions(df, "m").collect()}
+    want = {}
+    for y, x in zip(*np.nonzero(on)):
+        todo = [(y, x)]
+        while todo:
+            p = todo.pop()
+            if p not in want:
+                want[p] = (y, x)
+                todo += [(p[0] + a, p[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if 0 <= p[0] + a < 20 and 0 <= p[1] + b < 30 and on[p[0] + a, p[1] + b]]
+    assert set(got) == set(want) and len({(got[p], want[p]) for p in want}) == len(set(got.values())) == len(set(want.values()))
+
+
+@pytest.mark.parametrize("pattern", neighbourhood.PATTERNS)
+def test_mosaic_of_a_constant_colour(spark, pattern):
+    value = {"R": 0.2, "G": 0.5, "B": 0.9}
+    df = spark.createDataFrame([(1, y, x, value[pattern[y % 2 * 2 + x % 2]]) for y in range(6) for x in range(5)], "image_id long, y long, x long, v double")
+    for edge_aware in (False, True):
+        got = neighbourhood.demosaic(df, "v", pattern, edge_aware).collect()
+        assert len(got) == 30 and all((round(r.r, 9), round(r.g, 9), round(r.b, 9)) == (0.2, 0.5, 0.9) for r in got)
+    with pytest.raises(ValueError):
+        neighbourhood.demosaic(df, "v", "RGBG")
+
+
+def brute_edges(v, low=30, high=100):
+    import numpy as np
+
+    h, w = v.shape
+    mirror = lambda i, n: (i % (2 * n - 2)) if (i % (2 * n - 2)) < n else 2 * n - 2 - i % (2 * n - 2)
+    k = np.exp(-np.arange(-2, 3) ** 2 / (2 * 1.5**2))
+    k /= k.sum()
+    g = np.floor(np.clip(v, 0, 1) * 255)
+    g = np.array([[sum(k[d + 2] * g[y, mirror(x + d, w)] for d in range(-2, 3)) for x in range(w)] for y in range(h)])
+    g = np.array([[sum(k[d + 2] * g[mirror(y + d, h), x] for d in range(-2, 3)) for x in range(w)] for y in range(h)])
+    g = np.pad(np.floor(np.round(g + 0.5, 6)), 1, mode="edge")
+    at = lambda dy, dx: g[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
+    gx = sum(f * (at(dy, 1) - at(dy, -1)) for dy, f in ((-1, 1), (0, 2), (1, 1)))
+    gy = sum(f * (at(1, dx) - at(-1, dx)) for dx, f in ((-1, 1), (0, 2), (1, 1)))
+    m = np.pad(abs(gx) + abs(gy), 1)
+    weak, strong = set(), set()
+    for y in range(h):
+        for x in range(w):
+            c, n = m[y + 1, x + 1], lambda dy, dx: m[y + 1 + dy, x + 1 + dx]
+            if abs(gy[y, x]) < np.tan(np.pi / 8) * abs(gx[y, x]):
+                top = c > n(0, -1) and c >= n(0, 1)
+            elif abs(gy[y, x]) > np.tan(3 * np.pi / 8) * abs(gx[y, x]):
+                top = c > n(-1, 0) and c >= n(1, 0)
+            else:
+                s = 1 if gx[y, x] * gy[y, x] >= 0 else -1
+                top = c > n(-1, -s) and c > n(1, s)
+            if top and c > low:
+                weak.add((y, x))
+            if top and c > high:
+                strong.add((y, x))
+    out, todo = set(), list(strong)
+    while todo:
+        p = todo.pop()
+        if p in weak and p not in out:
+            out.add(p)
+            todo += [(p[0] + a, p[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_edges_and_their_border(spark, seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    v = np.full((30, 40), 0.9)
+    v[6:24, 8:30] = 0.3
+    v[10:15, 12:20] = 0.8
+    v = np.clip(v + rng.normal(0, 0.02 * seed, v.shape), 0, 1)
+    df = spark.createDataFrame([(1, y, x, float(v[y, x])) for y in range(30) for x in range(40)], "image_id long, y long, x long, v double")
+    got = {(r.y, r.x) for r in masks.edges(df).where("edge").collect()}
+    want = brute_edges(v)
+    assert got == want and len(want) > 40
+    rows = masks.edge_border(df).collect()
+    thick = {(y, x) for a, b in want for y in range(a - 4, a + 5) for x in range(b - 4, b + 5)}
+    box = {(r.y, r.x) for r in rows if not r.candidate}
+    assert box <= {(y, x) for y in range(30) for x in range(40)} and {(r.y, r.x) for r in rows if r.candidate}.isdisjoint({p for p in thick if p in box})
+    assert (5, 7) in box and (24, 30) in box and (0, 0) not in box and all(0.1 <= r.confidence <= 0.9 for r in rows)
+    flat = masks.edge_border(df.withColumn("v", F.lit(0.5))).collect()
+    assert {(r.y, r.x) for r in flat if r.candidate} == {(y, x) for y in range(30) for x in range(40) if y < 1 or y > 28 or x < 2 or x > 37}
+
+
+def test_chains_read_their_input_a_few_times(spark):
+    df = spark.createDataFrame(image(lambda y, x: (y, x, x * y)), RGB)
+    plan = masks.stable_base(df, 12)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1
+
+
+def test_debounce_of_a_busy_key(spark):
+    import random
+
+    rng = random.Random(2)
+    t, rows = 0, []
+    for _ in range(3000):
+        t += rng.choice([1, 5, 40, 400, 700, 50_000, 9_000_000])
+        rows.append((rng.choice([1, 1, 1, 2, None]), t))
+    df = spark.createDataFrame(rows, "k long, ms long").select("k", F.timestamp_millis("ms").alias("ts"))
+    want, last = [], {}
+    for k, ms in rows:
+        if k not in last or ms - last[k] > 500:
+            last[k] = ms
+            want.append((k, ms))
+    got = ranking.debounce(df, "k", "ts", 500).select("k", F.unix_millis(F.col("ts").cast("timestamp"))).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
 def test_layouts(spark):
     df = spark.createDataFrame([('[{"name": "n", "bbox": [1, 2, 3, 4]}, {"odd": 1}]',), ('{"a": {"bbox": [0, 1, 2, 3]}, "b": [5, 9], "c": "?", "y": [0, 4]}',), ("junk",)], "json string")
     got = {r.name: (r.x0, r.y0, r.x1, r.y1) for r in files.layout(spark, df).collect()}
