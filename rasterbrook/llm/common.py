@@ -99,24 +99,26 @@ HOT_ROWS, SAMPLE = 2048, 64
 
 
 def hot_values(sample: DataFrame, value: str, name: str) -> DataFrame:
-    """The values (hot_<value>) that a sample of one in SAMPLE rows shows to be very frequent; few, and counted before a broadcast."""
+    """The values (hot_<value>) that a sample of one in SAMPLE rows shows to be very frequent; few, and counted before a broadcast.
+
+    One value more, the smallest long, is always there, so that plans are alike at every size.
+    """
     hot = sample.groupBy(value).count().where(F.col("count") >= HOT_ROWS // SAMPLE).select(F.col(value).alias(f"hot_{value}"))
-    return bounded(written(hot, f"{name}-hot"))
+    one = sample.sparkSession.range(1).select(F.lit(-(1 << 63)).cast("long").alias(f"hot_{value}"))
+    return bounded(written(hot.unionByName(one).distinct(), f"{name}-hot"))
 
 
 def repeated(rows: DataFrame, value: str, one_of: Column, name: str) -> DataFrame:
-    """Rows whose value two rows or more have, with their number as df.
+    """Rows whose value two rows or more have, with their number as df (a very large one for very frequent values).
 
     One shuffle by the value instead of a count that is joined back. one_of marks the sample that tells
-    very frequent values: their rows aren't shuffled by the value at all, and their counts are combined
-    before the shuffle. Other values have few rows each.
+    very frequent values; their rows need no count and are spread.
     """
+    hot = F.col(f"hot_{value}").isNotNull()
     split = rows.join(hot_values(rows.where(one_of), value, name), F.col(value) == F.col(f"hot_{value}"), "left")
-    few = split.where(F.col(f"hot_{value}").isNull()).drop(f"hot_{value}")
-    few = few.withColumn("df", F.count("*").over(W.partitionBy(value))).where("df > 1")
-    many = split.where(F.col(f"hot_{value}").isNotNull()).drop(f"hot_{value}")
-    counts = many.groupBy(F.col(value).alias("c_value")).agg(F.count("*").alias("df")).where("df > 1")
-    return few.unionByName(many.join(bounded(counts), F.col(value) == F.col("c_value")).drop("c_value"))
+    split = split.withColumn("salt", F.when(hot, F.pmod(F.hash(*rows.columns), F.lit(256))).otherwise(-1))
+    same = F.count("*").over(W.partitionBy(value, "salt"))
+    return split.withColumn("df", F.when(hot, F.lit(1 << 40)).otherwise(same)).where("df > 1").drop("salt", f"hot_{value}")
 
 
 def ascii_lower(c: Column) -> Column:

@@ -104,14 +104,16 @@ def _unlike(a: str, b: str) -> Column:
 def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sets (doc_id, text_key, sig, n) of all rows; components (node, component) that pivots give; links (a, b) beyond those."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", text_key())
-    sets = written(rows.mapInArrow(_sets(k, percent), "doc_id long, text_key long, sig long, n long, prefix array<long>"), "jaccard-prefixes")
+    prefixes = written(rows.mapInArrow(_sets(k, percent), "doc_id long, text_key long, sig long, n long, prefix array<long>"), "jaccard-prefixes")
+    sets = written(prefixes.drop("prefix"), "jaccard-rows")
     key = F.xxhash64("doc_id", "text_key")  # rows without an id, or with one that others have, have keys of their own
 
     # Sets with enough shingles of their prefix elsewhere.
-    posted = sets.select(key.alias("key"), F.explode("prefix").alias("h"))
+    posted = prefixes.select(key.alias("key"), F.explode("prefix").alias("h"))
     counted = repeated(posted, "h", F.pmod("key", F.lit(SAMPLE)) == 0, "jaccard-prefix").groupBy("key").agg(F.count("*").alias("c"))
     likely = sets.select(key.alias("key"), "sig", "n").join(counted, "key").where(F.expr(f"n > 0 and c >= n * {percent} div 1600 + 1"))
     likely = written(likely.groupBy("sig").agg(F.min("key").alias("key")), "jaccard-likely")
+    discard(prefixes)
     wanted = likely.select(F.col("key").alias("w_key"), F.col("sig").alias("wanted"))
     texts = rows.where("text is not null").withColumn("key", key)
     texts = texts.join(bounded(wanted), F.col("key") == F.col("w_key")).select("text", "wanted")
@@ -173,7 +175,7 @@ def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     rest = _verified(pair.select(F.greatest("sig", "p_sig").alias("a"), F.least("sig", "p_sig").alias("b")).distinct(), index, percent)
     rest = written(rest, "jaccard-rest")
     discard(several, index)
-    return sets.select("doc_id", "text_key", "sig", "n"), label, rest
+    return sets, label, rest
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -17,9 +17,11 @@ def test_repeated(spark, all_hot):
     from pyspark.sql import functions as F
 
     rows = spark.range(4000).selectExpr("id", "id % 700 + (id % 3) * (id % 1000) as v")
-    got = {(r.id, r.v): r.df for r in common.repeated(rows, "v", F.pmod(F.hash("id"), F.lit(common.SAMPLE)) == 0, "t").collect()}
+    one_of = F.pmod(F.hash("id"), F.lit(common.SAMPLE)) == 0
+    got = {(r.id, r.v): r.df for r in common.repeated(rows, "v", one_of, "t").collect()}
+    hot = {r.v for r in rows.where(one_of).collect()}
     counts = {r.v: r["count"] for r in rows.groupBy("v").count().collect()}
-    assert got == {(r.id, r.v): counts[r.v] for r in rows.collect() if counts[r.v] > 1}
+    assert got == {(r.id, r.v): 1 << 40 if r.v in hot else counts[r.v] for r in rows.collect() if counts[r.v] > 1 or r.v in hot}
 
 
 def test_suffixes(spark, all_hot):
