@@ -77,6 +77,10 @@ def test_quality_rules(spark):
         assert r.base_failed == (len(words) < 20 or 100 * r.n_repeat_words > 30 * len(words))
     kept = {r.doc_id for r in got if r.kept}
     assert kept - {None} == set(range(60))
+    junk = spark.createDataFrame([*rows, *[(900 + i, "#$ %& " * 300 + str(i), lang, "x") for i, lang in enumerate(("xx", "xx", None, ""))]], DOCS)
+    far = {r.doc_id: r for r in quality.quality_rules(junk, carry=["lang", "n_words"]).collect() if r.doc_id is not None and r.doc_id >= 900}
+    assert len(far) == 4 and not any(r.kept for r in far.values()) and all(r.char_distance > 0.25 for r in far.values())
+    assert [far[900 + i].carried_lang for i in range(4)] == ["xx", "xx", None, ""] and far[900].carried_n_words == "x"
     assert quality.quality_rules(spark.createDataFrame([], DOCS)).collect() == []
 
 
@@ -158,6 +162,20 @@ def test_warc_round_trip(spark, least):
     assert keys == sorted(keys)
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    """Pages far beyond a file's size, among small ones: files hold one record more at most, and all comes back."""
+    import gzip
+
+    rng = random.Random(3)
+    html = ["".join(rng.choice("abcdef<>") for _ in range(rng.choice([10, 300, 90_000]))) for _ in range(120)]
+    pages = spark.createDataFrame([(i, f"http://e.org/{i}", h, None) for i, h in enumerate(html)], PAGES)
+    warc.write_warc(pages, str(tmp_path / "w"), file_bytes=100_000)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 10 and max(sizes) < 200_000
+    got = {r.page_id: r.payload_bytes for r in warc.capture_index(f"file://{tmp_path}/w", spark, range_rows=10).collect()}
+    assert got == {i: len(h) for i, h in enumerate(html)}
+
+
 def test_warc_of_an_empty_table(spark):
     assert warc.archive(spark.createDataFrame([], PAGES)).collect() == []
 
