@@ -12,6 +12,7 @@ from .decontaminate import MASKS, leaks
 from .jaccard import jaccard_join
 from .mixing import mix
 from .passages import near_passages
+from .prefix_trie import conversation_trie
 from .quality import WORDS, quality_rules
 from .suffix_dedup import suffix_dedup
 from .tokens import token_counts
@@ -72,6 +73,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 
@@ -171,6 +177,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
                NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(c, 0) <= 0.25 AND coalesce(w, 0) <= 0.40 AS kept
         FROM base JOIN far USING (k)""",
+    "op12_prefix_trie": """
+        WITH RECURSIVE t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+                ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+              FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM t),
+        crc AS (SELECT conv_id, s, 0 AS i, 4294967295::BIGINT AS c FROM ids UNION ALL
+              SELECT conv_id, s, i + 1, CASE WHEN i % 9 = 0 THEN xor(c, ascii(s[i // 9 + 1])::BIGINT) ELSE xor(c >> 1, (c & 1) * 3988292384) END FROM crc WHERE i < 9 * length(s)),
+        h AS (SELECT conv_id, xor(c, 4294967295) % 6 AS h FROM crc WHERE i = 9 * length(s)),
+        r AS (SELECT conv_id, 1 AS part, p, role, text FROM t JOIN h USING (conv_id) WHERE p > h UNION ALL
+              SELECT h.conv_id, 0, p, role, text FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 100 WHERE p <= h),
+        l AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY part, p) AS s FROM r GROUP BY conv_id),
+        c AS (SELECT conv_id, coalesce(s, []) AS s FROM ids LEFT JOIN l USING (conv_id)),
+        n AS (SELECT s[1:d] AS k, d, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = d), '')) AS ends
+              FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM c) GROUP BY 1, 2),
+        kids AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1, 2),
+        f AS (SELECT n.*, coalesce(kids, 0) AS kids, CASE WHEN n.d > 0 THEN (n.n - 1) * length(n.k[n.d].text) ELSE 0 END AS saved FROM n LEFT JOIN kids USING (k, d)),
+        up AS (SELECT k[1:a] AS k, a AS d, sum((kids = 0)::INT) AS leaves, sum(saved) AS saved FROM (SELECT k, kids, saved, unnest(range(0, d + 1)) AS a FROM f) GROUP BY 1, 2)
+        SELECT f.conv_id, f.d::BIGINT AS depth, above.conv_id AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, leaves::BIGINT AS n_leaves, up.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+        FROM f JOIN up USING (k, d) LEFT JOIN n above ON f.d > 0 AND above.d = f.d - 1 AND above.k = f.k[1:f.d - 1]""",
     "op2_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
         f AS (SELECT body, min(page_id) AS least FROM p GROUP BY body)
