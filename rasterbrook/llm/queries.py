@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .chosen_path import near_copies
 from .decontaminate import MASKS, leaks
 from .jaccard import jaccard_join
 from .mixing import mix
@@ -19,6 +20,7 @@ from .tokens import token_counts
 from .toxicity import toxicity
 from .urls import url_filter
 from .warc import archive
+from .whitening import whitened
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -73,10 +75,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
@@ -88,7 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_whitening": op11_whitening,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_near_copies": op13_near_copies,
 }
 
 
@@ -188,7 +200,7 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT conv_id, 1 AS part, p, role, text FROM t JOIN h USING (conv_id) WHERE p > h UNION ALL
               SELECT h.conv_id, 0, p, role, text FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 100 WHERE p <= h),
         l AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY part, p) AS s FROM r GROUP BY conv_id),
-        c AS (SELECT conv_id, coalesce(s, []) AS s FROM ids LEFT JOIN l USING (conv_id)),
+        c AS (SELECT ids.conv_id, coalesce(l.s, []) AS s FROM ids LEFT JOIN l ON l.conv_id = ids.conv_id),
         n AS (SELECT s[1:d] AS k, d, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = d), '')) AS ends
               FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM c) GROUP BY 1, 2),
         kids AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1, 2),
@@ -196,6 +208,19 @@ ORACLE_SQL: dict[str, str] = {
         up AS (SELECT k[1:a] AS k, a AS d, sum((kids = 0)::INT) AS leaves, sum(saved) AS saved FROM (SELECT k, kids, saved, unnest(range(0, d + 1)) AS a FROM f) GROUP BY 1, 2)
         SELECT f.conv_id, f.d::BIGINT AS depth, above.conv_id AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, leaves::BIGINT AS n_leaves, up.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
         FROM f JOIN up USING (k, d) LEFT JOIN n above ON f.d > 0 AND above.d = f.d - 1 AND above.k = f.k[1:f.d - 1]""",
+    "op13_near_copies": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                lambda x: x <> '') AS t FROM documents),
+        g AS (SELECT doc_id, array_to_string(t[i:i + 1], ' ') AS s
+              FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 1, 1) + 1)) AS i FROM w WHERE len(t) > 0)),
+        s AS (SELECT DISTINCT doc_id, s FROM g),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+        r AS (SELECT doc_id AS a, doc_id AS c FROM w UNION SELECT e.b, r.c FROM r JOIN e ON r.a = e.a)
+        SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, m.c = w.doc_id AS kept
+        FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = w.doc_id""",
     "op2_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
         f AS (SELECT body, min(page_id) AS least FROM p GROUP BY body)
