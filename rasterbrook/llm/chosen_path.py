@@ -4,7 +4,8 @@ Equal sets are one set. Every set has COORDS min-hashes. A node of a tree holds
 min-hashes chosen on the way to it; which ones a node chooses next depends on the node alone, so similar
 sets take the same ways. Four trees branch on two min-hashes each at the root, then on two, then on 1.25
 in the mean (1 / similarity), so a linked pair's chance of staying together doesn't fall with the depth.
-Small nodes are compared exhaustively, by all min-hashes first, what is left by the full sets.
+Small nodes are compared exhaustively: by a bitmap that bounds the difference of two sets, then by all
+min-hashes, what is left by the full sets.
 
 Nodes full of copies don't shrink. There each set is held against a few sets of its node first; sets
 that such links put into one component are never compared again, and a node with a single component ends.
@@ -24,10 +25,10 @@ from .common import SAMPLE, bounded, components, discard, pieces, repeated, text
 from .jaccard import _signature, _verified, jaccard_sets
 from .shingles import shingle_set
 
-COORDS = 64  # min-hashes a set, 32 bits each
+COORDS = 64  # min-hashes a set
 WIDTH, LEVELS = 8, 8  # min-hashes from which a level chooses; levels
 ALIKE = 38  # of COORDS that a pair shares at least to be verified: one in 20,000 pairs of similarity 0.8 shares fewer
-WORK = 20_000  # pairs of different components up to which a node is compared exhaustively
+WORK, ROWS = 2_000_000, 20_000  # pairs of different components, and sets, up to which a node is compared exhaustively
 _PIVOTS, _TRIED = 4, 3  # sets of a node that all its sets are held against; of those, verified for a set
 
 _rng = np.random.default_rng(13)
@@ -35,22 +36,41 @@ _XOR = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64)[:, None]
 _ODD = _rng.integers(0, 1 << 62, COORDS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 
 
-def min_hashes(items: np.ndarray) -> bytes:
-    """COORDS min-hashes of a set of 64-bit hashes, 32 bits each; nothing for the empty set."""
+#: What a set is compared by: the first level's min-hashes in 32 bits, the others in 16, and a bitmap of parities.
+SKETCH = np.dtype([("head", "<u4", WIDTH), ("tail", "<u2", COORDS - WIDTH), ("bits", "<u8", 8)])
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def sketch(items: np.ndarray) -> bytes:
+    """The SKETCH of a set of 64-bit hashes; nothing for the empty set."""
     if not len(items):
         return b""
     u = items.view(np.uint64)[None, :]
     least = np.full(COORDS, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, u.shape[1], 4096):
         np.minimum(least, ((u[:, start : start + 4096] ^ _XOR) * _ODD).min(axis=1), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32).tobytes()
+    odd = np.bincount(((u[0] * _PLACE) >> np.uint64(55)).astype(np.int64), minlength=512) % 2
+    least >>= np.uint64(32)
+    return least[:WIDTH].astype("<u4").tobytes() + least[WIDTH:].astype("<u2").tobytes() + np.packbits(odd.astype(bool)).tobytes()
+
+
+def _alike(a: np.ndarray, b: np.ndarray, a_n: np.ndarray, b_n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of sketches may link, and how many min-hashes they share.
+
+    Each item that only one of two sets has flips one bit of the bitmap, so pairs with more different bits than
+    a link allows don't link; those with fewer than ALIKE equal min-hashes hardly ever do.
+    """
+    most = a_n + b_n - 2 * -(-percent * (a_n + b_n) // (100 + percent))
+    may = np.bitwise_count(a["bits"] ^ b["bits"]).sum(axis=-1) <= most
+    same = (a["head"] == b["head"]).sum(axis=-1) + (a["tail"] == b["tail"]).sum(axis=-1)
+    return may & (same >= ALIKE), same
 
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             found = [shingle_set(x.as_py(), k) for x in b.column("text")]
-            cols = [pa.array([_signature(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([min_hashes(s) for s in found], pa.binary())]
+            cols = [pa.array([_signature(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([sketch(s) for s in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *cols], ["doc_id", "text_key", "sig", "n", "mins"])
 
     return run
@@ -66,31 +86,36 @@ def _items(k: int):
     return run
 
 
-def _rows_of(mins: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(mins.to_pylist()), np.uint32).reshape(len(mins), COORDS)
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), SKETCH)
 
 
-def _tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs (a, b, a_mins, b_mins, of) those that share enough min-hashes, with their number; of is the set for which a pair is tried."""
-    for b in batches:
-        same = (_rows_of(b.column("a_mins")) == _rows_of(b.column("b_mins"))).sum(axis=1)
-        some = pa.array(same >= ALIKE)
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(some), b.column("b").filter(some), pa.array(same.astype(np.int64)).filter(some), b.column("of").filter(some)], ["a", "b", "same", "of"])
+def _tried(percent: int):
+    """Of pairs (a, b) with their sizes and sketches those that may link, with the number of equal min-hashes; of is the set for which a pair is tried."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = (b.column(c).to_numpy() for c in ("a_n", "b_n"))
+            may, same = _alike(_sketches(b.column("a_mins")), _sketches(b.column("b_mins")), *sizes, percent)
+            some = pa.array(may)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(some), b.column("b").filter(some), pa.array(same.astype(np.int64)).filter(some), b.column("of").filter(some)], ["a", "b", "same", "of"])
+
+    return run
 
 
 def _within(percent: int):
-    """All pairs of each node (rows in order of nodes) that are of different components, near in size and share enough min-hashes."""
+    """All pairs of each node (rows in order of nodes) that are of different components, near in size and may link."""
 
     def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         sig, n, comp = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
-        mins = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), COORDS)
+        made = np.frombuffer(b"".join(r[3] for r in rows), SKETCH)
         # Only sets outside the largest component look for partners.
         names, sizes = np.unique(comp, return_counts=True)
         main = names[sizes.argmax()]
         for i in np.flatnonzero(comp != main):
             near = (comp != comp[i]) & ((comp == main) | (sig > sig[i])) & (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n)
             at = np.flatnonzero(near)
-            at = at[(mins[at] == mins[i]).sum(axis=1) >= ALIKE]
+            at = at[_alike(made[at], made[i], n[at], n[i], percent)[0]]
             yield from ((min(sig[i], s), max(sig[i], s)) for s in sig[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +142,9 @@ def _pairs(found: set) -> pa.RecordBatch:
 
 def _child(node: Column | None, at: Column) -> Column:
     """The node reached by the min-hash at a place."""
-    value = F.substring(F.col("mins"), 4 * at + 1, F.lit(4))
-    return F.xxhash64(at, value) if node is None else F.xxhash64(node, at, value)
+    if node is None:
+        return F.xxhash64(at, F.substring(F.col("mins"), 4 * at + 1, F.lit(4)))
+    return F.xxhash64(node, at, F.substring(F.col("mins"), 4 * WIDTH + 2 * (at - WIDTH) + 1, F.lit(2)))
 
 
 def _branches(level: int) -> Column:
@@ -160,7 +186,7 @@ def chosen_path_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame,
     side = lambda c: one.select(F.col("sig").alias(f"{c}_sig"), F.col("n").alias(f"{c}_n"), F.col("mins").alias(f"{c}_mins"))
     fits = lambda df: df.where((100 * F.col("a_n") >= percent * F.col("b_n")) & (100 * F.col("b_n") >= percent * F.col("a_n")))
     near = fits(near.join(side("a"), F.col("a") == F.col("a_sig")).join(side("b"), F.col("b") == F.col("b_sig")))
-    tried = near.select("a", "b", "a_mins", "b_mins", "of").mapInArrow(_tried, "a long, b long, same long, of long")
+    tried = near.select("a", "b", "a_n", "b_n", "a_mins", "b_mins", "of").mapInArrow(_tried(percent), "a long, b long, same long, of long")
     best = F.slice(F.sort_array(F.collect_list(F.struct("same", "a", "b")), asc=False), 1, _TRIED)  # of at most _PIVOTS * WIDTH
     stars = tried.groupBy("of").agg(best.alias("best")).select(F.explode("best").alias("p")).select("p.a", "p.b").distinct()
     stars = verified(written(stars, "paths-stars"))
@@ -174,7 +200,7 @@ def chosen_path_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame,
     for level in range(1, LEVELS + 1):
         size = now.groupBy("node", "comp").agg(F.count("*").cast("double").alias("size"))
         size = size.groupBy("node").agg(F.sum("size").alias("size"), F.sum(F.col("size") * F.col("size")).alias("same"), F.count("*").alias("comps")).where("comps > 1")
-        size = size.select(F.col("node").alias("s_node"), ((F.col("size") * F.col("size") - F.col("same")) / 2 <= WORK).alias("small"))
+        size = size.select(F.col("node").alias("s_node"), (((F.col("size") * F.col("size") - F.col("same")) / 2 <= WORK) & (F.col("size") <= ROWS)).alias("small"))
         mixed = now.join(size, F.col("node") == F.col("s_node")).join(whole, F.col("sig") == F.col("o_sig"))
         mixed = written(mixed.select("sig", "node", "comp", "n", "mins", "small"), "paths-level")
         parts.append(mixed)
