@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .graph import components
+from .scratch import settled
 from .stats import join_back
 
 
@@ -167,10 +168,13 @@ def clahe(df: DataFrame, value: str, grid: int, clip: float) -> DataFrame:
     limit = F.greatest(F.lit(1), F.floor(clip * F.col("area") / 256))
     excess = F.aggregate(F.map_values("n"), F.lit(0).cast("long"), lambda a, n: a + F.greatest(n - F.col("_limit"), F.lit(0))) / 256.0
     tiles = tiles.withColumn("_limit", limit).withColumn("_excess", excess)
-    # Every level's clipped sum; the spread excess adds the same to every level.
-    step = lambda a, b: F.array_append(a, F.element_at(a, -1) + F.least(F.coalesce(F.try_element_at(F.col("n"), b), F.lit(0)), F.col("_limit")))
-    sums = F.slice(F.aggregate(F.sequence(F.lit(0), F.lit(255)), F.array(F.lit(0).cast("long")), step), 2, 256)
-    level = F.transform(sums, lambda c, b: (c + F.col("_excess") * (b + 1)) * 255.0 / F.col("area"))
+    # Every level's clipped sum, as a window sum over the levels; the spread excess adds the same to every level.
+    tiles = tiles.select("image_id", "ty", "tx", "area", "_limit", "_excess", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.least(F.coalesce(F.try_element_at(F.col("n"), b), F.lit(0)), F.col("_limit")))).alias("b", "_c"))
+    tile = W.partitionBy("image_id", "ty", "tx").orderBy("b").rowsBetween(W.unboundedPreceding, 0)
+    tiles = tiles.withColumn("_c", F.sum("_c").over(tile)).groupBy("image_id", "ty", "tx").agg(
+        F.first("area").alias("area"), F.first("_excess").alias("_excess"), F.array_sort(F.collect_list(F.struct("b", "_c")))["_c"].alias("_sums")
+    )
+    level = F.transform("_sums", lambda c, b: (c + F.col("_excess") * (b + 1)) * 255.0 / F.col("area"))
     tables = tiles.select("image_id", "ty", "tx", level.alias("table"))
     tables = tables.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("ty") * grid + F.col("tx")).cast("int"), "table"))).alias("_tables"))
     df = join_back(df, tables)
@@ -224,55 +228,79 @@ def demosaic(df: DataFrame, value: str = "v", pattern: str = "RGGB", edge_aware:
     return df.select(*KEYS, pick("r"), pick("g"), pick("b"))
 
 
-def regions(df: DataFrame, mask: str) -> DataFrame:
+def regions(df: DataFrame, mask: str, block: int = 256) -> DataFrame:
     """(image_id, y, x, region): the mask's pixels with a number that is the same for all that touch (8 neighbours).
 
-    Each line's runs are found with window frames; only runs, not pixels, are linked per image.
+    Each line's runs are found with window frames. Runs are linked within blocks of lines, a block with the first
+    line of the next one, where both blocks' numbers of a run meet; components of those meetings join the blocks.
+    A task holds the runs of one block, an image is spread over as many tasks as it has blocks.
     """
     line = W.partitionBy("image_id", "y").orderBy("x")
     on = df.where(F.col(mask)).select(*KEYS)
     on = on.withColumn("_new", (F.col("x") - F.lag("x", 1, -2).over(line) > 1).cast("int"))
     on = on.withColumn("run", F.sum("_new").over(line))
     runs = on.groupBy("image_id", "y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    kinds = {f.name: f.dataType for f in on.schema.fields}
-    schema = T.StructType([T.StructField(n, kinds[n]) for n in ("image_id", "y", "run")] + [T.StructField("region", T.LongType())])
-    found = runs.groupBy("image_id").applyInPandas(_linked, schema)
-    found = found.select(*[F.col(c).alias(f"f_{c}") for c in ("image_id", "y", "run")], "region")
-    both = on.join(found, (F.col("image_id") == F.col("f_image_id")) & (F.col("y") == F.col("f_y")) & (F.col("run") == F.col("f_run")))
-    return both.select(*KEYS, "region")
-
-
-def _linked(runs):
-    """Numbers of an image's runs, equal for runs that touch over any number of others."""
-    runs = runs.sort_values(["y", "x0"], ignore_index=True)
-    above = list(range(len(runs)))
-
-    def root(i: int) -> int:
-        while above[i] != i:
-            above[i] = above[above[i]]
-            i = above[i]
-        return i
-
-    ys, x0, x1 = (runs[c].tolist() for c in ("y", "x0", "x1"))
-    start: dict[int, int] = {}
-    for i, y in enumerate(ys):
-        start.setdefault(y, i)
-    for i, y in enumerate(ys):
-        j = start.get(y - 1)
-        if j is None:
-            continue
-        while j < len(ys) and ys[j] == y - 1 and x1[j] < x0[i] - 1:
-            j += 1
-        start[y - 1] = j  # runs before it end left of all later runs of this line too
-        while j < len(ys) and ys[j] == y - 1 and x0[j] <= x1[i] + 1:
-            a, b = sorted((root(i), root(j)))
-            above[b] = a
-            j += 1
-    return runs[["image_id", "y", "run"]].assign(region=[root(i) for i in range(len(ys))])
-
-
-def edge_connected(df: DataFrame, mask: str) -> DataFrame:
+    own = F.floor(F.col("y") / block)
+    runs = runs.withColumn("block", F.explode(F.when((F.col("y") % block == 0) & (F.col("y") > 0), F.array(own, own - 1)).otherwise(F.array(own))))
+    kinds = ", ".join(f"{n} {on.schema[n].dataType.simpleString()}" for n in ("image_id", "y", "run"))
+    dealt = runs.repartition("image_id", "block").sortWithinPartitions("image_id", "block", "y", "x0")
+    found = settled(dealt.select("image_id", "y", "run", "block", "x0", "x1").mapInArrow(_linked, f"{kinds}, block long, part long"))
+    node = F.struct("image_id", "part")
+    inside = found.where(own == F.col("block")).select(*[F.col(c).alias(f"f_{c}") for c in ("image_id", "y", "run")], "part", node.alias("b"))
+    lent = found.where(own > F.col("block")).select("image_id", "y", "run", node.alias("a"))
+    met = (F.col("image_id") == F.col("f_image_id")) & (F.col("y") == F.col("f_y")) & (F.col("run") == F.col("f_run"))
+    whole = components(lent.join(inside, met).select("a", "b"))
+    both = on.join(inside, met).join(whole, F.col("b") == F.col("node"), "left")
+    return both.select(*KEYS, F.coalesce(F.col("component.part"), F.col("part")).alias("region"))
+
+
+def _linked(batches: Iterator) -> Iterator:
+    """Numbers of each block's runs, equal for runs that touch over any number of others; no other block has the same."""
+    import pyarrow as pa
+
+    def numbers(runs: list[tuple]) -> list[int]:
+        above = list(range(len(runs)))
+
+        def root(i: int) -> int:
+            while above[i] != i:
+                above[i] = above[above[i]]
+                i = above[i]
+            return i
+
+        j = 0
+        for i, (y, _, x0, x1) in enumerate(runs):
+            while runs[j][0] < y - 1 or runs[j][0] == y - 1 and runs[j][3] < x0 - 1:
+                j += 1  # ends left of all later runs of this line too
+            k = j
+            while runs[k][0] == y - 1 and runs[k][2] <= x1 + 1:
+                a, b = sorted((root(i), root(k)))
+                above[b] = a
+                k += 1
+        return [(runs[r][0] << 32) | runs[r][1] for r in map(root, range(len(runs)))]
+
+    kinds, at, held = None, None, []
+
+    def made() -> pa.RecordBatch:
+        ys, names = [r[0] for r in held], [r[1] for r in held]
+        n = len(held)
+        cols = [[at[0]] * n, ys, names, [at[1]] * n, numbers(held)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["image_id", "y", "run", "block", "part"])
+
+    for b in batches:
+        kinds = kinds or [*(b.schema.field(n).type for n in ("image_id", "y", "run", "block")), pa.int64()]
+        for image, y, run, block, x0, x1 in zip(*(b.column(c).to_pylist() for c in ("image_id", "y", "run", "block", "x0", "x1")), strict=True):
+            if (image, block) != at:
+                if held:
+                    yield made()
+                at, held = (image, block), []
+            held.append((y, run, x0, x1))
+    if held:
+        yield made()
+
+
+def edge_connected(df: DataFrame, mask: str, block: int = 256) -> DataFrame:
     """Pixels of the mask that reach the image's edge over the 8 neighbours."""
-    df = join_back(regions(df, mask), sizes(df))
+    df = settled(join_back(regions(df, mask, block), sizes(df), settle=True))
     edge = F.col("y").isin(0) | F.col("x").isin(0) | (F.col("y") == F.col("h") - 1) | (F.col("x") == F.col("w") - 1)
-    return df.withColumn("connected", F.max(edge).over(W.partitionBy("image_id", "region"))).drop("h", "w", "region")
+    reach = df.groupBy(F.col("image_id").alias("_k"), F.col("region").alias("_r")).agg(F.max(edge).alias("connected"))
+    return df.join(reach, (F.col("image_id") == F.col("_k")) & (F.col("region") == F.col("_r"))).drop("h", "w", "region", "_k", "_r")

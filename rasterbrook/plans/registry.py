@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import composites, develop, flows, pointwise, rasters  # noqa: F401
+from . import agents, composites, develop, flows, pointwise, protocol, rasters  # noqa: F401
 from .bridge import ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
