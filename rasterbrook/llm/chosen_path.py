@@ -15,11 +15,13 @@ Sets that are together in a large node at the last level go through the exact jo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import SAMPLE, bounded, components, discard, pieces, repeated, text_key, written
 from .jaccard import _signature, _verified, jaccard_sets
@@ -103,41 +105,63 @@ def _tried(percent: int):
     return run
 
 
-def _within(percent: int):
-    """All pairs of each node (rows in order of nodes) that are of different components, near in size and may link."""
+def _within(percent: int, few: bool):
+    """Pairs of each node's sets (rows in order of nodes) that are of different components, near in size and may link.
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        sig, n, comp = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
-        made = np.frombuffer(b"".join(r[3] for r in rows), SKETCH)
+    A pair that has met in an earlier node of the first level, one that was compared, isn't met again. few: of a set's
+    partners only those with most equal min-hashes; where others are left, the node comes out as open.
+    """
+
+    def pairs(rows: list[tuple]) -> tuple[set, bool]:
+        sig, n, comp, at, mask = (np.array([r[i] for r in rows], np.int64) for i in range(5))
+        made, found, open_ = np.frombuffer(b"".join(r[5] for r in rows), SKETCH), set(), False
         # Only sets outside the largest component look for partners.
         names, sizes = np.unique(comp, return_counts=True)
         main = names[sizes.argmax()]
         for i in np.flatnonzero(comp != main):
-            near = (comp != comp[i]) & ((comp == main) | (sig > sig[i])) & (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n)
-            at = np.flatnonzero(near)
-            at = at[_alike(made[at], made[i], n[at], n[i], percent)[0]]
-            yield from ((min(sig[i], s), max(sig[i], s)) for s in sig[at])
+            near = np.flatnonzero((comp != comp[i]) & ((comp == main) | (sig > sig[i])) & (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n))
+            may, same = _alike(made[near], made[i], n[near], n[i], percent)
+            before = ((mask[i] & ((1 << at[i]) - 1)) >> np.arange(WIDTH)) & 1 == 1
+            may &= ~((made["head"][near] == made["head"][i]) & before).any(axis=1)
+            near, same = near[may], same[may]
+            if few and len(near) > _TRIED:
+                order = np.argsort(-same, kind="stable")
+                inside = comp[near[order]] == main
+                kept = np.concatenate([order[inside][:_TRIED], order[~inside][:_TRIED]])
+                open_ |= len(kept) < len(near)
+                near = near[kept]
+            found.update((min(sig[i], s), max(sig[i], s)) for s in sig[near].tolist())
+        return found, open_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, held, found = None, [], set()
+        node, held, found, left = None, [], set(), []
+
+        def end() -> None:
+            if len(held) > 1:
+                new, open_ = pairs(held)
+                found.update(new)
+                left.extend([node] * open_)
+
         for b in batches:
-            for at, *row in zip(*(b.column(c).to_pylist() for c in ("node", "sig", "n", "comp", "mins")), strict=True):
-                if at != node:
-                    found.update(pairs(held) if len(held) > 1 else ())
-                    node, held = at, []
+            for this, *row in zip(*(b.column(c).to_pylist() for c in ("node", "sig", "n", "comp", "at", "mask", "mins")), strict=True):
+                if this != node:
+                    end()
+                    node, held = this, []
                     if len(found) > 10_000:
-                        yield _pairs(found)
-                        found = set()
+                        yield _pairs(found, left)
+                        found, left = set(), []
                 held.append(row)
-        found.update(pairs(held) if len(held) > 1 else ())
-        yield _pairs(found)
+        end()
+        yield _pairs(found, left)
 
     return run
 
 
-def _pairs(found: set) -> pa.RecordBatch:
+def _pairs(found: set, left: list) -> pa.RecordBatch:
     a, b = zip(*found, strict=True) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    none = [None] * len(left)
+    cols = ([*a, *none], [*b, *none], [*[None] * len(a), *left])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "open"])
 
 
 def _child(node: Column | None, at: Column) -> Column:
@@ -176,8 +200,8 @@ def chosen_path_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame,
         return out
 
     # The roots' children. Most sets are alone in theirs.
-    posted = one.select("sig", F.explode(_branches(0)).alias("node"))
-    first = written(repeated(posted, "node", F.pmod("sig", F.lit(SAMPLE)) == 0, "paths-first").select("sig", "node"), "paths-first")
+    posted = one.select("sig", F.posexplode(_branches(0)).alias("at", "node"))
+    first = written(repeated(posted, "node", F.pmod("sig", F.lit(SAMPLE)) == 0, "paths-first").select("sig", "at", "node"), "paths-first")
 
     # Links to a few sets of the same node, the same few for all of it.
     few = F.array_distinct(F.array(*[F.min_by("sig", F.xxhash64(F.lit(r), "sig")) for r in range(_PIVOTS)]))
@@ -194,24 +218,40 @@ def chosen_path_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame,
 
     # Branching: nodes with one component end, small ones are compared, the others go on.
     known = label.select(F.col("node").alias("l_sig"), "component")
-    now = first.join(known, F.col("sig") == F.col("l_sig"), "left").select("sig", "node", F.coalesce("component", "sig").alias("comp"))
+    now = first.join(known, F.col("sig") == F.col("l_sig"), "left").select("sig", "at", "node", F.coalesce("component", "sig").alias("comp"))
     whole = one.select(F.col("sig").alias("o_sig"), "n", "mins")
-    pairs, parts = None, []
+    parts, nexts = [], []
     for level in range(1, LEVELS + 1):
         size = now.groupBy("node", "comp").agg(F.count("*").cast("double").alias("size"))
         size = size.groupBy("node").agg(F.sum("size").alias("size"), F.sum(F.col("size") * F.col("size")).alias("same"), F.count("*").alias("comps")).where("comps > 1")
         size = size.select(F.col("node").alias("s_node"), (((F.col("size") * F.col("size") - F.col("same")) / 2 <= WORK) & (F.col("size") <= ROWS)).alias("small"))
         mixed = now.join(size, F.col("node") == F.col("s_node")).join(whole, F.col("sig") == F.col("o_sig"))
-        mixed = written(mixed.select("sig", "node", "comp", "n", "mins", "small"), "paths-level")
+        # Which of a set's first nodes are compared: of at most WIDTH rows.
+        compared = F.bit_or(F.when(F.col("small"), F.expr("shiftleft(1, at)")).otherwise(0)).over(W.partitionBy("sig")) if level == 1 else F.lit(0)
+        mixed = written(mixed.select("sig", "node", "comp", "n", "mins", "small", "at", compared.cast("long").alias("mask")), "paths-level")
         parts.append(mixed)
-        compared = mixed.where("small").repartition("node").sortWithinPartitions("node").mapInArrow(_within(percent), "a long, b long")
-        pairs = compared if pairs is None else pairs.union(compared)
         left = mixed.where("not small")
         if level == LEVELS or left.isEmpty():
             break
-        now = written(left.select("sig", "comp", F.explode(_branches(level)).alias("node")).distinct(), "paths-next")
-        parts.append(now)
-    rest = verified(written(pairs.distinct(), "paths-pairs"))
+        now = written(left.select("sig", "comp", F.explode(_branches(level)).alias("node")).distinct().withColumn("at", F.lit(0)), "paths-next")
+        nexts.append(now)
+
+    def met(rows: DataFrame, few: bool) -> DataFrame:
+        return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_within(percent, few), "a long, b long, open long")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        return verified(written(pairs.where("a is not null").select("a", "b").distinct(), "paths-pairs"))
+
+    # The likeliest partners first; the others only where their components are still apart.
+    small = reduce(DataFrame.unionByName, [p.where("small").drop("small") for p in parts])
+    likely = written(met(small, True), "paths-likely")
+    rest = links_of(likely)
+    known = components(stars.unionByName(rest), "paths-known").select(F.col("node").alias("l_sig"), "component")
+    open_ = bounded(written(likely.where("open is not null").select(F.col("open").alias("o_node")).distinct(), "paths-open"))
+    again = small.join(open_, F.col("node") == F.col("o_node"), "left_semi").join(known, F.col("sig") == F.col("l_sig"), "left")
+    again = again.withColumn("comp", F.coalesce("component", "sig")).drop("l_sig", "component")
+    others = links_of(met(again, False).join(likely.select("a", "b"), ["a", "b"], "left_anti"))
+    rest = rest.unionByName(others)
     links = stars.unionByName(rest)
     if not left.isEmpty():  # the exact join for what branching doesn't part
         still = left.select("sig").distinct().join(one.select(F.col("sig").alias("o_sig"), "key"), F.col("sig") == F.col("o_sig")).select(F.col("key").alias("w_key"))
@@ -219,7 +259,7 @@ def chosen_path_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame,
         _, joined, beyond = jaccard_sets(still.select("doc_id", "text"), k, percent)
         links = links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(beyond.select("a", "b"))
     links = written(links, "paths-all")
-    discard(first, one, stars, rest, *parts)
+    discard(first, one, stars, others, likely, *parts, *nexts)
     return sets, links
 
 
