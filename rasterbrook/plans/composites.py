@@ -11,7 +11,8 @@ from ..operators import masks as M
 from ..operators import mosaic, reductions
 from ..operators import neighbourhood as N
 from ..operators import stats as S
-from ..sources import files
+from ..operators.scratch import scratch_path
+from ..sources import files, png
 from .bridge import PATCH, RGB, RGB8, out, patch, query, rgb, rgb8, rounded, sql_out, table
 from .flows import _FILM, _TILES, _W, _tiles, heuristic_score
 from .flows import _SCORE as SCORE_SQL
@@ -38,8 +39,7 @@ _PREVIEW = ", t AS (SELECT image_id, y, x, " + ", ".join(f"least(greatest(0.5::D
 def preview(df: DataFrame, gains=(1.05, 1.0, 0.95), gamma: float = 0.9, contrast: float = 0.1, amount: float = 0.3) -> DataFrame:
     """Gains, gamma, contrast, then a mild unsharp mask."""
     df = df.withColumns({c: T.tone_curve(C.clamp(F.col(c) * k), gamma, contrast, 0.0) for c, k in zip(COLS, gains, strict=True)})
-    for c in COLS:
-        df = N.unsharp(df, c, amount, 1.2)
+    df = N.unsharp(df, COLS, amount, 1.2)
     return df.withColumns({c: C.clamp(F.col(c)) for c in COLS})
 
 
@@ -84,6 +84,26 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return files.upload_status(r).select("id", "status")
 
 
+def _reread(df: DataFrame, channels: tuple[str, ...], rounding: str) -> DataFrame:
+    """Images written as PNG files, in bands of three lines, and read again."""
+    folder = scratch_path(df.sparkSession, "png")
+    png.write_png(df, folder, channels, rounding=rounding, lines=3)
+    got = files.read_images(df.sparkSession, folder)
+    name = F.regexp_extract("path", r"([^/]*)\.png$", 1)
+    return got.withColumn("image_id", name.cast("long")).drop("path")
+
+
+@query("snk01_png_files", sql_out("rgb", RGB, each="round_even({c} * 255, 0) / 255"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return out(_reread(rgb(spark, d), COLS, "even"), **{c: F.col(c) for c in COLS})
+
+
+@query("snk04_mask_files", sql_out("patch", PATCH, v="CASE WHEN v > 0.5 THEN 1 ELSE 0 END"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    mask = patch(spark, d).withColumn("v", F.when(F.col("v") > 0.5, 1.0).otherwise(0.0))
+    return out(_reread(mask, ("v",), "down"), v=F.col("r"))
+
+
 @query("src04_routing", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'raw' WHEN 1 THEN 'standard' WHEN 2 THEN 'standard' ELSE 'other' END AS kind FROM part")
 def _(spark: SparkSession, d: str) -> DataFrame:
     end = F.element_at(F.array(*[F.lit(x) for x in (".DNG", ".Png", ".tiff", ".txt")]), (F.col("p_partkey") % 4 + 1).cast("int"))
