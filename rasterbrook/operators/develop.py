@@ -186,3 +186,15 @@ def positive(df: DataFrame, params: Mapping[str, float] | None = None) -> DataFr
     df = _curves(df, p, "shadow_lift", "gamma", "highlight_compression")
     df = equalise_lightness(df, p["clahe_clip"], tiles(p["clahe_grid"]))
     return sharpen(vibrant(df, p["vibrance"]), p["unsharp_amount"], p["unsharp_sigma"])
+
+
+def dispatched(df: DataFrame, types: DataFrame, params: Mapping[str, float] | None = None, border: int = 8) -> DataFrame:
+    """Each image through the development of its type (image_id, film_type): negatives as negative(), all others as positive().
+
+    Images without a type are taken for positives.
+    """
+    kinds = settled(types.select(F.col("image_id").alias("_k"), F.coalesce(F.col("film_type").startswith("negative"), F.lit(False)).alias("_negative")))
+    df = df.join(kinds, F.col("image_id") == F.col("_k"), "left")
+    of = lambda condition: settled(df.where(condition).select("image_id", "y", "x", *RGB))
+    developed = [negative(of("_negative"), params, border), positive(of("_negative is null or not _negative"), params)]
+    return developed[0].select("image_id", "y", "x", *RGB).unionByName(developed[1].select("image_id", "y", "x", *RGB))

@@ -111,8 +111,9 @@ MOVES = {"start": (1, 1, 2), "done": (0, 0, 2), "fail": (0, 2, 2), "reset": (0,
 STATES = ("ready", "working", "error")
 
 
-def fold_state(df: DataFrame, key: str, ordinal: str, event: str) -> DataFrame:
-    """Job states after all events: start works only when ready, done and fail only while working, reset always.
+def fold_state(df: DataFrame, key: str, ordinal: str, event: str, moves: dict[str, tuple[int, ...]] = MOVES, states: tuple[str, ...] = STATES) -> DataFrame:
+    """States after all events, from the first one on: with the defaults, start works only when ready, done and fail only
+    while working, reset always. moves tells what each event makes of each state; other events change nothing.
 
     An event maps states to states, and such maps compose: ranges of (key, ordinal) are folded side by
     side in order, then a key's few ranges. A key with very many events is spread over ranges.
@@ -124,16 +125,17 @@ def fold_state(df: DataFrame, key: str, ordinal: str, event: str) -> DataFrame:
     def fold(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        at, made, n, part, out = None, (0, 1, 2), 0, 0, []
+        same = tuple(range(len(states)))
+        at, made, n, part, out = None, same, 0, 0, []
         schema = None
         for b in batches:
             schema = schema or pa.schema([b.schema.field("k"), ("part", pa.int64()), ("n", pa.int64()), ("made", pa.list_(pa.int64()))])
             for k, e in zip(b.column("k").to_pylist(), b.column("e").to_pylist(), strict=True):
                 if n and k != at:
                     out.append({"k": at, "part": part, "n": n, "made": list(made)})
-                    made, n, part = (0, 1, 2), 0, part + 1
+                    made, n, part = same, 0, part + 1
                 at, n = k, n + 1
-                move = MOVES.get(e, (0, 1, 2))
+                move = moves.get(e, same)
                 made = tuple(move[s] for s in made)
             if len(out) > 5000:
                 yield pa.RecordBatch.from_pylist(out, schema)
@@ -147,5 +149,5 @@ def fold_state(df: DataFrame, key: str, ordinal: str, event: str) -> DataFrame:
     folded = folded.withColumn("p", F.spark_partition_id())
     maps = folded.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p", "part", "made"))).alias("maps"), F.sum("n").alias("n"))
     state = F.aggregate("maps", F.lit(0).cast("long"), lambda s, m: m["made"][s.cast("int")])
-    names = F.array(*map(F.lit, STATES))
+    names = F.array(*map(F.lit, states))
     return maps.select(F.col("k").alias(key), names[state.cast("int")].alias("state"), F.col("n").cast("int").alias("n"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import color as C
 from ..operators import develop as D
+from ..operators import masks as M
+from ..operators.scratch import settled
 from .bridge import RGB8, out, query, rgb8, sql_out
 from .pointwise import _F, _INV, _XYZ, GRAY, SAT
 from .rasters import FILM_BASE, _blur
@@ -168,3 +170,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("pipe03_positive", sql_out("n7", POSITIVE, each="{c}"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return out(D.positive(rgb8(spark, d), PARAMS), **{c: F.col(c) for c in "rgb"})
+
+
+def _whole(ctes: str, frm: str) -> str:
+    return "(" + sql_out(frm, ctes, each="{c}") + ")"
+
+
+_KINDS = RGB8 + """, k AS (SELECT image_id, avg(r) > avg(g) + 12 AND avg(g) > avg(b) + 10 AS neg FROM rgb8 GROUP BY image_id)"""
+
+
+@query("udf05_dispatch_whole", f"WITH {_KINDS} SELECT n.* FROM {_whole(NEGATIVE, 'n13')} n JOIN k USING (image_id) WHERE neg UNION ALL SELECT p.* FROM {_whole(POSITIVE, 'n7')} p JOIN k USING (image_id) WHERE NOT neg")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    px = settled(rgb8(spark, d))
+    got = D.dispatched(px, M.film_type(px).select("image_id", "film_type"), PARAMS, border=1)
+    return out(got, **{c: F.col(c) for c in "rgb"})

@@ -12,7 +12,7 @@ from ..operators import masks as M
 from ..operators import mosaic, ranking, reductions
 from ..operators import neighbourhood as N
 from ..operators import stats as S
-from ..streaming import jobs
+from ..streaming import jobs, scan_jobs
 from .bridge import PATCH, RGB, RGB8, out, patch, query, rgb, rgb8, rounded, sql_out, table
 from .pointwise import GRAY, LUMA, SAT
 from .rasters import SPREAD, _blur, _strips, each, wrap
@@ -257,6 +257,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ranking.fold_state(e, "user_id", "at", "event")
 
 
+#: What the events of the bench are to a scan; every fiftieth event resets its job.
+SCAN_EVENTS = {"click": "start", "view": "tile", "signup": "cancel", "purchase": "uploaded", "error": "upload_failed"}
+
+
+@query("str03_scan_outcomes", """WITH RECURSIVE e AS (SELECT user_id, CASE WHEN event_id % 50 = 0 THEN 'reset' ELSE event_type END AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 'ready' AS state, 'none' AS result FROM e UNION ALL
+        SELECT e.user_id, e.n, CASE WHEN t = 'reset' THEN 'ready' WHEN t = 'click' AND state = 'ready' THEN 'working' WHEN t = 'signup' AND state = 'working' THEN 'cancelling' WHEN t = 'view' AND state = 'cancelling' THEN 'ready'
+                WHEN t = 'purchase' AND state IN ('working', 'cancelling') THEN 'ready' WHEN t = 'error' AND state IN ('working', 'cancelling') THEN 'error' ELSE state END,
+            CASE WHEN t = 'reset' THEN 'none' WHEN t = 'click' AND state = 'ready' THEN 'none' WHEN t IN ('view', 'purchase') AND state = 'cancelling' THEN 'cancelled' WHEN t = 'purchase' AND state = 'working' THEN 'done'
+                WHEN t = 'error' AND state IN ('working', 'cancelling') THEN 'failed' ELSE result END
+        FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+    SELECT user_id, state, result, n FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    names = F.create_map(*[F.lit(x) for kv in SCAN_EVENTS.items() for x in kv])
+    event = F.when(F.col("event_id") % 50 == 0, "reset").otherwise(F.try_element_at(names, F.col("event_type")))
+    e = table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("at"), event.alias("event"))
+    return scan_jobs.outcomes(e, "user_id", "at", "event")
+
+
 @query("str02_progress_table", """WITH p AS (SELECT user_id AS job_id, event_id, (props->>'k')::BIGINT AS k FROM events WHERE event_id % 7 <> 0)
     SELECT job_id, arg_max(k, event_id) AS last_k, count(*) AS updates FROM p GROUP BY job_id""")
 def _(spark: SparkSession, d: str) -> DataFrame:

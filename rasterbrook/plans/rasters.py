@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import color as C
 from ..operators import neighbourhood as N
 from ..operators import reductions as A
+from ..operators.selection import exact_percentiles
 from .bridge import PATCH, PLANE8, RGB, RGB8, out, patch, plane8, query, rgb, rgb8, sql_out
 from .pointwise import DENSITY, GRAY, LUMA, SAT, dense
 
@@ -27,6 +28,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return each(patch(spark, d).groupBy("image_id").agg(*[A.pct(F.col("v"), p).alias(n) for n, p in (("lo", 0.5), ("mid", 50), ("hi", 99.5))]))
 
 
+@query("agg01_selected", wrap("SELECT image_id, " + ", ".join(f"quantile_cont(v, {p}) AS p{i}" for i, p in enumerate((0, 0.01, 0.355, 0.5, 0.99, 1))) + " FROM s GROUP BY image_id", RGB + ", s AS (SELECT image_id, unnest([r, g, b]) AS v FROM rgb)", "p0 p1 p2 p3 p4 p5"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    values = rgb(spark, d).select("image_id", F.explode(F.array("r", "g", "b")).alias("v"))
+    return each(exact_percentiles(values, F.col("v"), {"p0": 0, "p1": 1, "p2": 35.5, "p3": 50, "p4": 99, "p5": 100}))
+
+
 _REFLECT = "CASE WHEN (({i}) % 14 + 14) % 14 < 8 THEN (({i}) % 14 + 14) % 14 ELSE 14 - (({i}) % 14 + 14) % 14 END"
 _METRICS = RGB8 + f""", q AS (SELECT *, floor({GRAY}) AS gray, {SAT} AS sat FROM rgb8), lap AS (SELECT q.image_id, q.gray, q.sat, q.r, q.g, q.b,
     sum(p.gray) - 4 * any_value(q.gray) AS l FROM q, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx), q p WHERE p.image_id = q.image_id
