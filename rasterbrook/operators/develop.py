@@ -198,3 +198,15 @@ def dispatched(df: DataFrame, types: DataFrame, params: Mapping[str, float] | No
     of = lambda condition: settled(df.where(condition).select("image_id", "y", "x", *RGB))
     developed = [negative(of("_negative"), params, border), positive(of("_negative is null or not _negative"), params)]
     return developed[0].select("image_id", "y", "x", *RGB).unionByName(developed[1].select("image_id", "y", "x", *RGB))
+
+
+def tile_demo(canvas: DataFrame, params: Mapping[str, float] | None = None) -> DataFrame:
+    """A stitched 8-bit negative (image_id, y, x, r, g, b) to a positive: inverted, white-balanced by percentiles,
+    stretched, its lightness equalised, casts suppressed, sharpened."""
+    p = settings(params)
+    df = settled(_each(canvas, lambda c: 255.0 - level(c)))
+    df = stretch(df, p["wb_clip_percent"], 100 - p["wb_clip_percent"])
+    df = stretch(df, p["black_point"], p["white_point"])
+    df = equalise_lightness(df, p["clahe_clip"], tiles(p["clahe_grid"]))
+    df = suppress_casts(df, p["desat_sigma"], p["desat_strength"])
+    return sharpen(df, p["unsharp_amount"], p["unsharp_sigma"])

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def stitch(manifest: DataFrame, tiles: DataFrame, overlap: int, value: str = "v") -> DataFrame:
-    """(image_id, y, x, value): weighted mean of the tiles' pixels at each canvas place.
+def stitch(manifest: DataFrame, tiles: DataFrame, overlap: int, value: str | Sequence[str] = "v") -> DataFrame:
+    """(image_id, y, x, values): weighted means of the tiles' pixels at each canvas place, of one or several columns.
 
-    manifest: (filename, row, col, left, top, width, height), tiles: (image_id, filename, y, x, value).
+    manifest: (filename, row, col, left, top, width, height), tiles: (image_id, filename, y, x, values).
     A manifest row without pixels is an error. Each tile pixel is read once and combined before
     the shuffle; nothing holds a canvas.
     """
+    values = [value] if isinstance(value, str) else list(value)
     # Files of the manifest that no tile has; the manifest is small next to its pixels.
     missing = manifest.join(tiles.select("filename").distinct(), "filename", "left_anti").select("filename").limit(1).collect()
     if missing:
@@ -28,8 +31,8 @@ def stitch(manifest: DataFrame, tiles: DataFrame, overlap: int, value: str = "v"
         return up * down
 
     w = ramp(F.col("y"), F.col("height"), F.col("row") > 0, F.col("row") < F.col("last_row")) * ramp(F.col("x"), F.col("width"), F.col("col") > 0, F.col("col") < F.col("last_col"))
-    px = px.select("image_id", (F.col("y") + F.col("top")).alias("y"), (F.col("x") + F.col("left")).alias("x"), F.col(value).alias("v"), w.alias("w"))
-    return px.groupBy("image_id", "y", "x").agg((F.sum(F.col("v") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-6))).alias(value))
+    px = px.select("image_id", (F.col("y") + F.col("top")).alias("y"), (F.col("x") + F.col("left")).alias("x"), *values, w.alias("_w"))
+    return px.groupBy("image_id", "y", "x").agg(*[(F.sum(F.col(v) * F.col("_w")) / F.greatest(F.sum("_w"), F.lit(1e-6))).alias(v) for v in values])
 
 
 def tile_listing(manifest: DataFrame, prefix: str) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import color as C
 from ..operators import develop as D
 from ..operators import masks as M
+from ..operators import mosaic
 from ..operators.scratch import settled
 from .bridge import RGB8, out, query, rgb8, sql_out
+from .flows import _CROPS, _W, manifest_of
 from .pointwise import _F, _INV, _XYZ, GRAY, SAT
 from .rasters import FILM_BASE, _blur
 
@@ -184,3 +186,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     px = settled(rgb8(spark, d))
     got = D.dispatched(px, M.film_type(px).select("image_id", "film_type"), PARAMS, border=1)
     return out(got, **{c: F.col(c) for c in "rgb"})
+
+
+DEMO = ", ".join([
+    RGB8, "manifest(filename, row, col, top, left_) AS (VALUES " + ", ".join(str(c) for c in _CROPS) + ")",
+    "tl AS (SELECT image_id, row, col, top, left_, p.y - top AS y, p.x - left_ AS x, r, g, b FROM rgb8 p JOIN manifest ON p.y >= top AND p.y < top + 5 AND p.x >= left_ AND p.x < left_ + 5)",
+    "tw AS (SELECT image_id, y + top AS y, x + left_ AS x, r, g, b, " + _W.format(r="row", i="y") + " * " + _W.format(r="col", i="x") + " AS w FROM tl)",
+    "cv AS MATERIALIZED (SELECT image_id, y, x, " + each_of("sum({c} * w) / greatest(sum(w), 0.000001::DOUBLE) AS {c}") + " FROM tw GROUP BY image_id, y, x)",
+    pixels("t0", "cv", f"255 - {level('{c}')}"), *stretch("t0", "t1", 0.005, 0.995), *stretch("t1", "t2", 0.008, 0.992), *clahe("t2", "t3", 4, 2.0), *casts("t3", "t4", 2.0, 0.4), *sharpened("t4", "t5", 0.35, 1.2),
+])
+
+
+@query("pipe01_tile_demo_whole", sql_out("t5", DEMO, each="{c}"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    manifest, tiles = manifest_of(spark, rgb8(spark, d), "rgb")
+    return out(D.tile_demo(mosaic.stitch(manifest, tiles, 2, tuple("rgb")), PARAMS), **{c: F.col(c) for c in "rgb"})

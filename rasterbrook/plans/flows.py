@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,11 +108,16 @@ _W = "(CASE WHEN {r} > 0 AND {i} < 2 THEN 0.001::DOUBLE + 0.999::DOUBLE * {i} EL
 _TILES = PATCH + ", manifest(filename, row, col, top, left_) AS (VALUES " + ", ".join(str(c) for c in _CROPS) + "), tiles AS (SELECT image_id, filename, row, col, top, left_, p.y - top AS y, p.x - left_ AS x, v FROM patch p JOIN manifest ON p.y >= top AND p.y < top + 5 AND p.x >= left_ AND p.x < left_ + 5)"
 
 
-def _tiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def manifest_of(spark: SparkSession, px: DataFrame, values: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Four overlapping tiles of each image, and their manifest."""
     manifest = spark.createDataFrame([(f, r, c, t, left, 5, 5) for f, r, c, t, left in _CROPS], "filename string, row int, col int, top int, left int, width int, height int")
     inside = (F.col("y") >= F.col("top")) & (F.col("y") < F.col("top") + 5) & (F.col("x") >= F.col("left")) & (F.col("x") < F.col("left") + 5)
-    tiles = patch(spark, d).join(F.broadcast(manifest), inside)  # four rows
-    return manifest, tiles.select("image_id", "filename", (F.col("y") - F.col("top")).alias("y"), (F.col("x") - F.col("left")).alias("x"), "v")
+    tiles = px.join(F.broadcast(manifest), inside)  # four rows
+    return manifest, tiles.select("image_id", "filename", (F.col("y") - F.col("top")).alias("y"), (F.col("x") - F.col("left")).alias("x"), *values)
+
+
+def _tiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return manifest_of(spark, patch(spark, d), "v")
 
 
 @query("jn01_stitch", sql_out("(SELECT image_id, y + top AS y, x + left_ AS x, sum(v * w) / greatest(sum(w), 0.000001) AS v FROM (SELECT *, " + _W.format(r="row", i="y") + " * " + _W.format(r="col", i="x") + " AS w FROM tiles) GROUP BY image_id, y + top, x + left_)", _TILES, v="v"))
