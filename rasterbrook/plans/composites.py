@@ -13,6 +13,7 @@ from ..operators import neighbourhood as N
 from ..operators import stats as S
 from ..operators.scratch import scratch_path
 from ..sources import files, png
+from ..streaming import jobs
 from .bridge import PATCH, RGB, RGB8, out, patch, query, rgb, rgb8, rounded, sql_out, table
 from .flows import _FILM, _TILES, _W, _tiles, heuristic_score
 from .flows import _SCORE as SCORE_SQL
@@ -135,8 +136,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("str01_latest_frame", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    return e.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    e = table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
+    return jobs.latest(e, "user_id", "at", "event_id").select("user_id", "event_id")
 
 
 @query("str04_capture_ready", "SELECT o_orderkey FROM orders WHERE (SELECT count(DISTINCT c_mktsegment) FROM customer) >= 3 AND o_orderstatus = 'F'")

@@ -56,7 +56,8 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for i, o, h, w, n, data in zip(*(b.column(c).to_pylist() for c in ("image_id", "origin", "height", "width", "nChannels", "data")), strict=True):
+            for k in range(b.num_rows):  # an image at a time
+                i, o, h, w, n, data = (b.column(c)[k].as_py() for c in ("image_id", "origin", "height", "width", "nChannels", "data"))
                 if h <= 0 or w <= 0:
                     raise ValueError(f"{o}: not an image")
                 a = np.frombuffer(data, np.uint8).reshape(h, w, n)
