@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from .common import bounded, bounded_bytes, discard, text_key, written
 
-#: Fixed values of the SQL: which of ten neighbouring tokens a seed looks at (1) and which it ignores (0).
-MASKS = ("1101101011", "1011011101")
 #: One of these lies intact in 13 tokens of which any two were substituted.
 WIDE = ("1110100101", "1001110011")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .chosen_path import near_copies
-from .decontaminate import MASKS, leaks
+from .decontaminate import leaks
 from .jaccard import jaccard_join
 from .mixing import mix
 from .passages import near_passages
@@ -104,12 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _seed_sql(rows: str, key: str) -> str:
-    part = "SELECT {key}, p, {k} AS k, concat_ws(' ', {words}) AS seed FROM {rows}"
-    words = [", ".join(f"t[p + {i + 1}]" for i, c in enumerate(mask) if c == "1") for mask in MASKS]
-    return " UNION ALL ".join(part.format(key=key, k=k, words=w, rows=rows) for k, w in enumerate(words))
-
-
 _CLASSES_SQL = ", ".join(
     f"length(regexp_replace(t, '[^{c}]', '', 'g'))::DOUBLE" for c in (
         "a-z", "A-Z", "0-9", r"\x20\x09-\x0D", r"""\x2E,;:!?''"()\x2D""", r"""\x00-\x08\x0E-\x1F#-&*+/<=>@\x5B-\x60\x7B-\x7F""", r"\x{80}-\x{10FFFF}",
@@ -132,23 +126,18 @@ ORACLE_SQL: dict[str, str] = {
               GROUP BY url)
         SELECT page_id, host, path, best.rule AS rule, coalesce(best.rv, 'allow') AS verdict
         FROM p LEFT JOIN m ON p.url = m.url""",
-    "op7_decontamination": rf"""
-        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM documents),
-        b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM benchmark),
-        dp AS (SELECT doc_id, t, unnest(range(len(t) - 9)) AS p FROM d WHERE len(t) >= 10),
-        bp AS (SELECT item_id, t, unnest(range(len(t) - 9)) AS p FROM b WHERE len(t) >= 10),
-        ds AS ({_seed_sql("dp", "doc_id")}), bs AS ({_seed_sql("bp", "item_id")}),
-        hits AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS shift FROM ds JOIN bs ON ds.k = bs.k AND ds.seed = bs.seed),
-        r AS (SELECT doc_id, item_id, shift, d.t AS dt, b.t AS bt, least(13, len(b.t)) AS w,
-                     greatest(shift, 0) - shift AS lo, least(len(b.t), len(d.t) - shift) AS hi
-              FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
-        s AS (SELECT doc_id, item_id, shift, w, unnest(range(lo, hi - w + 1)) AS i, dt, bt FROM r),
-        m AS (SELECT doc_id, item_id, shift, w,
-                     list_sum(list_transform(range(i, i + w), lambda j: CASE WHEN bt[j + 1] = dt[j + shift + 1] THEN 1 ELSE 0 END)) AS n
-              FROM s)
-        SELECT doc_id, item_id, max(n)::BIGINT AS matched, max(w)::BIGINT AS compared,
-               arg_max(shift, n * 100000000 - shift)::BIGINT AS position
-        FROM m WHERE n >= 0.8 * w GROUP BY doc_id, item_id""",
+    "op7_decontamination": r"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, t FROM (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents)),
+        b AS (SELECT row_number() OVER () AS kb, item_id, t, least(13, len(t)) AS w FROM (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM benchmark) WHERE len(t) > 0),
+        dt AS (SELECT k, unnest(t) AS tok, unnest(range(len(t))) AS p FROM d), bt AS (SELECT kb, unnest(t) AS tok, unnest(range(len(t))) AS p FROM b),
+        m AS (SELECT k, kb, dt.p - bt.p AS shift, bt.p AS j FROM dt JOIN bt ON dt.tok = bt.tok),
+        g AS (SELECT k, kb, shift, any_value(w) AS w, greatest(shift, 0) - shift AS lo, least(any_value(len(b.t)), any_value(len(d.t)) - shift) AS hi
+              FROM m JOIN b USING (kb) JOIN d USING (k) GROUP BY k, kb, shift HAVING count(*) >= 0.8 * any_value(w)),
+        s AS (SELECT k, kb, shift, w, unnest(range(lo, hi - w + 1)) AS i FROM g WHERE hi - lo >= w),
+        c AS (SELECT k, kb, shift, w, i, count(*) AS n FROM s JOIN m USING (k, kb, shift) WHERE j >= i AND j < i + w GROUP BY ALL HAVING count(*) >= 0.8 * w)
+        SELECT doc_id, item_id, max(n)::BIGINT AS matched, arg_max(c.w, n * 1000000000000 + c.w * 1000000000 - shift)::BIGINT AS compared,
+               arg_max(shift, n * 1000000000000 + c.w * 1000000000 - shift)::BIGINT AS position
+        FROM c JOIN d USING (k) JOIN b USING (kb) GROUP BY doc_id, item_id""",
     "op10_jaccard_join": r"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
