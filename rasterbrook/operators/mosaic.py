@@ -35,9 +35,9 @@ def stitch(manifest: DataFrame, tiles: DataFrame, overlap: int, value: str | Seq
     return px.groupBy("image_id", "y", "x").agg(*[(F.sum(F.col(v) * F.col("_w")) / F.greatest(F.sum("_w"), F.lit(1e-6))).alias(v) for v in values])
 
 
-def tile_listing(manifest: DataFrame, prefix: str) -> DataFrame:
-    """Largest row and column, and the tiles' addresses in reading order."""
-    return manifest.agg(
+def tile_listing(manifest: DataFrame, prefix: str, *by: str) -> DataFrame:
+    """Largest row and column, and the tiles' addresses in reading order: of the manifest, or of each scan in it."""
+    return manifest.groupBy(*by).agg(
         F.max("row").alias("rows"), F.max("col").alias("cols"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "filename"))), lambda t: F.concat(F.lit(prefix), t["filename"])), ",").alias("tiles"),
     )

@@ -79,10 +79,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", F.to_json(nested).alias("report"))
 
 
-@query("snk06_upload_status", "SELECT * FROM (VALUES (1, 405), (2, 400), (3, 200), (4, 400)) t(id, status)")
+@query("snk06_upload_status", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 405 WHEN event_id % 5 < 2 THEN 400 ELSE 200 END AS status FROM events")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    r = spark.createDataFrame([(1, "GET", "x"), (2, "POST", None), (3, "post", "x"), (4, "POST", "")], "id int, method string, body string")
-    return files.upload_status(r).select("id", "status")
+    method = F.array(*map(F.lit, ("GET", "POST", "post", "Post")))[(F.col("event_id") % 4).cast("int")]
+    body = F.when(F.col("event_id") % 5 == 0, F.lit(None)).when(F.col("event_id") % 5 == 1, "").otherwise(F.col("props").cast("string"))
+    return files.upload_status(table(spark, d, "events").select("event_id", method.alias("method"), body.alias("body"))).select("event_id", "status")
 
 
 def _reread(df: DataFrame, channels: tuple[str, ...], rounding: str) -> DataFrame:
@@ -117,10 +118,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return s.select("s_suppkey", F.when(files.kind_of(F.col("path")) == "standard", "image").otherwise(F.coalesce("decoded", F.lit("image"))).alias("loader"))
 
 
-@query("src08_layouts", "SELECT * FROM (VALUES ('a', 0, 1, 2, 3), ('b', 5, 0, 9, 4), ('c', NULL, NULL, NULL, NULL), ('n', 1, 2, 3, 4)) t(name, x0, y0, x1, y1)")
+@query("src08_layouts", """SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'a' || s_suppkey END AS name, (s_suppkey % 5)::INT AS x0, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END AS y0, (s_suppkey % 5 + 3)::INT AS x1, 4 AS y1 FROM supplier
+    UNION ALL SELECT 'b' || s_suppkey, 5, 0, 9, 4 FROM supplier WHERE s_suppkey % 2 = 1 UNION ALL SELECT 'c' || s_suppkey, NULL, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 2 = 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    j = spark.createDataFrame([('[{"name": "n", "bbox": [1, 2, 3, 4]}]',), ('{"a": {"bbox": [0, 1, 2, 3]}, "b": [5, 9], "c": "?", "y": [0, 4]}',)], "json string")
-    return files.layout(spark, j).drop("raw")
+    k, x = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 5
+    box = lambda y: F.concat(F.lit("["), x.cast("string"), F.lit(f", {y}, "), (x + 3).cast("string"), F.lit(", 4]"))
+    listed = F.concat(F.lit('[{"name": "'), F.col("s_name"), F.lit('", "bbox": '), box(2), F.lit("}]"))
+    named = F.concat(F.lit('{"a'), k, F.lit('": {"bbox": '), box(1), F.lit('}, "b'), k, F.lit('": [5, 9], "c'), k, F.lit('": "?", "y": [0, 4]}'))
+    return files.layout(spark, table(spark, d, "supplier").select(F.when(F.col("s_suppkey") % 2 == 0, listed).otherwise(named).alias("json"))).drop("raw")
 
 
 @query("src09_calibration_pick", "SELECT p_name AS name FROM part WHERE contains(lower(p_name), 'flat') OR contains(lower(p_name), 'e') ORDER BY p_size DESC, name LIMIT 1")
@@ -129,9 +134,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return files.pick_flat(listing, ("flat", "e")).select("name")
 
 
-@query("src10_settings", "SELECT * FROM (VALUES ('A', 'b c'), ('K', 'v=w')) t(key, value)")
+@query("src10_settings", "SELECT 'KEY_' || c_custkey AS key, CASE WHEN c_custkey % 4 = 1 THEN c_mktsegment || ' x' ELSE 'v=' || c_nationkey END AS value FROM customer WHERE c_custkey % 4 IN (1, 2)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return files.env_lines(spark.createDataFrame([("# x",), ("A = 'b c'",), ("K=v=w",), ("",)], "value string"))
+    k, part = F.col("c_custkey").cast("string"), F.col("c_custkey") % 4
+    line = F.when(part == 0, F.concat(F.lit("# KEY_"), k, F.lit("=no"))).when(part == 1, F.concat(F.lit("KEY_"), k, F.lit(" = '"), F.col("c_mktsegment"), F.lit(" x'")))
+    line = line.when(part == 2, F.concat(F.lit("KEY_"), k, F.lit("=v="), F.col("c_nationkey").cast("string"))).otherwise(F.lit(""))
+    return files.env_lines(table(spark, d, "customer").select(line.alias("value")))
 
 
 @query("str01_latest_frame", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")

@@ -125,9 +125,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return out(mosaic.stitch(*_tiles(spark, d), overlap=2), v=F.col("v"))
 
 
-@query("jn06_tile_listing", "SELECT 1 AS rows, 1 AS cols, '/tiles/a,/tiles/b,/tiles/c,/tiles/d' AS tiles")
+@query("jn06_tile_listing", "SELECT s_nationkey::BIGINT AS scan, max(s_suppkey // 4)::BIGINT AS rows, max(s_suppkey % 4)::BIGINT AS cols, string_agg('/tiles/' || s_name, ',' ORDER BY s_suppkey // 4, s_suppkey % 4, s_name) AS tiles FROM supplier GROUP BY s_nationkey")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return mosaic.tile_listing(_tiles(spark, d)[0], "/tiles/")
+    s = table(spark, d, "supplier")
+    manifest = s.select(F.col("s_nationkey").cast("long").alias("scan"), F.floor(F.col("s_suppkey") / 4).alias("row"), (F.col("s_suppkey") % 4).cast("long").alias("col"), F.col("s_name").alias("filename"))
+    return mosaic.tile_listing(manifest, "/tiles/", "scan")
 
 
 @query("jn05_presets", f"WITH {PATCH} SELECT DISTINCT image_id, CASE image_id % 3 WHEN 0 THEN 0.2 WHEN 1 THEN 0.35 ELSE 0.5 END::DOUBLE AS strength, CASE WHEN image_id % 3 = 2 THEN 'strong' ELSE 'default' END AS preset FROM patch")
@@ -174,9 +176,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ranking.best_run(runs(spark, d)).select("job_id", "iteration", "score")
 
 
-@query("top02_ranked_pick", "SELECT name FROM (VALUES ('flat_old.dng', 1, 10), ('backlight.dng', 0, 5), ('backlight.tif', 0, 9), ('flat.dng', 1, 99)) t(name, rank, mtime) ORDER BY rank, mtime DESC, name LIMIT 1")
+@query("top02_ranked_pick", "SELECT p_name AS name FROM part ORDER BY CASE WHEN p_size % 7 = 0 THEN 0 ELSE 1 END, p_retailprice DESC, name LIMIT 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame([("flat_old.dng", 1, 10), ("backlight.dng", 0, 5), ("backlight.tif", 0, 9), ("flat.dng", 1, 99)], "name string, rank int, mtime int")
+    t = table(spark, d, "part").select(F.col("p_name").alias("name"), F.when(F.col("p_size") % 7 == 0, 0).otherwise(1).alias("rank"), F.col("p_retailprice").alias("mtime"))
     return ranking.first_by(t, F.col("rank"), F.col("mtime").desc(), F.col("name")).select("name")
 
 
@@ -338,10 +340,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", X.slug(F.concat_ws(" / ", "p_type", "p_brand")).alias("slug"), X.strength_token(F.col("p_size") / 8.0).alias("token"))
 
 
-@query("fn10_mime", "WITH f(path) AS (VALUES ('a/b.JPG'), ('x.png'), ('scan.tiff'), ('noext'), ('w.webp'), ('dir.d/file')) SELECT path, CASE lower(regexp_extract(path, '(\\.[^./]*)$', 1)) WHEN '.png' THEN 'image/png' WHEN '.tiff' THEN 'image/tiff' WHEN '.webp' THEN 'image/webp' ELSE 'image/jpeg' END AS mime, 'data:' || CASE lower(regexp_extract(path, '(\\.[^./]*)$', 1)) WHEN '.png' THEN 'image/png' WHEN '.tiff' THEN 'image/tiff' WHEN '.webp' THEN 'image/webp' ELSE 'image/jpeg' END || ';base64,' || base64(encode(path)) AS url FROM f")
+_PATHS = "SELECT p_partkey, 'dir.d/' || replace(p_name, ' ', '_') || CASE p_partkey % 6 WHEN 0 THEN '.JPG' WHEN 1 THEN '.png' WHEN 2 THEN '.tiff' WHEN 3 THEN '' WHEN 4 THEN '.webp' ELSE '.Bmp' END AS path FROM part"
+_KIND = "CASE lower(regexp_extract(path, '(\\.[^./]*)$', 1)) WHEN '.png' THEN 'image/png' WHEN '.tiff' THEN 'image/tiff' WHEN '.webp' THEN 'image/webp' WHEN '.bmp' THEN 'image/bmp' ELSE 'image/jpeg' END"
+
+
+@query("fn10_mime", f"WITH f AS ({_PATHS}) SELECT p_partkey, {_KIND} AS mime, 'data:' || {_KIND} || ';base64,' || base64(encode(path)) AS url FROM f")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    f = spark.createDataFrame([(x,) for x in ("a/b.JPG", "x.png", "scan.tiff", "noext", "w.webp", "dir.d/file")], "path string")
-    return f.select("path", X.mime(F.col("path")).alias("mime"), X.data_url(F.col("path"), F.col("path").cast("binary")).alias("url"))
+    end = F.array(*map(F.lit, (".JPG", ".png", ".tiff", "", ".webp", ".Bmp")))[(F.col("p_partkey") % 6).cast("int")]
+    f = table(spark, d, "part").select("p_partkey", F.concat(F.lit("dir.d/"), F.translate("p_name", " ", "_"), end).alias("path"))
+    return f.select("p_partkey", X.mime(F.col("path")).alias("mime"), X.data_url(F.col("path"), F.col("path").cast("binary")).alias("url"))
 
 
 @query("fn11_stamp", "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S_%f') AS stamp, epoch_us(ts) // 1000 AS job FROM events")
@@ -378,10 +385,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.checksum(F.col("l_linenumber").cast("long"), data).alias("checksum"))
 
 
-@query("src06_rational_fold", "SELECT * FROM (VALUES (1, '0.5,2.0'), (2, '3.0'), (3, '')) t(id, folded)")
+@query("src06_rational_fold", """SELECT l_orderkey, l_linenumber, array_to_string(list_filter([CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE (l_partkey % 9) / (l_linenumber % 3 * 2.0::DOUBLE) END, l_linenumber / 4.0::DOUBLE], lambda v: v IS NOT NULL).list_transform(lambda v: v::VARCHAR), ',') AS folded FROM lineitem""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    r = spark.createDataFrame([(1, [1, 2, 4, 2]), (2, [1, 0, 6, 2]), (3, [])], "id int, flat array<long>")
-    return r.select("id", F.array_join(F.transform(X.rationals(F.col("flat")), lambda x: x.cast("string")), ",").alias("folded"))
+    flat = F.array(*[c.cast("long") for c in (F.col("l_partkey") % 9, F.col("l_linenumber") % 3 * 2, F.col("l_linenumber"), F.lit(4))])  # numerators and denominators in turn
+    folded = F.array_join(F.transform(X.rationals(flat), lambda x: x.cast("string")), ",")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", folded.alias("folded"))
 
 
 @query("udf05_film_dispatch", f"""WITH {_FILM}, k AS (SELECT image_id, mr > mg + 12 AND mg > mb + 10 AS neg FROM m) SELECT image_id, y, x, {", ".join(f"CASE WHEN neg THEN 255 - {c} ELSE {c} END + 0.0 AS {c}" for c in "rgb")} FROM rgb8 JOIN k USING (image_id)""")
