@@ -306,3 +306,14 @@ def test_a_range_stops_asking_after_a_failure(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert {r["mode"]: r["count"] for r in got} == {"model": 70, "heuristic": 930} and len(calls.read_text().split()) == 128
+
+
+def test_empty_tables(spark):
+    none = plane(spark, np.zeros((2, 2))).limit(0)
+    px, report = borders.merge_borders(none.withColumn("a", F.col("v") > 0), {"a": F.lit(0.5)})
+    assert px.count() == report.count() == 0
+    colours = none.select("image_id", "y", "x", *[F.col("v").alias(c) for c in "rgb"])
+    assert protocol.base_model(protocol.score_candidates(protocol.base_candidates(colours))).count() == 0
+    flat = spark.createDataFrame([(y, x, 0.5, 0.5, 0.5) for y in range(8) for x in range(8)], "y long, x long, r double, g double, b double")
+    report, shown = protocol.run_protocol(flat, flat, colours)
+    assert report.count() == shown.count() == 0
