@@ -26,6 +26,7 @@ BLOCK = 64  # turns a row holds at most
 _RUN = 1024  # places of one repeated turn that a row holds at most
 _NOBODY = hashlib.sha256(b"").hexdigest()
 _AT = ["depth", "x1", "x2"]
+_SORTED = ["block", "p1", "p2", "keys"]
 
 
 def numbered(conversations: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _patricia(block: int, keep_edges: bool):
-    """Points of one sorted range of blocks: (depth, hash, parent, code points up to the parent, edge, sums, least)."""
+    """Points of sorted ranges of blocks (part): (depth, hash, parent, code points up to the parent, edge, sums, least)."""
     longs = pa.list_(pa.int64())
     fields = [*_AT, "up", "u1", "u2", "before"]
     schema = pa.schema([*((f, pa.int64()) for f in fields), ("edge", longs), ("sums", longs), ("least", pa.int64())])
@@ -88,7 +89,7 @@ def _patricia(block: int, keep_edges: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         stack: list[list] = []  # depth in the block, hash, code points so far, the row it came from, sums, least
-        group, keys, last = None, [], None
+        part, group, keys, last = None, None, [], None
 
         def close(to: int, row, every: bool = False) -> None:
             """Ends the points deeper than `to`; row holds the beginning that goes on, where a point may be missing."""
@@ -117,6 +118,10 @@ def _patricia(block: int, keep_edges: bool):
                     ats.append((ats[-1][0] ^ a, ats[-1][1] ^ b))
                     cums.append(cums[-1] + n)
                 row, same = (r["block"], ats, cums, r["lens"]), (r["block"], r["p1"], r["p2"])
+                if r["part"] != part:
+                    if stack:
+                        close(0, last, every=True)
+                    part, group = r["part"], None
                 shared = 0
                 if same != group:
                     if group is not None:
@@ -140,10 +145,9 @@ def _patricia(block: int, keep_edges: bool):
 
 
 def _points(rows: DataFrame, block: int, keep_edges: bool) -> DataFrame:
-    """Points of blocks (block, p1, p2, keys, lens, cum, sums, least), merged over the sorted ranges."""
-    order = ["block", "p1", "p2", "keys"]
+    """Points of blocks (part, block, p1, p2, keys, lens, cum, sums, least), merged over the sorted ranges: which points there are depends on part."""
     kinds = ", ".join(f"{c} long" for c in (*_AT, "up", "u1", "u2", "before")) + ", edge array<long>, sums array<long>, least long"
-    made = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_patricia(block, keep_edges), kinds)
+    made = rows.repartition("part").sortWithinPartitions("part", *_SORTED).mapInArrow(_patricia(block, keep_edges), kinds)
     sums = [F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(3)]
     return made.groupBy(*_AT).agg(*[F.first(c).alias(c) for c in ("up", "u1", "u2", "before", "edge")], *sums, F.min("least").alias("least"))
 
@@ -200,15 +204,12 @@ def prefix_trie(turns: DataFrame, ids: DataFrame, block: int = BLOCK) -> DataFra
     some = some.repartition(*_AT).sortWithinPartitions(*_AT, "chunk")
     ends = some.mapInArrow(_digests, "depth long, x1 long, x2 long, ends string").select(*[F.col(c).alias(f"e_{c}") for c in _AT], "ends")
 
-    def grouped(sums: Column, of: DataFrame) -> DataFrame:
-        """Blocks of the classes, each different one once, with the sums of the classes that have it."""
-        own = blocks.join(of, F.col("conv_id") == F.col("rep")).withColumn("sums", sums)
-        alike = own.groupBy("block", "p1", "p2", "b1", "b2")
-        return alike.agg(
-            *[F.first(c).alias(c) for c in ("keys", "lens", "cum")], F.array(*[F.sum(F.col("sums")[i]) for i in range(3)]).alias("sums"), F.min("rep").alias("least")
-        ).drop("b1", "b2")
-
-    points = written(_points(grouped(F.array(F.col("w"), zero, zero), classes), block, True), "trie-points")
+    # Blocks of the classes, each different one once, dealt out by ranges for good: both sums over points need the same ranges.
+    alike = ["block", "p1", "p2", "b1", "b2"]
+    own = blocks.join(classes, F.col("conv_id") == F.col("rep")).groupBy(*alike)
+    own = own.agg(*[F.first(c).alias(c) for c in ("keys", "lens", "cum")], F.array(F.sum("w"), zero, zero).alias("sums"), F.min("rep").alias("least"))
+    dealt = written(own.repartitionByRange(*_SORTED).withColumn("part", F.spark_partition_id()), "trie-dealt")
+    points = written(_points(dealt, block, True), "trie-points")
     kids = written(points.groupBy("up", "u1", "u2").agg(F.count("*").alias("n_children")), "trie-children")
     near = kids.select(*[F.col(c).alias(f"k_{c}") for c in ("up", "u1", "u2")], "n_children")
     edge = F.aggregate("edge", zero, lambda a, n: a + n)
@@ -220,7 +221,8 @@ def prefix_trie(turns: DataFrame, ids: DataFrame, block: int = BLOCK) -> DataFra
     ours = owned.select(F.col("least").alias("o_id"), "own", "since", "leaf")
     of = classes.join(ours, F.col("rep") == F.col("o_id"), "left").select("rep", "w", (F.col("w") * F.col("total")).alias("texts"), F.coalesce("own", zero).alias("own"), F.coalesce("leaf", zero).alias("leaf"))
     of = written(of, "trie-of")
-    below = _points(grouped(F.array("texts", "own", "leaf"), of), block, False)
+    more = blocks.select("conv_id", *alike).join(of, F.col("conv_id") == F.col("rep")).groupBy(*alike).agg(F.array(*[F.sum(c) for c in ("texts", "own", "leaf")]).alias("sums"))
+    below = _points(dealt.drop("sums").join(more, alike), block, False)
     below = below.select(*[F.col(c).alias(f"b_{c}") for c in _AT], F.col("s0").alias("texts"), F.col("s1").alias("distinct"), F.col("s2").alias("n_leaves"))
 
     full = with_kids.join(below, _on(_AT, [f"b_{c}" for c in _AT])).join(ours.select("o_id", "since"), F.col("least") == F.col("o_id"))
@@ -235,7 +237,7 @@ def prefix_trie(turns: DataFrame, ids: DataFrame, block: int = BLOCK) -> DataFra
         "n_convs", "least", "n_children", F.greatest("leaf", F.lit(1)).alias("n_leaves"), (F.col("texts") - F.col("own")).alias("saved"),
     )
     full = written(full.unionByName(top), "trie-full")
-    discard(blocks, points)
+    discard(blocks, dealt, points)
 
     above = full.select(*[F.col(c).alias(f"a_{c}") for c in _AT], F.col("least").alias("above"))
     full = full.join(ends, _on(_AT, ["e_depth", "e_x1", "e_x2"]), "left").join(above, _on(["up", "u1", "u2"], ["a_depth", "a_x1", "a_x2"]), "left")

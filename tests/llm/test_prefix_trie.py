@@ -85,6 +85,21 @@ def test_many_ranges_and_a_very_common_beginning(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_ranges_cut_from_few_samples(spark):
+    """Ranges are cut differently whenever Spark samples them again; nodes where they meet have to be there all the same."""
+    rng = random.Random(8)
+    rows = [(i, t, "user", f"{i % 9} {t}" if t < 7 else f"end {rng.randrange(60)}") for i in range(200, 800) for t in range(rng.randint(6, 9))]
+    more = {"spark.sql.shuffle.partitions": 13, "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.rangeExchange.sampleSizePerPartition": 2}
+    before = {k: spark.conf.get(k) for k in more}
+    for k, v in more.items():
+        spark.conf.set(k, v)
+    try:
+        assert made(spark.createDataFrame(rows, SCHEMA).repartition(5)) == brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_one_conversation_with_most_rows(spark, monkeypatch):
     """It lies in several ranges; a repeated row takes its places in runs."""
     monkeypatch.setattr(prefix_trie, "_RUN", 64)
