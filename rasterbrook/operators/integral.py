@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .neighbourhood import KEYS
+from .neighbourhood import KEYS, sizes
+from .stats import join_back
 
 #: Corners of a rectangle in the table of sums: sign, and whether the first or the last row and column count.
 _CORNERS = ((1, "y1", "x1"), (-1, "y0", "x1"), (-1, "y1", "x0"), (1, "y0", "x0"))
@@ -61,6 +62,16 @@ def rectangle_stats(df: DataFrame, rects: DataFrame, value: str) -> DataFrame:
     return got.select("image_id", "region", F.col("n").cast("long").alias("n"), mean.alias("mean"), std.alias("std"))
 
 
+def grid_stats(df: DataFrame, grids: Sequence[int], value: str) -> DataFrame:
+    """rectangle_stats of grid_rectangles: a pixel lies in one cell of each grid, so one aggregate does without look-ups."""
+    df = join_back(df.select(*KEYS, value), sizes(df))
+    cell = lambda i, n, g: F.floor((F.col(i) * g + g - 1) / F.col(n)).cast("int")  # noqa: E731  # of borders at floor(k * n / g)
+    cells = F.array(*[F.struct(F.lit(g).alias("g"), cell("y", "h", g).alias("i"), cell("x", "w", g).alias("j")) for g in grids])
+    dealt = df.select("image_id", value, F.explode(cells).alias("_c")).select("image_id", value, "_c.g", "_c.i", "_c.j")
+    got = dealt.groupBy("image_id", "g", "i", "j").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    return got.select("image_id", F.format_string("grid_%d_%d_%d", "g", "i", "j").alias("region"), "n", "mean", "std")
+
+
 def box_means(df: DataFrame, values: Sequence[str], half: Column) -> DataFrame:
     """df with each value replaced by its mean over 2 * half + 1 pixels both ways, mirrored at the borders (edge not repeated).
 

@@ -29,13 +29,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Vectors whose pixels one task makes: with the table grow the tasks' number, not their size.
+VECTORS = 4096
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Vectors dealt out by their image before they become pixels: a tenth of the bytes, and what goes by image later needs no further shuffle."""
+    parts = df.count() // VECTORS + 1
+    if parts < 16:
+        return df.repartition(key)
+    return df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
+def unit(e: Column) -> Column:
+    """A vector's entry as a value 0..1."""
+    return F.least(F.greatest(F.lit(0.5) + F.lit(2.0) * e.cast("double"), F.lit(0.0)), F.lit(1.0))
+
+
 def patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each 64-value vector as an 8x8 plane (image_id, y, x, v), values 0..1."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("image_id"), F.posexplode("embedding").alias("pos", "e"))
-    return e.select(
-        "image_id", F.floor(F.col("pos") / 8).alias("y"), (F.col("pos") % 8).cast("long").alias("x"),
-        F.least(F.greatest(F.lit(0.5) + F.lit(2.0) * F.col("e").cast("double"), F.lit(0.0)), F.lit(1.0)).alias("v"),
-    )
+    e = dealt(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("image_id"), "embedding"), "image_id")
+    e = e.select("image_id", F.posexplode("embedding").alias("pos", "e"))
+    return e.select("image_id", F.floor(F.col("pos") / 8).alias("y"), (F.col("pos") % 8).cast("long").alias("x"), unit(F.col("e")).alias("v"))
 
 
 def plane8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +60,16 @@ def plane8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three vectors as the channels of an image (image_id, y, x, r, g, b), values 0..1."""
-    p = patch(spark, sf_dir)
-    channel = lambda k: F.max(F.when(F.col("image_id") % 3 == k, F.col("v")))
-    p = p.groupBy(F.floor(F.col("image_id") / 3).alias("i"), "y", "x").agg(
-        channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b"), F.count("*").alias("n")
-    )
-    return p.where("n = 3").select(F.col("i").alias("image_id"), "y", "x", "r", "g", "b")
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    e = dealt(e.select(F.floor(F.col("vec_id").cast("long") / 3).alias("image_id"), (F.col("vec_id") % 3).alias("k"), "embedding"), "image_id")
+    three = e.groupBy("image_id").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("size"), *[F.collect_list(F.when(F.col("k") == k, F.col("embedding"))).alias(f"_{c}") for k, c in enumerate("rgb")])
+    pixels = three.where("n = 3 and size > 0").withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+
+    def channel(c: str) -> Column:
+        """The vector's value; the largest one where an id comes twice."""
+        return F.when(F.size(c) == 1, unit(F.get(F.get(c, F.lit(0)), "pos"))).otherwise(F.array_max(F.transform(c, lambda e: unit(F.get(e, F.col("pos"))))))
+
+    return pixels.select("image_id", F.floor(F.col("pos") / 8).alias("y"), (F.col("pos") % 8).cast("long").alias("x"), *[channel(f"_{c}").alias(c) for c in "rgb"])
 
 
 def rgb8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import borders, integral, protocol
-from ..operators.neighbourhood import sizes
 from .bridge import PATCH, RGB, out, patch, query, rgb, rounded, sql_out
 from .composites import blurred
 from .pointwise import LUMA, SAT
@@ -19,8 +18,7 @@ GRIDS = (1, 2, 3, 4, 5, 8)
     FROM patch JOIN (SELECT * FROM (VALUES {", ".join(f"({g})" for g in GRIDS)}) a(k), range(8) b(i), range(8) c(j) WHERE i < k AND j < k) ON y >= i * 8 // k AND y < (i + 1) * 8 // k AND x >= j * 8 // k AND x < (j + 1) * 8 // k
     GROUP BY ALL)""", PATCH, "image_id region", n="n", mean="mean", std="std"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    df = patch(spark, d)
-    return each(integral.rectangle_stats(df, integral.grid_rectangles(sizes(df), GRIDS), "v"), "image_id region")
+    return each(integral.grid_stats(patch(spark, d), GRIDS, "v"), "image_id region")
 
 
 _CANDIDATES = RGB + f""", l AS (SELECT *, round({LUMA}, 9) AS luma FROM rgb), {_box("l", "luma", 5)},
