@@ -47,3 +47,34 @@ def exact_percentiles(df: DataFrame, value: Column, points: dict[str, float], ke
     both = ends.join(values, F.col("k") == F.col("_k"))
     low = {n: F.element_at("_at", F.floor(c)) for n, c in at.items()}
     return both.select(F.col("k").alias(key), *[(low[n] + (F.element_at("_at", F.ceil(c)) - low[n]) * (c - F.floor(c))).alias(n) for n, c in at.items()])
+
+
+def interpolated(a: Column, b: Column, d: Column) -> Column:
+    """a * (1 - d) + b * d, the first product not rounded by itself: as a fused multiply-add, the SQL's way, gives it.
+
+    The product's error is told by halves of its factors' digits, the sum's by what is missing from it.
+    """
+    halves = lambda c: (c * 134217729.0 - (c * 134217729.0 - c), c - (c * 134217729.0 - (c * 134217729.0 - c)))
+    rest = 1.0 - d
+    (a1, a2), (r1, r2) = halves(a), halves(rest)
+    p, q = a * rest, b * d
+    lost = ((a1 * r1 - p) + a1 * r2 + a2 * r1) + a2 * r2
+    s = p + q
+    missing = (p - (s - (s - p))) + (q - (s - p))
+    return s + (missing + lost)
+
+
+def ranked_percentiles(df: DataFrame, value: Column, points: dict[str, float], key: str = "image_id") -> DataFrame:
+    """(key, one column per point) with linear interpolation to the last bit as the SQL's, points in 0..100; nulls don't count.
+
+    Values are counted, and sums of the counts in order tell each rank: Spark sorts on disk where a group is large. For
+    percentiles that values are compared with, where the last bit decides.
+    """
+    rows = df.select(F.col(key), value.alias("_v")).where("_v is not null").groupBy(key, "_v").agg(F.count("*").alias("_c"))
+    w = W.partitionBy(key)
+    rows = rows.withColumns({"_upto": F.sum("_c").over(w.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_c").over(w)})
+    at = {n: F.lit(p / 100) * (F.col("_all") - 1) for n, p in points.items()}
+    found = []
+    for n, c in at.items():
+        found += [F.min(F.when(F.col("_upto") > i, F.col("_v"))).alias(f"_{k}_{n}") for k, i in (("a", F.floor(c)), ("b", F.ceil(c)))] + [F.max(c - F.floor(c)).alias(f"_d_{n}")]
+    return rows.groupBy(key).agg(*found).select(key, *[interpolated(F.col(f"_a_{n}"), F.col(f"_b_{n}"), F.col(f"_d_{n}")).alias(n) for n in points])

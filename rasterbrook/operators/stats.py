@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import color as C
 from ..functions import tone as T
 from .scratch import settled
+from .selection import interpolated
 
 RGB = ("r", "g", "b")
 
@@ -33,9 +34,23 @@ def with_percentile(df: DataFrame, value: Column, point: float, name: str) -> Da
 
 
 def percentile_stretch(df: DataFrame, low: float, high: float) -> DataFrame:
-    """Per image and channel, the low and high percentiles become 0 and 255."""
-    aggs = [p.alias(f"{c}_{n}") for c in RGB for p, n in zip(percentiles(F.col(c), low, high), ("lo", "hi"), strict=True)]
-    df = join_back(df, df.groupBy("image_id").agg(*aggs))
+    """Per image and channel, the low and high percentiles of 8-bit values become 0 and 255.
+
+    Values that are cut off may lie on a whole step, so percentiles are interpolated to the last bit as the SQL's are: the
+    channel's values (256 at most) tell which two a percentile lies between.
+    """
+    aggs = [a for c in RGB for a in (F.percentile(c, F.array(F.lit(low / 100), F.lit(high / 100))).alias(f"_p_{c}"), F.collect_set(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}"))]
+    ends = df.groupBy("image_id").agg(*aggs)
+    parts = {}
+    for c in RGB:
+        for i, (n, p) in enumerate((("lo", low), ("hi", high))):
+            at = F.lit(p / 100) * (F.col(f"_n_{c}") - 1)
+            parts[f"_a_{c}_{n}"] = F.array_max(F.filter(f"_s_{c}", lambda v: v <= F.col(f"_p_{c}")[i]))
+            parts[f"_b_{c}_{n}"] = F.array_min(F.filter(f"_s_{c}", lambda v: v >= F.col(f"_p_{c}")[i]))
+            parts[f"_d_{c}_{n}"] = at - F.floor(at)
+    ends = ends.withColumns(parts)
+    names = [f"{c}_{n}" for c in RGB for n in ("lo", "hi")]
+    df = join_back(df, ends.select("image_id", *[interpolated(*[F.col(f"_{k}_{n}") for k in "abd"]).alias(n) for n in names]))
     return df.withColumns({c: T.stretch(F.col(c), F.col(f"{c}_lo"), F.col(f"{c}_hi")) for c in RGB}).drop(*[f"{c}_{n}" for c in RGB for n in ("lo", "hi")])
 
 

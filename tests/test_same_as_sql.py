@@ -57,3 +57,29 @@ def test_an_image_of_repeated_vectors(spark, tmp_path):
     rows = [(0, [0.1, -0.2] * 32), (0, [-0.1, 0.2] * 32), (1, [0.05] * 64), (3, [0.1] * 64), (4, [0.2] * 64), (5, [0.3] * 64), (6, [0.3] * 64)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     same(spark, tmp_path, "prj03_gamma", "embeddings")
+
+
+def test_stretch_to_the_last_bit(spark, tmp_path):
+    """Of 2,000 images some have a value that lies on a whole step but for the percentile's last bit."""
+    rng = random.Random(6)
+    rows = [(k, [rng.gauss(0, 0.125) for _ in range(64)]) for k in range(6000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    same(spark, tmp_path, "prj02_percentile_stretch", "embeddings")
+
+
+def test_grey_values_that_differ_in_the_last_bit(spark, tmp_path):
+    """Pixels of one brightness, but for the last bit, in other channels: those below the tenth percentile don't count."""
+    rng = random.Random(7)
+    grey = lambda t: 0.299 * t[0] + 0.587 * t[1] + 0.114 * t[2]
+    met, pairs = {}, []
+    while len(pairs) < 20:
+        t = tuple(rng.randrange(256) for _ in range(3))
+        other = met.setdefault(299 * t[0] + 587 * t[1] + 114 * t[2], t)
+        if grey(other) != grey(t):
+            pairs.append(sorted((other, t), key=grey))
+    rows = []
+    for k, (low, high) in enumerate(pairs):
+        pixels = [low] * 6 + [high] * 58
+        rows += [(3 * k + c, [((p[c] + 0.5) / 255 - 0.5) / 2 for p in pixels]) for c in range(3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    same(spark, tmp_path, "flt01_band_gains", "embeddings")
