@@ -12,14 +12,22 @@ from ..functions import color as C
 from .neighbourhood import edge_distance, gaussian, line_filter, local_variance, regions, sizes
 from .reductions import border_strips, pct
 from .scratch import settled
+from .selection import ranked_percentiles
 from .stats import RGB, join_back, percentiles
 
 
-def band_gains(df: DataFrame, low: float = 10, high: float = 90, lo: float = 0.5, hi: float = 1.8, settle: bool = False) -> DataFrame:
-    """Grey-world gains from the pixels of middling brightness; all pixels where none are."""
-    df = df.withColumn("_g", F.round(C.gray(*[F.col(c) for c in RGB]), 9))
-    limits = percentiles(F.col("_g"), low, high)
-    df = join_back(df, df.groupBy("image_id").agg(F.round(limits[0], 9).alias("_lo"), F.round(limits[1], 9).alias("_hi")), settle=settle)
+def band_gains(df: DataFrame, low: float = 10, high: float = 90, lo: float = 0.5, hi: float = 1.8, settle: bool = False, places: int | None = 9) -> DataFrame:
+    """Grey-world gains from the pixels of middling brightness; all pixels where none are.
+
+    Brightness and its limits are rounded to some places; None: neither is, and the last bit decides which pixels count.
+    """
+    df = df.withColumn("_g", C.gray(*[F.col(c) for c in RGB]))
+    if places is None:
+        limits = ranked_percentiles(df, F.col("_g"), {"_lo": low, "_hi": high})
+    else:
+        df = df.withColumn("_g", F.round("_g", places))
+        limits = df.groupBy("image_id").agg(*[F.round(p, places).alias(n) for n, p in zip(("_lo", "_hi"), percentiles(F.col("_g"), low, high), strict=True)])
+    df = join_back(df, limits, settle=settle)
     inside = F.col("_g").between(F.col("_lo"), F.col("_hi"))
     got = df.groupBy("image_id").agg(*[F.coalesce(F.avg(F.when(inside, F.col(c))), F.avg(c)).alias(f"m{c}") for c in RGB])
     grey = (F.col("mr") + F.col("mg") + F.col("mb")) / 3.0
