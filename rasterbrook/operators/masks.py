@@ -16,6 +16,10 @@ from .selection import ranked_percentiles
 from .stats import RGB, join_back, percentiles
 
 
+#: Regions and cells of theirs that are broadcast at most; more are shuffled.
+REGIONS = 100_000
+
+
 def band_gains(df: DataFrame, low: float = 10, high: float = 90, lo: float = 0.5, hi: float = 1.8, settle: bool = False, places: int | None = 9) -> DataFrame:
     """Grey-world gains from the pixels of middling brightness; all pixels where none are.
 
@@ -164,6 +168,9 @@ def roi_metrics(df: DataFrame, rois: DataFrame, fewest: int = 16, cell: int = 25
     inside = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
     same = (F.floor(F.col("y") / cell) == F.col("_cy")) & (F.floor(F.col("x") / cell) == F.col("_cx"))
     slug = F.lower(F.regexp_replace("name", "[^a-zA-Z0-9_]+", "_"))
+    # Images share their cells: with few regions pixels stay where they are, instead of all of a cell going to one task.
+    if binned.limit(REGIONS + 1).count() <= REGIONS:
+        binned = F.broadcast(binned)
     got = df.join(binned, same & inside).groupBy("image_id", slug.alias("roi")).agg(F.avg("v").alias("mean"), (F.stddev_pop("v") / F.greatest(F.avg("v"), F.lit(1e-9))).alias("cv"), F.count("*").alias("n"))
     return got.where(F.col("n") >= fewest)
 

@@ -83,3 +83,17 @@ def test_grey_values_that_differ_in_the_last_bit(spark, tmp_path):
         rows += [(3 * k + c, [((p[c] + 0.5) / 255 - 0.5) / 2 for p in pixels]) for c in range(3)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     same(spark, tmp_path, "flt01_band_gains", "embeddings")
+
+
+def test_pixels_of_one_cell_stay_where_they_are(spark, monkeypatch):
+    """All images share the cells of a grid: no pixel is shuffled by its cell; with too many regions the rows are the same."""
+    from rasterbrook.operators import masks
+
+    df = spark.createDataFrame([(k, y, x, float(k + y * x)) for k in range(6) for y in range(8) for x in range(8)], "image_id long, y long, x long, v double")
+    rois = spark.createDataFrame([("a b", 0, 0, 8, 8), ("c", 2, 2, 7, 7)], "name string, y0 long, x0 long, y1 long, x1 long")
+    got = masks.roi_metrics(df, rois)
+    assert "BroadcastHashJoin" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(FLOOR" not in plan
+    told = lambda got: sorted((r.image_id, r.roi, round(r["mean"], 9), round(r.cv, 9), r.n) for r in got.collect())
+    rows = told(got)
+    monkeypatch.setattr(masks, "REGIONS", 1)
+    assert rows == told(masks.roi_metrics(df, rois)) and len(rows) == 12
