@@ -164,16 +164,17 @@ def clahe(df: DataFrame, value: str, grid: int, clip: float) -> DataFrame:
     df = join_back(df, sizes(df))
     df = df.withColumns({"_th": F.ceil(F.col("h") / grid), "_tw": F.ceil(F.col("w") / grid), "_bin": F.floor(value).cast("int")})
     hist = df.groupBy("image_id", F.floor(F.col("y") / F.col("_th")).alias("ty"), F.floor(F.col("x") / F.col("_tw")).alias("tx"), "_bin").agg(F.count("*").alias("n"))
-    tiles = hist.groupBy("image_id", "ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct("_bin", "n"))).alias("n"), F.sum("n").alias("area"))
-    limit = F.greatest(F.lit(1), F.floor(clip * F.col("area") / 256))
-    excess = F.aggregate(F.map_values("n"), F.lit(0).cast("long"), lambda a, n: a + F.greatest(n - F.col("_limit"), F.lit(0))) / 256.0
-    tiles = tiles.withColumn("_limit", limit).withColumn("_excess", excess)
-    # Every level's clipped sum, as a window sum over the levels; the spread excess adds the same to every level.
-    tiles = tiles.select("image_id", "ty", "tx", "area", "_limit", "_excess", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.least(F.coalesce(F.try_element_at(F.col("n"), b), F.lit(0)), F.col("_limit")))).alias("b", "_c"))
-    tile = W.partitionBy("image_id", "ty", "tx").orderBy("b").rowsBetween(W.unboundedPreceding, 0)
-    tiles = tiles.withColumn("_c", F.sum("_c").over(tile)).groupBy("image_id", "ty", "tx").agg(
-        F.first("area").alias("area"), F.first("_excess").alias("_excess"), F.array_sort(F.collect_list(F.struct("b", "_c")))["_c"].alias("_sums")
-    )
+    tiles = hist.groupBy("image_id", "ty", "tx").agg(F.array_sort(F.collect_list(F.struct("_bin", "n"))).alias("n"), F.sum("n").alias("area"))
+    tiles = tiles.withColumn("_limit", F.greatest(F.lit(1), F.floor(clip * F.col("area") / 256)))
+    clipped = F.transform("n", lambda e: F.struct(e["_bin"].alias("b"), F.least(e["n"], F.col("_limit")).alias("c")))
+    tiles = tiles.select("image_id", "ty", "tx", "area", ((F.col("area") - F.aggregate(clipped, F.lit(0).cast("long"), lambda a, e: a + e["c"])) / 256.0).alias("_excess"), clipped.alias("_n"))
+    # Every level's clipped sum: it grows at levels that occur only, so each one's sum is repeated up to the next; the spread excess adds the same to every level.
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("to"))
+    sums = F.aggregate("_n", start, lambda a, e: F.struct((a["sum"] + e["c"]).alias("sum"), F.concat(a["to"], F.array(a["sum"] + e["c"])).alias("to")), lambda a: a["to"])
+    tiles = tiles.withColumn("_to", sums)
+    until = lambda i: F.coalesce(F.get("_n", i + 1)["b"], F.lit(256))
+    runs = F.flatten(F.transform("_n", lambda e, i: F.array_repeat(F.get("_to", i), until(i) - e["b"])))
+    tiles = tiles.withColumn("_sums", F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("_n")[0]["b"]), runs))
     level = F.transform("_sums", lambda c, b: (c + F.col("_excess") * (b + 1)) * 255.0 / F.col("area"))
     tables = tiles.select("image_id", "ty", "tx", level.alias("table"))
     tables = tables.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("ty") * grid + F.col("tx")).cast("int"), "table"))).alias("_tables"))

@@ -97,3 +97,38 @@ def test_pixels_of_one_cell_stay_where_they_are(spark, monkeypatch):
     rows = told(got)
     monkeypatch.setattr(masks, "REGIONS", 1)
     assert rows == told(masks.roi_metrics(df, rois)) and len(rows) == 12
+
+
+@pytest.mark.parametrize("grid", [2, 4])
+def test_equalising_makes_no_row_per_level(spark, grid):
+    """A tile's table comes of the levels that occur, the lowest and highest too; its values are those of a plain histogram's."""
+    from rasterbrook.operators import neighbourhood
+
+    rng, clip = random.Random(grid), 8.0
+    px = {(k, y, x): rng.choice([0, 255, rng.randrange(256)]) if k else 7 for k in range(3) for y in range(8) for x in range(8)}
+    df = spark.createDataFrame([(*at, float(v)) for at, v in px.items()], "image_id long, y long, x long, v double")
+    got = neighbourhood.clahe(df, "v", grid, clip)
+    assert "Window" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "posexplode" not in plan
+    size = 8 // grid
+    area = size * size
+    limit = max(1, int(clip * area / 256))
+
+    def table(k, ty, tx):
+        n = [0] * 256
+        for y in range(ty * size, ty * size + size):
+            for x in range(tx * size, tx * size + size):
+                n[px[k, y, x]] += 1
+        excess = sum(max(c - limit, 0) for c in n) / 256.0
+        return [(sum(min(c, limit) for c in n[: b + 1]) + excess * (b + 1)) * 255.0 / area for b in range(256)]
+
+    tables = {(k, ty, tx): table(k, ty, tx) for k in range(3) for ty in range(grid) for tx in range(grid)}
+    near = lambda i: min(max(i, 0), grid - 1)
+    rows = got.collect()
+    assert len(rows) == len(px)
+    for r in rows:
+        fy, fx = (r.y + 0.5) / size - 0.5, (r.x + 0.5) / size - 0.5
+        want = 0.0
+        for ty, a in ((fy // 1, 1 - fy % 1), (fy // 1 + 1, fy % 1)):
+            for tx, b in ((fx // 1, 1 - fx % 1), (fx // 1 + 1, fx % 1)):
+                want += a * b * tables[r.image_id, near(int(ty)), near(int(tx))][px[r.image_id, r.y, r.x]]
+        assert r.v == pytest.approx(want, abs=1e-9)
