@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Files of a manifest that is broadcast at most; a longer one is shuffled.
+FILES = 100_000
+
 
 def stitch(manifest: DataFrame, tiles: DataFrame, overlap: int, value: str | Sequence[str] = "v") -> DataFrame:
     """(image_id, y, x, values): weighted means of the tiles' pixels at each canvas place, of one or several columns.
@@ -22,6 +25,9 @@ def stitch(manifest: DataFrame, tiles: DataFrame, overlap: int, value: str | Seq
         raise FileNotFoundError(missing[0][0])
     last = manifest.agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))
     m = manifest.join(F.broadcast(last), F.lit(True))  # one row
+    # Images may share their files' names: with few files pixels stay where they are, instead of all of a file going to one task.
+    if manifest.limit(FILES + 1).count() <= FILES:
+        m = F.broadcast(m)
     px = tiles.join(m, "filename")
 
     def ramp(i: Column, n: Column, inner_start: Column, inner_end: Column) -> Column:

@@ -132,3 +132,19 @@ def test_equalising_makes_no_row_per_level(spark, grid):
             for tx, b in ((fx // 1, 1 - fx % 1), (fx // 1 + 1, fx % 1)):
                 want += a * b * tables[r.image_id, near(int(ty)), near(int(tx))][px[r.image_id, r.y, r.x]]
         assert r.v == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("name", ["jn01_stitch", "pipe01_tile_demo"])
+def test_tiles_stay_with_their_image(spark, tmp_path, name, monkeypatch):
+    """Four files' names are shared by all images: no pixel is shuffled by them; with too many files the rows are the same."""
+    from rasterbrook.operators import mosaic
+
+    rng = random.Random(9)
+    rows = [(k, [rng.uniform(-0.3, 0.3) for _ in range(64)]) for k in range(12)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and all("REPARTITION_BY" in line for line in moved) if name == "jn01_stitch" else not any("filename" in line for line in moved)
+    same(spark, tmp_path, name, "embeddings")
+    monkeypatch.setattr(mosaic, "FILES", 1)
+    same(spark, tmp_path, name, "embeddings")
