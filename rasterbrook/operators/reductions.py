@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import color as C
 from .neighbourhood import laplacian, local_variance, sizes
 from .scratch import settled
-from .stats import RGB, join_back, percentiles, with_percentile
+from .stats import RGB, join_back, percentiles
 
 
 def pct(c: Column, p: float) -> Column:
@@ -73,11 +73,11 @@ def film_base(df: DataFrame, enough: int = 1024, least: int = 8) -> DataFrame:
 def side_fusion(df: DataFrame, part: float = 0.2) -> DataFrame:
     """Base colour from the medians of the four border sides, sides far from the others left out."""
     sides = border_strips(df, part).groupBy("image_id", "side").agg(*[F.median(c).alias(c) for c in RGB])
-    mid = sides.groupBy("image_id").agg(*[F.median(c).alias(f"m_{c}") for c in RGB])
-    sides = join_back(sides, mid)
+    image = W.partitionBy("image_id")  # of four rows at most
+    sides = sides.withColumns({f"m_{c}": F.median(c).over(image) for c in RGB})
     norm = lambda cs: F.sqrt(sum(c * c for c in cs))
     sides = sides.withColumn("error", norm([F.col(c) - F.col(f"m_{c}") for c in RGB]) / F.greatest(norm([F.col(f"m_{c}") for c in RGB]), F.lit(1e-6)))
-    kept = with_percentile(sides, F.col("error"), 60, "_p60").where(F.col("error") <= F.greatest("_p60", F.lit(0.08)))
+    kept = sides.withColumn("_p60", pct(F.col("error"), 60).over(image)).where(F.col("error") <= F.greatest("_p60", F.lit(0.08)))
     consistency = F.when(F.count("*") == 1, 0.35).otherwise(C.clamp(1.0 - 4.0 * F.avg("error")))
     return kept.groupBy("image_id").agg(*[F.median(c).alias(c) for c in RGB], F.count("*").alias("sides"), consistency.alias("consistency"))
 

@@ -148,3 +148,12 @@ def test_tiles_stay_with_their_image(spark, tmp_path, name, monkeypatch):
     same(spark, tmp_path, name, "embeddings")
     monkeypatch.setattr(mosaic, "FILES", 1)
     same(spark, tmp_path, name, "embeddings")
+
+
+def test_sides_of_an_image_are_told_without_joins(spark):
+    """Medians and limits of four rows an image are windows over them: only the image's size is joined to its pixels."""
+    from rasterbrook.operators import reductions
+
+    df = spark.createDataFrame([(k, y, x, 0.1 * k, 0.01 * y, 0.02 * x) for k in range(3) for y in range(8) for x in range(8)], "image_id long, y long, x long, r double, g double, b double")
+    plan = reductions.side_fusion(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1
