@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import suffix
+from .png import BATCH, decoded
 
 MANIFEST = (
     "index int, row int, col int, filename string, left int, top int, right int, bottom int, width int, height int, "
@@ -43,30 +44,80 @@ def read_metadata_overlap(spark: SparkSession, path: str) -> DataFrame:
     return o.select(*[F.when(both, F.col(c)).alias(c) for c in ("x_px", "y_px")])
 
 
+#: Bytes of files that one task decodes, where they come to more tasks than a shuffle has.
+PART = 128 << 20
+#: File names that end on .png in any case, and all others.
+PNG = "*.[pP][nN][gG]"
+NOT_PNG = "{[gG],[nN][gG],[pP][nN][gG],*[^gG],*[^nN][gG],*[^pP][nN][gG],*[^.][pP][nN][gG]}"
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels (image_id, path, y, x, r, g, b), 0..1, of JPEG and PNG files; Spark's image source decodes them.
+    """Pixels (image_id, path, y, x, r, g, b), 0..1, of JPEG and PNG files.
 
-    A file that it can't decode is an error. Line by line, so no image is held as rows.
+    Files named .png are decoded here, as Spark's image source builds an encoder for each file, which takes longer than a
+    small file's decoding; all others are that source's. A file that can't be decoded is an error. Whole lines travel in
+    batches of some size, so no image is held as rows.
     """
-    rows = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
-    rows = rows.withColumn("image_id", F.xxhash64("origin"))
-
-    def pixels(batches):
+    kinds = "image_id long, path string, y long, x long, r double, g double, b double"
+
+    def lines(decode: Callable[..., tuple]) -> Callable[[Iterator], Iterator]:
+        def pixels(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            wait, held = [], 0
+
+            def made() -> pa.RecordBatch:
+                n = [len(r) for _, _, _, _, r in wait]
+                values = np.concatenate([r for *_, r in wait])
+                cols = [np.repeat([i for i, *_ in wait], n), pa.array([o for _, o, *_ in wait]).take(pa.array(np.repeat(np.arange(len(wait)), n)))]
+                cols += [np.concatenate([c[k] for c in wait]) for k in (2, 3)] + [np.ascontiguousarray(values[:, k]) for k in range(3)]
+                wait.clear()
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["image_id", "path", "y", "x", "r", "g", "b"])
+
+            for b in batches:
+                for k in range(b.num_rows):  # an image at a time
+                    i, o, *rest = (b.column(c)[k].as_py() for c in range(b.num_columns))
+                    try:
+                        a, top = decode(*rest)
+                    except Exception as e:
+                        raise ValueError(f"{o}: not an image") from e
+                    h, w = a.shape[:2]
+                    some = max(1, BATCH // 64 // w)
+                    for y in range(0, h, some):  # some lines at a time
+                        part = a[y : y + some]
+                        n = len(part)
+                        wait.append((i, o, np.repeat(np.arange(y, y + n), w), np.tile(np.arange(w), n), np.broadcast_to(part / top, (n, w, 3)).reshape(-1, 3)))
+                        held += n * w
+                        if held >= BATCH // 64:
+                            yield made()
+                            held = 0
+            if wait:
+                yield made()
+
+        return pixels
+
+    def raw(h: int, w: int, n: int, data: bytes) -> tuple:
         import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            for k in range(b.num_rows):  # an image at a time
-                i, o, h, w, n, data = (b.column(c)[k].as_py() for c in ("image_id", "origin", "height", "width", "nChannels", "data"))
-                if h <= 0 or w <= 0:
-                    raise ValueError(f"{o}: not an image")
-                a = np.frombuffer(data, np.uint8).reshape(h, w, n)
-                a = np.repeat(a, 3, axis=2) if n == 1 else a[:, :, :3]
-                for y in range(h):  # a line at a time
-                    line = a[y] / 255.0
-                    yield pa.RecordBatch.from_pydict({"image_id": [i] * w, "path": [o] * w, "y": np.full(w, y), "x": np.arange(w), "r": line[:, 2], "g": line[:, 1], "b": line[:, 0]})
-
-    return rows.select("image_id", "origin", "height", "width", "nChannels", "data").mapInArrow(pixels, "image_id long, path string, y long, x long, r double, g double, b double")
+
+        if h <= 0 or w <= 0:
+            raise ValueError("no size")
+        a = np.frombuffer(data, np.uint8).reshape(h, w, n)
+        return (a if n == 1 else a[:, :, 2::-1]), 255.0
+
+    def own(data: bytes) -> tuple:
+        a = decoded(data)
+        return a, 65535.0 if a.dtype.itemsize == 2 else 255.0
+
+    others = spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", NOT_PNG).load(path).select("image.*")
+    others = others.select(F.xxhash64("origin").alias("image_id"), "origin", "height", "width", "nChannels", "data").mapInArrow(lines(raw), kinds)
+    own_files = spark.read.format("binaryFile").option("pathGlobFilter", PNG).load(path)
+    # Spark deals out small files by their number, tens a task, of which a task in Python takes longer than their decoding.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(own_files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    own_files = own_files.select("*", "_metadata.file_path").coalesce(max(tasks, size // PART + 1))
+    origin = F.col("file_path")  # encoded as the image source's
+    return own_files.select(F.xxhash64(origin).alias("image_id"), origin.alias("origin"), "content").mapInArrow(lines(own), kinds).unionByName(others)
 
 
 def kind_of(path: Column) -> Column:

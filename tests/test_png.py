@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterbrook.sources import png
+from rasterbrook.sources import files, png
 
 SCHEMA = "image_id long, y long, x long, r double, g double, b double"
 
@@ -88,3 +88,56 @@ def test_check_sums():
     for _ in range(50):
         a, b = (rng.bytes(int(rng.integers(0, 90_000))) for _ in range(2))
         assert png.check_of_both(zlib.adler32(a), zlib.adler32(b), len(b)) == zlib.adler32(a + b)
+
+
+def chunk(kind, data):
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def filtered(lines, step, rng):
+    """Each line by a filter of its own, as the format defines them, byte by byte."""
+    out, above = b"", bytes(lines.shape[1])
+    for line in lines:
+        line, how = line.tobytes(), int(rng.integers(5))
+        out += bytes([how])
+        for k, v in enumerate(line):
+            a, b, c = line[k - step] if k >= step else 0, above[k], above[k - step] if k >= step else 0
+            paeth = min((a, b, c), key=lambda q: (abs(a + b - c - q), [a, b, c].index(q)))
+            out += bytes([(v - [0, a, b, (a + b) // 2, paeth][how]) % 256])
+        above = line
+    return out
+
+
+def test_png_files_of_all_kinds_are_read_as_the_image_source_does(spark, tmp_path):
+    rng, (h, w) = np.random.default_rng(5), (13, 11)
+    for name, depth, colour, woven in [("g8", 8, 0, 0), ("rgb8", 8, 2, 0), ("rgb8w", 8, 2, 1), ("ga8", 8, 4, 0), ("rgba8", 8, 6, 1), ("g1", 1, 0, 0), ("g2", 2, 0, 1), ("g4", 4, 0, 0), ("p8", 8, 3, 0), ("p4", 4, 3, 1)]:
+        n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+        a = rng.integers(0, 1 << depth, (h, w, n), dtype=np.uint8)
+        raw = b""
+        for y, x, dy, dx in png._WOVEN if woven else [(0, 0, 1, 1)]:
+            part = a[y::dy, x::dx]
+            bits = np.unpackbits(part.reshape(-1, 1), axis=1)[:, 8 - depth :].reshape(len(part), -1)
+            raw += filtered(np.packbits(bits, axis=1), max(1, n * depth // 8), rng)
+        colours = chunk(b"PLTE", rng.integers(0, 256, 3 << depth, dtype=np.uint8).tobytes()) if colour == 3 else b""
+        data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, woven)) + colours + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+        for end in (".PnG", ".png_", "-Xng"):  # the last two go through Spark's image source
+            (tmp_path / f"{name} {end}").write_bytes(data)
+    both = files.read_images(spark, str(tmp_path))
+    rows = {}
+    for r in both.collect():
+        name, end = os.path.basename(r.path).replace("%20", " ").split()
+        rows.setdefault(name, {}).setdefault(end, {})[r.y, r.x] = (r.r, r.g, r.b)
+    assert len(rows) == 10
+    for name, ways in rows.items():
+        assert len(ways[".PnG"]) == h * w and ways[".PnG"] == ways[".png_"] == ways["-Xng"], name
+    by = {r.path: r.image_id for r in both.select("path", "image_id").distinct().collect()}
+    assert len(by) == 30 and len(set(by.values())) == 30
+    assert all("%20" in p for p in by)  # as Spark writes paths in both ways
+
+
+def test_small_files_need_no_image_source(spark, tmp_path):
+    png.write_png(pixels(spark, {i: np.full((2, 2, 3), i / 9) for i in range(9)}), f"file://{tmp_path}/x")
+    df = files.read_images(spark, f"file://{tmp_path}/x")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan binaryFile" in plan or "BinaryFile" in plan
+    assert df.count() == 36 and df.where("abs(r * 9 - regexp_extract(path, '([0-9])[.]png', 1)) < 0.02").count() == 36
