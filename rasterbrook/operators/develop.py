@@ -120,7 +120,7 @@ def neutralise_lab(df: DataFrame, strength: float) -> DataFrame:
 
 def equalise_lightness(df: DataFrame, clip: float, grid: int) -> DataFrame:
     """CLAHE of the lightness alone."""
-    df = N.clahe(_in_lab(settled(df)), "lab_l", grid, max(float(clip), 0.01)).withColumn("lab_l", level(F.col("lab_l")))
+    df = N.clahe(_in_lab(settled(df)), "lab_l", grid, max(float(clip), 0.01), settle=True).withColumn("lab_l", level(F.col("lab_l")))
     return settled(_out_of_lab(df).select("image_id", "y", "x", *RGB))
 
 

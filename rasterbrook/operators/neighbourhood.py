@@ -40,15 +40,18 @@ def line_filter(df: DataFrame, value: str | Sequence[str], weights: list[float],
     k, n = len(weights) // 2, F.size("_l")
 
     def at(i: Column) -> Column:
-        near = [F.col("_l")[reflect(i + d - k, n)] for d in range(len(weights))]
+        near = [F.col("_q")[i + d] for d in range(len(weights))]
         sums = []
         for v in values:
             terms = [w * p[v] for w, p in zip(weights, near, strict=True)]
             sums.append(sum(terms[1:], terms[0]).alias(v))
-        own = F.col("_l")[i]
+        own = near[k]
         return F.struct(own[along].alias(along), *sums, *[own[c].alias(c) for c in keep])
 
-    made = _lines(df, along, [*values, *keep]).select("image_id", across, F.explode(F.transform(F.sequence(F.lit(0), n - 1), at)).alias("_p"))
+    lines = _lines(df, along, [*values, *keep])
+    # The line with its mirrored ends, so that each neighbour is looked up by its place and reflected once, not for every pixel.
+    lines = lines.select("image_id", across, n.alias("_n"), F.transform(F.sequence(F.lit(-k), n + (k - 1)), lambda i: F.col("_l")[reflect(i, n)]).alias("_q"))
+    made = lines.select("image_id", across, F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), at)).alias("_p"))
     return made.select("image_id", across, *[f"_p.{c}" for c in (along, *values, *keep)])
 
 
@@ -156,29 +159,37 @@ def low_frequency(df: DataFrame, value: str, factor: int, sigma: float) -> DataF
     return _stretched(_stretched(small, "low", "x", factor, "w"), "low", "y", factor, "h").select(*KEYS, "low")
 
 
-def clahe(df: DataFrame, value: str, grid: int, clip: float) -> DataFrame:
+def clahe(df: DataFrame, value: str, grid: int, clip: float, settle: bool = False) -> DataFrame:
     """Contrast-limited equalisation of 8-bit values: tile histograms, clipped, their sums as look-up tables, bilinear.
 
-    An image's tables are one row (grid x grid x 256 numbers at most) joined to its pixels; other columns stay.
+    A tile's table holds its levels as 256 bits and their sums, so it is no longer than the tile has levels; an image's tables are one
+    row joined to its pixels; other columns stay. settle: the tables are written first, so that their own size tells how to join
+    them, not that of a compressed table of pixels.
     """
     df = join_back(df, sizes(df))
     df = df.withColumns({"_th": F.ceil(F.col("h") / grid), "_tw": F.ceil(F.col("w") / grid), "_bin": F.floor(value).cast("int")})
     hist = df.groupBy("image_id", F.floor(F.col("y") / F.col("_th")).alias("ty"), F.floor(F.col("x") / F.col("_tw")).alias("tx"), "_bin").agg(F.count("*").alias("n"))
-    tiles = hist.groupBy("image_id", "ty", "tx").agg(F.array_sort(F.collect_list(F.struct("_bin", "n"))).alias("n"), F.sum("n").alias("area"))
+    bit = F.expr("shiftleft(1L, _bin & 63)")
+    words = [F.bit_or(F.when(F.floor(F.col("_bin") / 64) == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"_w{j}") for j in range(4)]
+    tiles = hist.groupBy("image_id", "ty", "tx").agg(F.array_sort(F.collect_list(F.struct("_bin", "n"))).alias("n"), F.sum("n").alias("area"), *words)
     tiles = tiles.withColumn("_limit", F.greatest(F.lit(1), F.floor(clip * F.col("area") / 256)))
-    clipped = F.transform("n", lambda e: F.struct(e["_bin"].alias("b"), F.least(e["n"], F.col("_limit")).alias("c")))
-    tiles = tiles.select("image_id", "ty", "tx", "area", ((F.col("area") - F.aggregate(clipped, F.lit(0).cast("long"), lambda a, e: a + e["c"])) / 256.0).alias("_excess"), clipped.alias("_n"))
-    # Every level's clipped sum: it grows at levels that occur only, so each one's sum is repeated up to the next; the spread excess adds the same to every level.
+    clipped = F.transform("n", lambda e: F.least(e["n"], F.col("_limit")))
+    total = F.aggregate(clipped, F.lit(0).cast("long"), lambda a, c: a + c)
+    words = [F.col(f"_w{j}") for j in range(4)]
+    tiles = tiles.select("image_id", "ty", "tx", "area", ((F.col("area") - total) / 256.0).alias("excess"), clipped.alias("_n"), F.array(*words).alias("bits"), F.array(*[sum(map(F.bit_count, words[:j]), F.lit(0)) for j in range(4)]).alias("before"))
+    # Clipped sums grow at levels that occur only: a level's is that of the last such level up to it; the spread excess adds the same to every level.
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("to"))
-    sums = F.aggregate("_n", start, lambda a, e: F.struct((a["sum"] + e["c"]).alias("sum"), F.concat(a["to"], F.array(a["sum"] + e["c"])).alias("to")), lambda a: a["to"])
-    tiles = tiles.withColumn("_to", sums)
-    until = lambda i: F.coalesce(F.get("_n", i + 1)["b"], F.lit(256))
-    runs = F.flatten(F.transform("_n", lambda e, i: F.array_repeat(F.get("_to", i), until(i) - e["b"])))
-    tiles = tiles.withColumn("_sums", F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("_n")[0]["b"]), runs))
-    level = F.transform("_sums", lambda c, b: (c + F.col("_excess") * (b + 1)) * 255.0 / F.col("area"))
-    tables = tiles.select("image_id", "ty", "tx", level.alias("table"))
+    sums = F.aggregate("_n", start, lambda a, c: F.struct((a["sum"] + c).alias("sum"), F.concat(a["to"], F.array(a["sum"] + c)).alias("to")), lambda a: a["to"])
+    tables = tiles.select("image_id", "ty", "tx", F.struct("bits", "before", sums.alias("sums"), "excess", "area").alias("table"))
     tables = tables.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("ty") * grid + F.col("tx")).cast("int"), "table"))).alias("_tables"))
-    df = join_back(df, tables)
+    df = join_back(df, tables, settle=settle)
+    up_to = F.expr("shiftrightunsigned(-1L, 63 - (_bin & 63))")  # bits of the levels of a word up to the pixel's
+
+    def looked_up(t: Column) -> Column:
+        word = F.expr("shiftright(_bin, 6)")
+        rank = t["before"][word] + F.bit_count(t["bits"][word].bitwiseAND(up_to))
+        below = F.when(rank == 0, F.lit(0).cast("long")).otherwise(t["sums"][rank - 1])
+        return (below + t["excess"] * (F.col("_bin") + 1)) * 255.0 / t["area"]
 
     def taps(axis: str, size: str, full: str) -> list[tuple[Column, Column]]:
         f = (F.col(axis) + 0.5) / F.col(size) - 0.5
@@ -186,11 +197,11 @@ def clahe(df: DataFrame, value: str, grid: int, clip: float) -> DataFrame:
         near = lambda k: F.least(F.greatest(k, F.lit(0)), last)
         return [(near(i), 1.0 - (f - i)), (near(i + 1), f - i)]
 
-    parts = [
-        a * b * F.element_at(F.col("_tables"), (ty * grid + tx).cast("int"))[F.col("_bin")]
-        for ty, a in taps("y", "_th", "h") for tx, b in taps("x", "_tw", "w")
-    ]
-    return df.withColumn(value, sum(parts[1:], parts[0])).drop("h", "w", "_th", "_tw", "_bin", "_tables")
+    corners = [(a * b, ty * grid + tx) for ty, a in taps("y", "_th", "h") for tx, b in taps("x", "_tw", "w")]
+    # One expression for all four: written out four times, the generated method is longer than what the JVM compiles.
+    four = F.array(*[F.struct(share.alias("share"), F.element_at(F.col("_tables"), at.cast("int")).alias("table")) for share, at in corners])
+    mixed = F.aggregate(four, F.lit(0.0), lambda a, c: a + c["share"] * looked_up(c["table"]))
+    return df.withColumn(value, mixed).drop("h", "w", "_th", "_tw", "_bin", "_tables")
 
 
 #: Colours of a mosaic's four phases (y % 2, x % 2) by the pattern's name.

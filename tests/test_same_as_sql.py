@@ -157,3 +157,23 @@ def test_sides_of_an_image_are_told_without_joins(spark):
     df = spark.createDataFrame([(k, y, x, 0.1 * k, 0.01 * y, 0.02 * x) for k in range(3) for y in range(8) for x in range(8)], "image_id long, y long, x long, r double, g double, b double")
     plan = reductions.side_fusion(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 1
+
+
+def test_equalising_tables_are_no_longer_than_their_tiles(spark):
+    """An image's tables took 256 numbers a tile, whatever its size: 2 kB for each 8 x 8 pixels' quarter."""
+    from rasterbrook.operators import neighbourhood
+
+    df = spark.range(64).selectExpr("0L as image_id", "id div 8 as y", "id % 8 as x", "cast(id * 4 as double) as v")
+    seen = []
+
+    def kept(df, stats, key="image_id", settle=False):
+        seen.append(stats)
+        return join_back(df, stats, key, settle)
+
+    join_back, neighbourhood.join_back = neighbourhood.join_back, kept
+    try:
+        neighbourhood.clahe(df, "v", 2, 8.0)
+    finally:
+        neighbourhood.join_back = join_back
+    (row,) = seen[-1].collect()
+    assert len(row._tables) == 4 and all(len(t["sums"]) == 16 for t in row._tables.values())
